@@ -155,3 +155,13 @@ def positions(counts: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 bits as Spark's BIGINT."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+    """Parts of a batch with about ``most`` bytes of text each (one row at least)."""
+    _, offsets = text_bytes(batch.column(column))
+    a, n = 0, batch.num_rows
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
