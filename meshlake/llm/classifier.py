@@ -134,11 +134,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0, epochs: int = 12,
 
 
 def _draw(raw: list[np.ndarray], rng: np.random.Generator, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` chunks of each text, at random over the whole of it."""
+    """Up to ``most`` chunks of each text, at random over the whole of it; now and then one short cut
+    instead, so that short documents are judged by what they hold and not by their length."""
     data = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
     ends = np.cumsum([len(r) for r in raw])
     start, stop, owner = [], [], []
     for i, r in enumerate(raw):
+        if rng.random() < 0.25 and len(r):
+            begin = int(rng.integers(0, max(1, len(r) - 16)))
+            start.append(ends[i] - len(r) + begin)
+            stop.append(min(ends[i], start[-1] + int(rng.integers(12, 160))))
+            owner.append(i)
+            continue
         n = max(1, -(-max(len(r) - CHUNK, 0) // STEP) + 1)
         for c in range(n) if n <= most else rng.choice(n, most, replace=False):
             start.append(ends[i] - len(r) + c * STEP)
