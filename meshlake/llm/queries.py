@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, sharding
+from . import classifier, packing, sharding, token_files
 from ._shared import table
 
+#: The folder with the public tokenizers' files; None: the one of the installed module.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS is not None:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,6 +39,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.document_table(spark, docs, tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op7_token_files, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
