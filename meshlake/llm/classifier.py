@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,20 @@ class Net:
         filters = rng.normal(0, (2 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32)
         return Net(embed, filters, np.zeros(FILTERS, np.float32), rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32), 0.0)
 
+    def dumps(self) -> bytes:
+        """The parameters as float32, end to end."""
+        return b"".join(p.astype("<f4").tobytes() for p in (self.embed, self.filters, self.bias, self.out, np.array([self.out_bias])))
+
+    @staticmethod
+    def loads(raw: bytes | None) -> "Net":
+        """Of ``dumps``; without training rows, a net that answers one half."""
+        if raw is None:
+            return train([], np.zeros(0))
+        net = Net.fresh(0)
+        parts = np.split(np.frombuffer(raw, "<f4"), np.cumsum([p.size for p in (net.embed, net.filters, net.bias, net.out)]))
+        shapes = (net.embed.shape, net.filters.shape, net.bias.shape, net.out.shape)
+        return Net(*(p.reshape(x).copy() for p, x in zip(parts, shapes)), float(parts[4][0]))
+
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
         """Max-pooled filter outputs of each chunk (rows of byte values, 256 for padding)."""
         table = self._pairs()
@@ -201,9 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     # at most max_train short rows are broadcast; the texts do not move
     rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "__id").select("__label", "__text")
-    got = rows.orderBy(F.xxhash64("__text"), "__text", "__label").limit(max_train).toPandas()
-    order = np.lexsort((got["__text"].to_numpy(str) if len(got) else [], got["__label"].to_numpy(int)))
-    return train([got["__text"][i] for i in order], got["__label"].to_numpy()[order], seed)
+    sample = rows.orderBy(F.xxhash64("__text"), "__text", "__label").limit(max_train).withColumn("all", F.lit("all"))
+    found = sample.groupBy("all").applyInPandas(lambda got: trained(got, seed), "net binary").collect()
+    return Net.loads(found[0]["net"] if found else None)
+
+
+def trained(got: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """Train in one task on the bounded sample, in an order that its rows alone decide."""
+    got = got.sort_values(["__text", "__label"])
+    return pd.DataFrame({"net": [train(list(got["__text"]), got["__label"].to_numpy(), seed).dumps()]})
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:

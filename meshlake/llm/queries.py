@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, sharding, token_files
+from . import classifier, packing, quality_rules, sharding, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -44,6 +44,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_table(spark, docs, tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.references(docs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -56,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op7_token_files, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op7_token_files, op8_quality_rules, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
