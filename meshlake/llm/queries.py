@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, quality_rules, sharding, token_files
+from . import classifier, decontamination, packing, quality_rules, sharding, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -39,6 +39,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.document_table(spark, docs, tokenizer_file("word_bpe_49k.json"))
@@ -61,8 +65,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op7_token_files, op8_quality_rules, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op7_token_files, op8_quality_rules, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
+
+
+#: Words, shingles and windows by brute force; the best window of each document and item, the first of equals.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), sizes AS (SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE len(w) > 0
+), ds AS (
+  SELECT doc_id, len(w) AS m, k, p, array_to_string(w[p + 1 : p + k], ' ') AS s
+  FROM d, sizes, unnest(range(0, greatest(0, len(w) - k + 1))) AS t(p)
+), bs AS (
+  SELECT item_id, n, k, s, count(*) AS c
+  FROM (SELECT item_id, len(w) AS n, least(5, len(w)) AS k, array_to_string(w[p + 1 : p + least(5, len(w))], ' ') AS s
+        FROM b, unnest(range(0, greatest(0, len(w) - least(5, len(w)) + 1))) AS t(p) WHERE len(w) > 0)
+  GROUP BY ALL
+), hits AS (
+  SELECT doc_id, item_id, m, n, ds.k AS k, p, ds.s AS s, c, least(n, m) AS size FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k
+), shared AS (
+  SELECT doc_id, item_id, n, size, k, ws, s, least(count(*), c) AS n_both
+  FROM hits, unnest(range(greatest(0, p - (size - k)), least(p, m - size) + 1)) AS t(ws)
+  GROUP BY doc_id, item_id, n, size, k, ws, s, c
+), sims AS (
+  SELECT doc_id, item_id, ws, size, sum(n_both) / ((n - k + 1) + (size - k + 1) - sum(n_both)) AS sim
+  FROM shared GROUP BY doc_id, item_id, ws, size, n, k
+)
+SELECT doc_id, item_id, CAST(sim AS DOUBLE) AS similarity, CAST(ws AS BIGINT) AS window_start, CAST(size AS BIGINT) AS window_words
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, ws) AS r FROM sims WHERE sim >= 0.8) WHERE r = 1
+"""
