@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ._shared import keep, shared_folder
-from ._words import Words, slices
+from ._words import Words, slices, span_hashes
 
 #: Fixed values of the code: ids in a word and bits of each, by selector; the first two are runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
@@ -42,9 +42,10 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30])
 #: Selector 15 would be one id of 60 bits; here it marks a raw word, for ids of any size.
 ESCAPE = 15
 BLOCK = 256
+_LEVELS = np.unique(BITS)
 MAGIC = b"S8BTOK01"
 #: A file is closed when it has this many ids, so that reading one takes bounded memory.
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,19 +56,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     width = np.zeros(n, np.int8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):
-        width += ids >= np.uint64(1 << b)
-    width += ids > 0  # the place in the list of bit counts from 0 up
+    for b in _LEVELS:
+        width += ids >= np.uint64(1 << b)  # the place in _LEVELS of the bits it needs
     # the selector of a word that would start at each id: the fullest whose ids all fit
-    at = np.arange(n, dtype=np.int32)
-    end = np.minimum((at // BLOCK + 1) * BLOCK, n).astype(np.int32)  # of the block
     selector = np.full(n, ESCAPE, np.uint8)
     for s in range(len(COUNTS) - 1, -1, -1):
-        # the next id that is too wide for this selector
-        level = 0 if BITS[s] == 0 else int(np.searchsorted([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30], BITS[s])) + 1
-        wide = np.where(width > level, at, n)
-        stop = np.minimum(np.minimum.accumulate(wide[::-1])[::-1], end)
-        selector[(stop - at >= COUNTS[s]) | ((stop == end) & (stop > at))] = s  # the block's rest may fill a word in part
+        level = int(np.searchsorted(_LEVELS, BITS[s]))
+        at = np.flatnonzero(width <= level)
+        if not len(at):
+            break  # and for fewer bits there are none either
+        # the end of the run of ids that fit, or of the block
+        ends = np.flatnonzero(np.append(np.diff(at) > 1, True))
+        stop = np.repeat(at[ends] + 1, np.diff(ends, prepend=-1))
+        end = np.minimum((at // BLOCK + 1) * BLOCK, n)
+        stop = np.minimum(stop, end)
+        selector[at[(stop - at >= COUNTS[s]) | (stop == end)]] = s  # the block's rest may fill a word in part
     taken = np.append(np.minimum(COUNTS, 240), 1)
     # all blocks step by step
     pos = np.arange(n_blocks) * BLOCK
@@ -157,54 +160,99 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(docs, nulls)], lengths.astype(np.int64), decode(words, block_at, n_ids)
 
 
+#: Kinds of bytes: white space, letter, digit, other ASCII, and those that only the tokenizer can judge.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:128] = 3
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_KIND[97:123] = _KIND[65:91] = 1
+_KIND[48:58] = 2
+_KIND[ord("'")] = 4
+_KIND[[*range(9), *range(14, 32), 127]] = 4
+
+
+def pre_tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, first)`` of parts that the tokenizer encodes apart: runs of ASCII letters,
+    single digits and runs of other ASCII marks; a word with an apostrophe or a byte beyond ASCII stays whole.
+    """
+    kind = _KIND[words.data]
+    hard = np.concatenate([[0], np.cumsum(kind == 4)])
+    plain = hard[words.end] == hard[words.start]
+    edge = np.zeros(len(kind) + 1, np.int32)
+    edge[words.start[plain]] += 1
+    edge[words.end[plain]] -= 1
+    inside = np.cumsum(edge[:-1]) > 0
+    cut = np.zeros(len(kind), bool)
+    cut[1:] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0)
+    cuts = np.flatnonzero(cut)
+    # two words of one text never touch; those of two texts may, and begin there anyway
+    start = np.sort(np.concatenate([words.start, cuts]), kind="stable")
+    end = np.sort(np.concatenate([words.end, cuts]), kind="stable")
+    return start, end, np.searchsorted(start, words.offsets)
+
+
 class WordTokenizer:
-    """Ids of texts, word by word, for a tokenizer that never joins over ASCII white space.
+    """Ids of texts for a tokenizer that lower-cases and never joins over ASCII white space or the edges of ``pre_tokens``.
 
-    Each distinct word of a batch is encoded once.  A bounded cache keeps words over batches.
+    Each distinct part of a batch is encoded once; a bounded cache keeps parts over batches.
     """
 
-    MOST = 300_000
+    MOST = 1_000_000
+    AT_ONCE = 10_000
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.clear()
+
+    def clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes, ascending
-        self.sizes = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        ids, sizes = [], []
+        for a in range(0, len(parts), self.AT_ONCE):
+            for x in self.tokenizer.encode_batch_fast(parts[a : a + self.AT_ONCE], add_special_tokens=False):
+                got = x.ids
+                sizes.append(len(got))
+                ids += got
+        sizes = np.array(sizes, np.int32)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.starts = np.insert(self.starts, at, starts)
+
     def __call__(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """``(lengths, ids)`` of all texts; ``end_id`` follows each text."""
-        words = Words(column)
-        pair = words.hashes()
-        distinct, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(new):
-            if len(self.known) > self.MOST:  # start again, with this batch's words
-                self.known, self.sizes, self.starts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-                new = np.arange(len(distinct))
-            texts = [words.word(i).decode() for i in first[new]]
-            got = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in got], np.int64)
-            starts = len(self.ids) + np.cumsum(sizes) - sizes
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known)
-            self.known = known[order]
-            self.sizes = np.concatenate([self.sizes, sizes])[order]
-            self.starts = np.concatenate([self.starts, starts])[order]
+        words = Words(column, lower=True)
+        begin, stop, first_of = pre_tokens(words)
+        distinct, first, inverse = np.unique(span_hashes(words.data, begin, stop), return_index=True, return_inverse=True)
+        if len(self.known) > self.MOST:
+            self.clear()
         at = np.searchsorted(self.known, distinct)
+        new = self.known[np.minimum(at, len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            raw = words.data.tobytes()
+            self.learn(distinct[new], [raw[s:e].decode() for s, e in zip(begin[first[new]].tolist(), stop[first[new]].tolist())])
+            at = np.searchsorted(self.known, distinct)
         size, start = self.sizes[at][inverse], self.starts[at][inverse]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        lengths = total[words.first[1:]] - total[words.first[:-1]]
-        if end_id is not None:
-            ids = np.insert(ids, np.cumsum(lengths), end_id)
-            lengths = lengths + 1
-        return lengths, ids
+        bounds = total[first_of]
+        if end_id is None:
+            return np.diff(bounds), self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        # the end ids stand between: room for one after each text
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(first_of))
+        ids = np.full(total[-1] + len(bounds) - 1, end_id, np.uint32)
+        ids[np.arange(total[-1]) + np.repeat(text, size)] = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        return np.diff(bounds) + 1, ids
 
 
 def write_token_files(
@@ -212,7 +260,7 @@ def write_token_files(
     folder: str,
     tokenizer: Callable[[], Callable[[pa.Array, int | None], tuple[np.ndarray, np.ndarray]]],
     end_id: int | None = 1,
-    partition_bytes: int = 24 << 20,
+    partition_bytes: int = 64 << 20,
     file_ids: int = FILE_IDS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -246,7 +294,7 @@ def write_token_files(
             ids, lengths, doc_ids, held, number = [], [], [], 0, number + 1
 
         for batch in batches:
-            for b in slices(batch, "text", 4 << 20):
+            for b in slices(batch, "text", 2 << 20):
                 n, got = encode_texts(b.column("text"), end_id)
                 ids.append(got)
                 lengths.append(n)
