@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, packing, quality_rules, sharding, token_files
+from . import classifier, decontamination, line_dedup, packing, quality_rules, sharding, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -43,6 +43,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.document_table(spark, docs, tokenizer_file("word_bpe_49k.json"))
@@ -65,11 +71,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op7_token_files, op8_quality_rules, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op7_token_files, op8_quality_rules, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
 
 
 #: Words, shingles and windows by brute force; the best window of each document and item, the first of equals.
@@ -100,3 +106,30 @@ WITH d AS (
 SELECT doc_id, item_id, CAST(sim AS DOUBLE) AS similarity, CAST(ws AS BIGINT) AS window_start, CAST(size AS BIGINT) AS window_words
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, ws) AS r FROM sims WHERE sim >= 0.8) WHERE r = 1
 """
+
+
+#: All pairs of long lines of like length; one of the three segments stands in the other line, or they differ by more than two edits.
+OP4_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents
+), lines AS (
+  SELECT doc_id, i, p[i] AS line FROM parts, unnest(range(1, len(p) + 1)) AS t(i) WHERE regexp_matches(p[i], '[^\x20\x09-\x0D]')
+), firsts AS (
+  SELECT line, min(struct_pack(d := doc_id, i := i)) AS spot, length(line) AS n FROM lines GROUP BY line
+), long AS (
+  SELECT *, line[: n // 3] AS s1, line[n // 3 + 1 : 2 * n // 3] AS s2, line[2 * n // 3 + 1 :] AS s3 FROM firsts WHERE n >= 20
+), near AS (
+  SELECT DISTINCT b.line FROM long a JOIN long b ON a.n BETWEEN b.n - 2 AND b.n + 2
+  WHERE a.spot < b.spot AND (contains(a.line, b.s1) OR contains(a.line, b.s2) OR contains(a.line, b.s3)) AND levenshtein(a.line, b.line) <= 2
+), gone AS (
+  SELECT doc_id, i FROM lines JOIN firsts USING (line) WHERE struct_pack(d := doc_id, i := i) > spot OR line IN (SELECT line FROM near)
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(CASE WHEN m IS NULL THEN array_to_string(p, chr(10)) ELSE kept END, '')) AS kept_sha256
+FROM parts
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS m FROM gone GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (
+  SELECT doc_id, string_agg(p[i], chr(10) ORDER BY i) AS kept FROM parts, unnest(range(1, len(p) + 1)) AS t(i)
+  WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM gone) GROUP BY doc_id
+) USING (doc_id)
+"""
