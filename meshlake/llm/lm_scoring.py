@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep
-from ._words import Words, signed, slices
+from ._words import Words, mix64, slices
 
 #: Words in the broadcast, the most frequent ones: 24 bytes each.
 HEAD = 200_000
@@ -34,11 +34,14 @@ MARK = "▁"
 
 
 class Pieces:
-    """Vocabulary with log probabilities; ``pieces`` are texts or ("byte", value)."""
+    """A vocabulary with natural log probabilities: texts, 256 byte pieces for characters that are none, an end mark."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    CELLS = 1 << 19  # of a group's matrices
 
     def __init__(self, texts: list[str], byte_ids: list[int], end_id: int, logp: np.ndarray):
-        self.texts, self.byte_ids, self.end_id, self.logp = texts, byte_ids, end_id, logp
-        self._ready = False
+        self.texts, self.byte_ids, self.end_id, self.logp = texts, np.array(byte_ids), end_id, logp
+        self._known: np.ndarray | None = None
 
     def __getstate__(self):
         return self.texts, self.byte_ids, self.end_id, self.logp
@@ -46,72 +49,118 @@ class Pieces:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def with_logp(self, logp: np.ndarray) -> "Pieces":
+        return Pieces(self.texts, list(self.byte_ids), self.end_id, logp)
+
     def _prepare(self) -> None:
-        """By first use in a task: a map from text to id, and the longest piece for each first character."""
-        if self._ready:
+        """Once in a task: the hashes of all texts in order, and a table that most substrings fail at once."""
+        if self._known is not None:
             return
-        skip = {*self.byte_ids, self.end_id}
-        self.ids = {t: i for i, t in enumerate(self.texts) if i not in skip and t}
-        self.longest: dict[str, int] = {}
-        for t in self.ids:
-            self.longest[t[0]] = max(self.longest.get(t[0], 0), len(t))
-        self.lp = self.logp.tolist()
-        self._ready = True
-
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each character position, the pieces that begin there: (end, log probability, ids)."""
+        ids = np.array([i for i, t in enumerate(self.texts) if t])
+        self.most = max((len(t) for t in self.texts), default=1)
+        hashes = np.zeros(len(ids), np.uint64)
+        for at, i in enumerate(ids):
+            h = np.zeros(1, np.uint64)
+            for c in self.texts[i]:
+                h = h * self.BASE + mix64(np.array([ord(c) + 1], np.uint64))
+            hashes[at] = mix64(h)[0]
+        order = np.argsort(hashes)
+        self._known, self._ids = hashes[order], ids[order].astype(np.int32)
+        self._maybe = np.zeros(1 << 20, bool)
+        self._maybe[(self._known >> np.uint64(44)).astype(np.int64)] = True
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, "Lattice"]]:
+        """The words in groups of like length, each as one lattice of bounded size; ``(places, lattice)``."""
         self._prepare()
-        out, ids, lp = [], self.ids, self.lp
-        for i in range(len(word)):
-            here = []
-            for j in range(i + 1, min(len(word), i + self.longest.get(word[i], 0)) + 1):
-                k = ids.get(word[i:j])
-                if k is not None:
-                    here.append((j, lp[k], (k,)))
-            if not here or here[0][0] != i + 1:  # a character that is no piece is spelled in bytes
-                spelled = tuple(self.byte_ids[b] for b in word[i].encode("utf-8", "surrogatepass"))
-                here.append((i + 1, sum(lp[k] for k in spelled), spelled))
-            out.append(here)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(size, kind="stable")
+        a = 0
+        while a < len(order):
+            # as many words as fit, none of them padded by more than a quarter
+            b = min(len(order), a + max(1, self.CELLS // int(size[order[a]]) // self.most))
+            b = a + int(np.searchsorted(size[order[a:b]], size[order[a]] * 5 // 4, side="right"))
+            yield order[a:b], Lattice(self, [MARK + words[i] for i in order[a:b]])
+            a = b
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """For each word, the log of the summed probability of all its segmentations."""
+        out = np.zeros(len(words))
+        for at, lattice in self.groups(words):
+            out[at] = lattice.forward()[np.arange(len(at)), lattice.n]
         return out
 
-    def score(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of the marked word."""
-        return forward(self.edges(MARK + word))[-1]
-
-    def expect(self, word: str, count: float, into: np.ndarray) -> None:
-        """Add the expected uses of each piece in ``count`` copies of the word."""
-        edges = self.edges(MARK + word)
-        alpha = forward(edges)
-        beta = [0.0] * len(alpha)
-        for i in range(len(edges) - 1, -1, -1):
-            beta[i] = log_sum([lp + beta[j] for j, lp, _ in edges[i]])
-        total = alpha[-1]
-        for i, here in enumerate(edges):
-            for j, lp, ids in here:
-                share = count * math.exp(alpha[i] + lp + beta[j] - total)
-                for k in ids:
-                    into[k] += share
-
-
-def log_sum(x: list[float]) -> float:
-    if len(x) == 1:
-        return x[0]
-    top = max(x)
-    return top + math.log(sum(math.exp(v - top) for v in x))
-
-
-def forward(edges: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[float]:
-    """alpha[i]: log of the summed probability of all segmentations of the first i characters."""
-    into: list[list[float]] = [[] for _ in range(len(edges) + 1)]
-    into[0].append(0.0)
-    alpha = []
-    for i, here in enumerate(edges):
-        alpha.append(log_sum(into[i]))
-        into[i] = []
-        for j, lp, _ in here:
-            into[j].append(alpha[i] + lp)
-    alpha.append(log_sum(into[-1]))
-    return alpha
+    def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of every piece in ``counts`` copies of the words."""
+        into = np.zeros(len(self.texts))
+        for at, lattice in self.groups(words):
+            lattice.expect(counts[at], into)
+        return into
+
+
+class Lattice:
+    """All segmentations of some words: ``piece[l - 1][w, i]`` is the piece of ``l`` characters from character ``i`` of word ``w``, or -1."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.pieces = pieces
+        self.n = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(self.n.max())
+        codes = np.zeros((len(words), width), np.uint32)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[np.arange(width) < self.n[:, None]] = flat
+        self.codes = codes
+        value = mix64(codes.astype(np.uint64) + np.uint64(1))
+        self.piece, self.lp = [], []
+        h = np.zeros_like(value)
+        for size in range(1, min(pieces.most, width) + 1):
+            h = h[:, : width - size + 1] * pieces.BASE + value[:, size - 1 :]
+            key = mix64(h)
+            maybe = pieces._maybe[(key >> np.uint64(44)).astype(np.int64)] & (np.arange(width - size + 1) + size <= self.n[:, None])
+            got = np.full(key.shape, -1, np.int32)
+            some = key[maybe]
+            at = np.minimum(np.searchsorted(pieces._known, some), len(pieces._known) - 1)
+            got[maybe] = np.where(pieces._known[at] == some, pieces._ids[at], -1)
+            self.piece.append(got)
+            self.lp.append(np.where(got >= 0, pieces.logp[got], -np.inf))
+        # characters that are no piece are spelled in bytes
+        self.spelled = (self.piece[0] < 0) & (np.arange(width) < self.n[:, None])
+        self.chars, back = np.unique(codes[self.spelled], return_inverse=True)
+        self.spelling = [pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in self.chars.tolist()]
+        self.back = back
+        if len(self.chars):
+            self.lp[0][self.spelled] = np.array([pieces.logp[x].sum() for x in self.spelling])[back]
+
+    def forward(self) -> np.ndarray:
+        """``alpha[w, j]``: log of the summed probability of all segmentations of the first ``j`` characters."""
+        alpha = np.full((len(self.n), self.codes.shape[1] + 1), -np.inf)
+        alpha[:, 0] = 0
+        for j in range(1, alpha.shape[1]):
+            alpha[:, j] = log_sum([alpha[:, j - k] + self.lp[k - 1][:, j - k] for k in range(1, min(j, len(self.lp)) + 1)])
+        return alpha
+
+    def expect(self, counts: np.ndarray, into: np.ndarray) -> None:
+        alpha, width = self.forward(), self.codes.shape[1]
+        beta = np.full(alpha.shape, -np.inf)
+        beta[np.arange(len(self.n)), self.n] = 0
+        for i in range(width - 1, -1, -1):
+            more = log_sum([self.lp[k - 1][:, i] + beta[:, i + k] for k in range(1, min(width - i, len(self.lp)) + 1)])
+            beta[:, i] = np.where(i < self.n, more, beta[:, i])
+        scale = np.log(counts) - beta[:, 0]
+        for k, (piece, lp) in enumerate(zip(self.piece, self.lp), 1):
+            share = np.exp(alpha[:, : width - k + 1] + lp + beta[:, k:] + scale[:, None])
+            real = piece >= 0
+            into += np.bincount(piece[real], weights=share[real], minlength=len(into))
+            if k == 1 and len(self.chars):
+                for ids, x in zip(self.spelling, np.bincount(self.back, weights=share[self.spelled], minlength=len(self.chars))):
+                    np.add.at(into, ids, x)
+
+
+def log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials; minus infinity where all terms are."""
+    stack = np.stack(terms)
+    top = stack.max(0)
+    safe = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(stack - safe).sum(0))
 
 
 def load_pieces(path: str) -> Pieces:
@@ -150,13 +199,14 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 def fit(words: DataFrame, n_train_docs: int, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
     """Piece probabilities by expectation-maximisation over all training words; only one number a piece comes to the driver."""
+    usable = {*pieces.byte_ids.tolist(), pieces.end_id}
+    unused = [i for i, t in enumerate(pieces.texts) if not t and i not in usable]  # other control pieces
     for _ in range(rounds):
 
         def expected(batches: Iterator[pa.RecordBatch], pieces: Pieces = pieces) -> Iterator[pa.RecordBatch]:
             into = np.zeros(len(pieces.texts))
             for b in batches:
-                for word, n in zip(b.column("word").to_pylist(), b.column("train").to_pylist()):
-                    pieces.expect(word, n, into)
+                into += pieces.expect(b.column("word").to_pylist(), b.column("train").to_numpy().astype(float))
             at = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(into[at])], names=["piece", "n"])
 
@@ -164,9 +214,8 @@ def fit(words: DataFrame, n_train_docs: int, pieces: Pieces, rounds: int = ROUND
         count = np.full(len(pieces.texts), SMOOTH)
         np.add.at(count, got["piece"].to_numpy(int), got["n"].to_numpy(float))
         count[pieces.end_id] = SMOOTH + n_train_docs
-        unused = [i for i, t in enumerate(pieces.texts) if not t and i not in set(pieces.byte_ids) and i != pieces.end_id]
-        count[unused] = 1e-30
-        pieces = Pieces(pieces.texts, pieces.byte_ids, pieces.end_id, np.log(count / count.sum()))
+        count[unused] = 1e-300
+        pieces = pieces.with_logp(np.log(count / count.sum()))
     return pieces
 
 
@@ -188,50 +237,72 @@ def score(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS, head: int = HEA
 
     def scored_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [pieces.score(w) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=["word", "train", "n", "logp"])
+            got = pieces.score(b.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=["word", "train", "n", "logp"])
 
     scored = keep(words.mapInArrow(scored_words, "word string, train long, n long, logp double"))
     return _documents(rows, scored, head, total, distinct, n_docs, float(pieces.logp[pieces.end_id]))
 
 
 def _documents(rows: DataFrame, scored: DataFrame, head: int, total: int, distinct: int, n_docs: int, end_logp: float) -> DataFrame:
-    """Bring the words' scores to the documents: the head by broadcast, the rest by a join."""
-    from ._words import span_hashes
-
-    top = scored.orderBy(F.desc("n"), "word").limit(head).select("word", "train", "logp").toArrow().combine_chunks()
-    texts = Words(top["word"])  # a word has no white space: one of its own in each row
-    order = np.argsort(hashes := texts.hashes())
-    known, train, logp = hashes[order], top["train"].to_numpy()[order], top["logp"].to_numpy()[order]
-    shared = rows.sparkSession.sparkContext.broadcast((known, train, logp))
-    floor = math.log10(total + 0.5 * (distinct + 1)) if total else math.log10(0.5)
-
-    def base(c: np.ndarray) -> np.ndarray:
-        return np.log10(c + 0.5) - floor
+    """Bring the words' scores to the documents: the head by broadcast, the rest by a join on the word."""
+    # the least count that at most ``head`` words reach
+    sizes = scored.groupBy("n").count().where(F.col("n") > 1).orderBy(F.desc("n")).limit(head).collect()
+    least, sofar = 1 << 62, 0
+    for r in sizes:
+        sofar += r["count"]
+        if sofar > head:
+            break
+        least = r["n"]
+    top = scored.where(F.col("n") >= least).select("word", "train", "logp").toArrow()
+    texts = Words(top["word"])  # a word has no white space, so each row holds one
+    hashes = texts.hashes()
+    order = np.argsort(hashes)
+    shared = rows.sparkSession.sparkContext.broadcast((hashes[order], top["train"].to_numpy()[order], top["logp"].to_numpy()[order]))
+    floor = math.log10(total + 0.5 * (distinct + 1))
+    base = lambda c: np.log10(c + 0.5) - floor
 
     def scored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         known, train, logp = shared.value
-        base_of, known_of = base(train), train > 0
+        columns = (base(train), logp, (train > 0).astype(float))
+        key = TaskContext.get().partitionId() << 40
         for b in (part for batch in batches for part in slices(batch, "text", 4 << 20)):
             words = Words(b.column("text"), lower=True)
-            hashes, of, n_docs_here = words.hashes(), words.text_of(), b.num_rows
+            hashes, of, n = words.hashes(), words.text_of(), b.num_rows
             at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
             found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-            per = lambda x: np.bincount(of[found], weights=x[at[found]], minlength=n_docs_here)
-            sums = [per(base_of), per(logp), per(known_of).astype(np.int64)]
-            # the other words of each document, with counts
+            sums = [np.bincount(of[found], weights=x[at[found]], minlength=n) for x in columns]
             rest = np.flatnonzero(~found)
-            tail = pa.nulls(n_docs_here, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            if len(rest):
-                raw = words.data.tobytes()
-                texts = pa.array([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(words.start[rest].tolist(), words.end[rest].tolist())], pa.string())
-                bounds = np.searchsorted(of[rest], np.arange(n_docs_here + 1))
-                tail = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([texts, pa.array(np.ones(len(rest), np.int64))], ["word", "n"]))
+            raw = words.data.tobytes()
+            texts = [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(words.start[rest].tolist(), words.end[rest].tolist())]
+            bounds = np.searchsorted(of[rest], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(words.count + 1), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), tail],
-                names=["doc_id", "held_out", "n_words", "known", "base", "logp", "tail"],
-            )
-
-    schema = "doc_id long, held_out boolean, n_words long, known long, base double, logp double, tail array<struct<word:string,n:long>>"
-    part = rows.mapInArrow(scored_rows, schema)
-    return part, scored  # replaced below
+                [
+                    pa.array(key + np.arange(n)), b.column("doc_id"), b.column("held_out"), pa.array(words.count + 1),
+                    pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(texts, pa.string())),
+                ],
+                names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "logp", "rest"],
+            )
+            key += n
+
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, logp double, rest array<string>"
+    docs = keep(rows.mapInArrow(scored_rows, schema))
+    rest = (
+        docs.select("key", F.explode("rest").alias("word"))
+        .join(scored, "word")
+        .groupBy("key")
+        .agg(F.sum(F.log10(F.col("train") + 0.5) - floor).alias("b"), F.sum("logp").alias("l"), F.count_if(F.col("train") > 0).alias("k"))
+    )
+    zero = F.lit(0.0)
+    return docs.drop("rest").join(rest, "key", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce("k", F.lit(0)) + int(n_docs > 0)).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("b", zero) + float(base(np.array(n_docs)))).alias("base_score"),
+        ((F.col("logp") + F.coalesce("l", zero) + end_logp) / math.log(10)).alias("score"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, line_dedup, packing, quality_rules, sharding, token_files
+from . import classifier, decontamination, line_dedup, lm_scoring, packing, quality_rules, sharding, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -49,6 +49,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lm_scoring.load_pieces(tokenizer_file("piece_bpe_32k.model"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), pieces)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.document_table(spark, docs, tokenizer_file("word_bpe_49k.json"))
@@ -71,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op7_token_files, op8_quality_rules, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
