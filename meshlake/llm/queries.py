@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, line_dedup, lm_scoring, packing, quality_rules, sharding, token_files
+from . import classifier, decontamination, line_dedup, lm_scoring, packing, quality_rules, sharding, substring_dedup, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -49,6 +49,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = lm_scoring.load_pieces(tokenizer_file("piece_bpe_32k.model"))
     return lm_scoring.score(table(spark, sf_dir, "documents"), pieces)
@@ -76,11 +81,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}
 
 
 #: Words, shingles and windows by brute force; the best window of each document and item, the first of equals.
@@ -138,3 +143,21 @@ LEFT JOIN (
   WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM gone) GROUP BY doc_id
 ) USING (doc_id)
 """
+
+
+#: Every window of 20 words with its earliest place.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p + 1 : p + 20], ' ') AS s FROM d, unnest(range(0, greatest(0, len(w) - 19))) AS t(p)
+), repeats AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, p + k AS i FROM repeats, unnest(range(0, 20)) AS t(k)
+), counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, string_agg(w[t.i + 1], ' ' ORDER BY t.i) AS s
+  FROM d, unnest(range(0, len(w))) AS t(i) LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.i = t.i WHERE gone.i IS NULL GROUP BY d.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
