@@ -36,7 +36,8 @@ from ._words import Words, mix64, positions, signed, slices
 
 #: Words of a window.
 WINDOW = 20
-ROUNDS = 12
+#: Rounds end where no window has ENOUGH symbols left; an anchor is the least-named phrase of PHRASE of them.
+ROUNDS, ENOUGH, PHRASE = 12, 7, 4
 _SLICE = 2 << 20
 
 
@@ -46,11 +47,36 @@ def windows_of(words: Words, width: int) -> np.ndarray:
     return positions(n) + np.repeat(words.first[:-1], n)
 
 
+def least_phrases(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(name, index)`` of the least-named phrase of PHRASE symbols in each range, the first of equals."""
+    name = np.zeros(len(symbols) - PHRASE + 1, np.uint64)
+    for k in range(PHRASE):
+        name = mix64(name + symbols[k : len(symbols) - PHRASE + 1 + k] + np.uint64(level << 32))
+    size = right - left - PHRASE + 1
+    # index of the least name of 1, 2, 4, ... phrases from each place on; two of them cover a range
+    least = [np.arange(len(name))]
+    while 2 << (len(least) - 1) <= size.max():
+        one, step = least[-1], 1 << (len(least) - 1)
+        other = one[np.minimum(np.arange(len(name)) + step, len(name) - 1)]
+        least.append(np.where(name[other] < name[one], other, one))
+    found = np.empty(len(left), np.int64)
+    power = np.frexp(size)[1] - 1  # of the largest span that fits
+    for k, table in enumerate(least):
+        of = power == k
+        a, b = table[left[of]], table[left[of] + size[of] - (1 << k)]
+        found[of] = np.where(name[b] < name[a], b, a)
+    return name[found], found
+
+
 def anchors(symbols: np.ndarray, of: np.ndarray, at: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """``(name, place)`` of the anchor of each window of ``width`` symbols that begins in ``at``; ``of`` tells texts apart."""
-    name, place = mix64(symbols[at]), at.copy()
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    if width < PHRASE:
+        return window_hashes(symbols, at, width, 0x9E3779B97F4A7C15), at
+    name, place = least_phrases(symbols, at, at + width, 0)
     start = np.arange(len(symbols))  # first word of each symbol
-    left, right = at.copy(), at + width  # the symbols of the window that no neighbour changes
+    left, right = at, at + width  # the symbols of the window that no neighbour changes
     live = np.arange(len(at))
     for level in range(1, rounds + 1):
         # runs; the first and the last may go on outside
@@ -79,10 +105,14 @@ def anchors(symbols: np.ndarray, of: np.ndarray, at: np.ndarray, width: int, rou
         if not len(live):
             break
         left, right = index[left], index[right - 1] + 1
+        ok = right - left >= ENOUGH
+        live, left, right = live[ok], left[ok], right[ok]
+        if not len(live):
+            break
         joined = np.where(pair, mix64(mix64(symbols + np.uint64(0xA0761D6478BD642F)) + np.roll(symbols, -1)), symbols)
         symbols, of, start = joined[~second], of[~second], start[~second]
-        name[live] = mix64(symbols[left] + np.uint64(level << 32))
-        place[live] = start[left]
+        name[live], found = least_phrases(symbols, left, right, level)
+        place[live] = start[found]
     return name, place
 
 
