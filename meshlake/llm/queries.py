@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, line_dedup, lm_scoring, packing, quality_rules, sharding, substring_dedup, token_files
+from . import classifier, decontamination, line_dedup, lm_scoring, minhash, packing, quality_rules, sharding, substring_dedup, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -69,6 +69,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.references(docs))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -81,11 +85,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_near_dedup": OP9_SQL}
 
 
 #: Words, shingles and windows by brute force; the best window of each document and item, the first of equals.
@@ -161,3 +165,23 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+#: Exact similarities of all documents that share a shingle, and the least id that each reaches.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM d, unnest(range(0, greatest(1, len(w) - 4))) AS t(p) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT DISTINCT a, a AS b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON a = doc_id
+"""
