@@ -217,14 +217,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
     # at most max_train short rows are broadcast; the texts do not move
     rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "__id").select("__label", "__text")
     sample = rows.orderBy(F.xxhash64("__text"), "__text", "__label").limit(max_train).withColumn("all", F.lit("all"))
-    found = sample.groupBy("all").applyInPandas(lambda got: trained(got, seed), "net binary").collect()
-    return Net.loads(found[0]["net"] if found else None)
+    found = sample.groupBy("all").applyInPandas(lambda got: trained(got, seed), "net binary, ones long, n long").collect()
+    if not found:
+        return Net.loads(None)
+    net, (ones, n) = Net.loads(found[0]["net"]), found[0][1:]
+    # the sample has more of the rarer class than the table; the scores are to follow the table's shares
+    true = marked.agg(F.sum("__label").alias("ones"), F.count("*").alias("n")).first()
+    odds = lambda ones, n: np.log((ones + 1) / (n - ones + 1))
+    if 0 < ones < n:
+        net.out_bias += float(odds(true["ones"], true["n"]) - odds(ones, n))
+    return net
 
 
 def trained(got: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Train in one task on the bounded sample, in an order that its rows alone decide."""
     got = got.sort_values(["__text", "__label"])
-    return pd.DataFrame({"net": [train(list(got["__text"]), got["__label"].to_numpy(), seed).dumps()]})
+    labels = got["__label"].to_numpy()
+    return pd.DataFrame({"net": [train(list(got["__text"]), labels, seed).dumps()], "ones": [int(labels.sum())], "n": [len(labels)]})
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
