@@ -198,6 +198,8 @@ class WordTokenizer:
 
     MOST = 1_000_000
     AT_ONCE = 10_000
+    #: Parts encoded in one text, and what stands between those that may hold several runs: a control character, which no printable part has.
+    JOIN, GLUE = 256, "\x01"
 
     def __init__(self, path: str):
         import os
@@ -207,6 +209,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        ends = np.array([i for t, i in vocabulary.items() if t.endswith("</w>")], np.int64)
+        glue = self.encode([self.GLUE])[0]
+        self.word_ends, self.glue_ends = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.word_ends[ends] = True
+        if not len(ends) or len(glue) != 1:  # no such marks: every part is encoded alone
+            self.word_ends = np.zeros(0, bool)
+        else:
+            self.glue_ends[glue] = True
         self.clear()
 
     def clear(self) -> None:
@@ -215,16 +226,40 @@ class WordTokenizer:
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for a in range(0, len(texts), self.AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[a : a + self.AT_ONCE], add_special_tokens=False)]
+
+    def together(self, parts: list[str], glue: str, last: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """``(sizes, ids)`` of parts encoded JOIN at a time; each ends with an id in ``last``, of which the last ``drop`` are the glue's."""
+        rows = self.encode([glue.join(parts[a : a + self.JOIN]) + glue for a in range(0, len(parts), self.JOIN)])
+        ids = np.fromiter((i for row in rows for i in row), np.uint32, sum(map(len, rows)))
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(parts):
+            return None
+        stay = np.ones(len(ids), bool)
+        if drop:
+            stay[ends - 1] = False
+        return np.diff(ends, prepend=0) - drop, ids[stay]
+
     def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
-        ids, sizes = [], []
-        for a in range(0, len(parts), self.AT_ONCE):
-            for x in self.tokenizer.encode_batch_fast(parts[a : a + self.AT_ONCE], add_special_tokens=False):
-                got = x.ids
-                sizes.append(len(got))
-                ids += got
-        sizes = np.array(sizes, np.int32)
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        """Encode new parts: many in one text where the ids tell where each ends, else one by one."""
+        plain, glued, alone = [], [], []
+        for k, p in enumerate(parts):
+            # a printable ASCII part without apostrophe is one run, so only its last id ends a word
+            group = alone if not p or not p.isprintable() or not len(self.word_ends) else plain if p.isascii() and "'" not in p else glued
+            group.append(k)
+        sizes, starts = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int64)
+        new, total = [self.ids], len(self.ids)
+        for group, glue, last, drop in ((plain, " ", self.word_ends, 0), (glued, f" {self.GLUE} ", self.glue_ends, 1), (alone, None, None, 0)):
+            found = self.together([parts[k] for k in group], glue, last, drop) if glue and group else None
+            if found is None:
+                rows = self.encode([parts[k] for k in group])
+                found = np.fromiter(map(len, rows), np.int32, len(rows)), np.array([i for row in rows for i in row], np.uint32)
+            sizes[group] = found[0]
+            starts[group] = total + np.cumsum(found[0]) - found[0]
+            new.append(found[1])
+            total += len(found[1])
+        self.ids = np.concatenate(new)
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
         self.sizes = np.insert(self.sizes, at, sizes)
