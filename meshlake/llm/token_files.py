@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -175,12 +176,13 @@ def pre_tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     single digits and runs of other ASCII marks; a word with an apostrophe or a byte beyond ASCII stays whole.
     """
     kind = _KIND[words.data]
-    hard = np.concatenate([[0], np.cumsum(kind == 4)])
+    hard = np.zeros(len(kind) + 1, np.int32)
+    np.cumsum(kind == 4, out=hard[1:])
     plain = hard[words.end] == hard[words.start]
-    edge = np.zeros(len(kind) + 1, np.int32)
+    edge = np.zeros(len(kind) + 1, np.int8)
     edge[words.start[plain]] += 1
     edge[words.end[plain]] -= 1
-    inside = np.cumsum(edge[:-1]) > 0
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
     cut = np.zeros(len(kind), bool)
     cut[1:] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0)
     cuts = np.flatnonzero(cut)
@@ -269,7 +271,13 @@ class WordTokenizer:
         """``(lengths, ids)`` of all texts; ``end_id`` follows each text."""
         words = Words(column, lower=True)
         begin, stop, first_of = pre_tokens(words)
-        distinct, first, inverse = np.unique(span_hashes(words.data, begin, stop), return_index=True, return_inverse=True)
+        inverse, distinct = pd.factorize(span_hashes(words.data, begin, stop))
+        first = np.empty(len(distinct), np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+        order = np.argsort(distinct)
+        distinct, first = distinct[order], first[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         if len(self.known) > self.MOST:
             self.clear()
         at = np.searchsorted(self.known, distinct)
@@ -278,6 +286,7 @@ class WordTokenizer:
             raw = words.data.tobytes()
             self.learn(distinct[new], [raw[s:e].decode() for s, e in zip(begin[first[new]].tolist(), stop[first[new]].tolist())])
             at = np.searchsorted(self.known, distinct)
+        at = at[rank]
         size, start = self.sizes[at][inverse], self.starts[at][inverse]
         total = np.concatenate([[0], np.cumsum(size)])
         bounds = total[first_of]
