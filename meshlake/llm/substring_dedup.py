@@ -12,8 +12,8 @@ of those is the window's anchor: equal windows have equal anchors.
 
 1. Spark counts the anchors' names over the corpus.  A window whose anchor stands nowhere
    else is no repeat.
-2. The other windows are verified by two independent 64-bit hashes of all their words,
-   and Spark finds the earliest place of each.
+2. The other windows are verified by two independent hashes of all their words (96 bits
+   together), and Spark finds the earliest place of each.
 3. Words of windows that stand earlier elsewhere are taken out.
 
 The texts are written once as a table bucketed by document, so that steps 2 and 3 bring
@@ -129,7 +129,7 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int, base: int) ->
 
 
 def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The names of each document's anchors, each once, with the number of places."""
+    """The names of each document's anchors, once each, or twice for two places or more."""
     for b in (part for batch in batches for part in slices(batch, "text", _SLICE)):
         words = Words(b.column("text"))
         at, of = windows_of(words, width), words.text_of()
@@ -142,16 +142,17 @@ def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         name, place, doc = name[order], place[order], doc[order]
         first = np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))
         again = np.append(False, place[1:] != place[:-1]) & ~first
+        # a name at two places of its document comes twice, which is enough to be shared
         begin = np.flatnonzero(first)
-        n = np.minimum(2, 1 + np.add.reduceat(again.astype(np.int64), begin))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(name[begin])), b.column("row").take(pa.array(doc[begin])), pa.array(n.astype(np.int32))], names=["name", "row", "n"])
+        at = np.repeat(begin, np.minimum(2, 1 + np.add.reduceat(again.astype(np.int64), begin)))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(name[at])), b.column("row").take(pa.array(doc[at]))], names=["name", "row"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The windows whose anchors are shared: two hashes and the place.
 
     Of equal windows in one batch only the earliest has to be compared; the others go on
-    with hashes of their own and the mark that they are no first ones.
+    with hashes of their own and the complement of their start, which marks them as repeats.
     """
     for b in (part for batch in batches for part in slices(batch, "text", _SLICE)):
         words = Words(b.column("text"))
@@ -180,8 +181,8 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         again &= ~((same == same[lead]) & (start == start[lead])) if len(at) else again
         one = np.where(again, mix64(one + mix64(np.arange(1, len(one) + 1, dtype=np.uint64))), one)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(one)), pa.array(signed(two)), b.column("doc_id").take(pa.array(doc)), b.column("row").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(again)],
-            names=["one", "two", "doc_id", "row", "start", "again"],
+            [pa.array(signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column("doc_id").take(pa.array(doc)), b.column("row").take(pa.array(doc)), pa.array(np.where(again, ~start, start).astype(np.int32))],
+            names=["one", "two", "doc_id", "row", "start"],
         )
 
 
@@ -226,16 +227,17 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(id_col, text).alias("row"))
     name = f"meshlake_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(parts, "row").option("path", shared_folder(spark)).saveAsTable(name)
+    rows.write.bucketBy(parts, "row").option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
 
-    named = table.select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long, n int")
-    total = F.sum("n").over(Window.partitionBy("name"))
+    named = table.select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long")
+    total = F.count("*").over(Window.partitionBy("name"))
     shared = keep(named.withColumn("total", total).where("total > 1").groupBy("row").agg(F.collect_set("name").alias("names")))
     verify = table.join(shared, "row").select("doc_id", "row", "text", "names")
-    places = verify.mapInArrow(lambda batches: _verified(batches, width), "one long, two long, doc_id long, row long, start int, again boolean")
+    places = verify.mapInArrow(lambda batches: _verified(batches, width), "one long, two int, doc_id long, row long, start int")
     place = F.struct("doc_id", "row", "start")
     judged = places.withColumn("first", F.min(place).over(Window.partitionBy("one", "two")))
-    removed = keep(judged.where(F.col("again") | (place > F.col("first"))).groupBy("row").agg(F.collect_set("start").alias("starts")))
+    start = F.when(F.col("start") < 0, F.bitwise_not("start")).otherwise(F.col("start"))
+    removed = keep(judged.where((F.col("start") < 0) | (place > F.col("first"))).groupBy("row").agg(F.collect_set(start).alias("starts")))
     left = table.join(removed, "row", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return left.mapInArrow(lambda batches: _left(batches, width), "doc_id long, text string, n_words long, n_removed long")
