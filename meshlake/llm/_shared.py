@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +36,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a kept table dealt into buckets by ``key``: joins on it move the other side only."""
+    spark = df.sparkSession
+    name, path = f"meshlake_{uuid.uuid4().hex}", shared_folder(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm
@@ -44,9 +55,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def _clear() -> None:
     spark = SparkSession.getActiveSession()
-    for path in _made if spark is not None else []:
+    for name, path in [(x, None) for x in _tables] + [(None, x) for x in _made] if spark is not None else []:
         try:
-            delete(spark, path)
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 

@@ -6,6 +6,10 @@ the same place.  So each line indexes its segments by (length, number, segment),
 probes the indexes of all lengths it could match with those of its substrings whose place
 allows it.  Both sides are rows that meet in one Spark join on a hash of the three.
 Candidates are verified by a banded bit-parallel edit distance.
+
+A segment that more than SHORT lines have would give too many pairs.  Its lines are laid
+in blocks instead, each pair of blocks is compared in a task, and the task gives only the
+lines that are near an earlier one.
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep
+from ._shared import bucketed, keep
 from ._words import mix64, signed, slices
 
 #: Most edits (of code points) between near-equal lines.
@@ -25,6 +30,11 @@ THRESHOLD = 2
 #: Shorter lines, in code points, are compared for equality only.
 MIN_CHARS = 20
 
+#: Most lines with one segment whose pairs are written out, and lines of a block for segments that more have.
+SHORT, BLOCK = 16, 256
+#: Keys that may be broadcast, by count; more go by a shuffle.
+BROADCAST = 500_000
+
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -161,10 +171,39 @@ def _plain_distance(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
+def later_ones(order: np.ndarray, side: np.ndarray, codes: list[np.ndarray], threshold: int) -> np.ndarray:
+    """True for each line within ``threshold`` edits of one that is earlier by ``order``; with two sides, of the other side.
+
+    Lines so near have like lengths, and counts of characters that differ by two at most
+    for each edit.  Of what is left, every line tries its earlier ones in turn until one is near.
+    """
+    n = np.fromiter(map(len, codes), np.int64, len(codes))
+    counts = np.zeros((len(codes), 64), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(codes)), n), np.concatenate(codes) % 64), 1)
+    two_sides = side.min() != side.max()
+    tries = []
+    for b in range(len(codes)):
+        able = (order < order[b]) & (abs(n - n[b]) <= threshold)
+        if two_sides:
+            able &= side != side[b]
+        a = np.flatnonzero(able)
+        a = a[abs(counts[a] - counts[b]).sum(1) <= 2 * threshold]
+        tries.append(a[np.argsort(order[a])])
+    near = np.zeros(len(codes), bool)
+    turn, live = 0, [b for b, a in enumerate(tries) if len(a)]
+    while live:
+        for c in range(0, len(live), 256):
+            part = live[c : c + 256]
+            near[part] = banded_distance([codes[tries[b][turn]] for b in part], [codes[b] for b in part], threshold) <= threshold
+        turn += 1
+        live = [b for b in live if not near[b] and len(tries[b]) > turn]
+    return near
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with a word: its place and its text."""
     return docs.select(
-        F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line")
+        F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line")
     ).where(F.col("line").rlike(_HAS_WORD))
 
 
@@ -181,17 +220,15 @@ def _keys(lines: DataFrame, role: str, threshold: int, min_chars: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[first][line])], names=["key", "id"])
 
     long_lines = lines.where(F.char_length("line") >= min_chars).select(_line_id(), "line")
-    return long_lines.mapInArrow(made, "key long, id long").repartition("key").dropDuplicates(["key", "id"])
+    return long_lines.mapInArrow(made, "key long, id long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def near_pairs(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(a, b)``, ids of different lines within ``threshold`` edits, a < b.  ``lines`` has a string column ``line``."""
-    index = _keys(lines, "index", threshold, min_chars).withColumnRenamed("id", "a")
-    probe = _keys(lines, "probe", threshold, min_chars).withColumnRenamed("id", "b")
-    pairs = keep(index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = lines.select(_line_id(), "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    texts = keep(texts)
+def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b)``: the pairs of lines within ``threshold`` edits."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +248,50 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return both.mapInArrow(verified, "a long, b long")
 
 
+def _near_in_blocks(members: DataFrame, texts: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
+    """``id`` of the lines near an earlier one that has the same key, by pairs of blocks of each key's lines."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(_small(keep(sizes)), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    other = dealt.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = other.select("key", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    lines = keep(texts.join(firsts.select("id", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.no").alias("no")), "id"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rank = pc.sort_indices(group, sort_keys=[(c, "ascending") for c in ("doc", "row", "no")], null_placement="at_start").to_numpy()
+        order = np.empty(len(rank), np.int64)
+        order[rank] = np.arange(len(rank))
+        codes, offsets = code_points(group["line"].chunk(0))
+        near = later_ones(order, group["side"].to_numpy(), [codes[s:e] for s, e in zip(offsets, offsets[1:])], threshold)
+        return group.select(["id"]).filter(pa.array(near))
+
+    return pairs.join(lines, "id").groupBy("key", "i", "j").applyInArrow(compared, "id long")
+
+
+def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``id`` of the lines within ``threshold`` edits of a different line whose first place is earlier.
+
+    ``lines`` has a string column ``line``, ``firsts`` the first place of each line's id.
+    """
+    index = keep(_keys(lines, "index", threshold, min_chars))
+    counts = index.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
+    long = keep(counts.where((F.col("c") > SHORT) & (F.col("low") < F.col("high"))).select("key"))
+    short = index.join(_small(long), "key", "left_anti").dropDuplicates(["key", "id"])
+    # a probe of a long key meets one row, which only says so
+    probed = short.select("key", F.col("id").alias("a")).union(long.select("key", F.lit(None).cast("long").alias("a")))
+    met = _keys(lines, "probe", threshold, min_chars).withColumnRenamed("id", "b").join(probed, "key")
+    met = keep(met.where("a is null or a <> b").select(F.when(F.col("a").isNull(), F.col("key")).alias("key"), F.least("a", "b").alias("a"), F.when(F.col("a").isNull(), F.col("b")).otherwise(F.greatest("a", "b")).alias("b")).distinct())
+    pairs = met.where("key is null").select("a", "b")
+    members = keep(met.where("key is not null").select("key", F.col("b").alias("id")).union(index.join(_small(long), "key", "left_semi").select("key", "id")).distinct())
+
+    wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
+    texts = keep(lines.select(_line_id(), "line").join(_small(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
+    near = _near_pairs(pairs, texts, threshold)
+    ends = near.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
+    later = ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    return later.union(_near_in_blocks(members, texts, firsts, threshold)).distinct()
+
+
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that are left in ``text_col``, and ``n_lines`` and ``n_removed`` of lines that have a word.
 
@@ -222,25 +303,24 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     of the text.  Null texts stay null and empty ones empty, with no lines.  No row goes.
     Columns of the input named ``n_lines`` or ``n_removed`` are replaced.
     """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = _lines(docs, id_col, text_col)
-    place = F.struct("doc", "copy", "no")
-    firsts = lines.select(_line_id(), place.alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    firsts = keep(firsts)
-    near = keep(near_pairs(lines, threshold, min_chars))
-    ends = near.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    killed = ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("killed", F.lit(True))
+    place = F.struct("doc", "row", "no")
+    firsts = keep(lines.select(_line_id(), place.alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.max("at").alias("last")))
+    killed = near_lines(lines, firsts, threshold, min_chars).withColumn("killed", F.lit(True))
     # ids with anything to remove: killed ones wholly, others but for their first place
     gone = firsts.join(killed, "id", "left").where("killed or first < last").select("id", "first", F.coalesce("killed", F.lit(False)).alias("killed"))
-    removed = lines.select(_line_id(), "doc", "copy", "no").join(gone, "id").where(F.col("killed") | (place > F.col("first")))
-    by_doc = removed.select("doc", "copy", "no").distinct().groupBy("doc", "copy").agg(F.collect_list("no").alias("nos"))
+    gone = keep(gone)
+    removed = lines.select(_line_id(), "doc", "row", "no").join(_small(gone), "id").where(F.col("killed") | (place > F.col("first")))
+    by_row = keep(removed.select("row", "no").groupBy(F.col("row").alias("__row")).agg(F.collect_set("no").alias("__nos")))
 
     parts = F.split(F.col(text_col), "\n", -1)
     n_lines = F.size(F.filter(parts, lambda x: x.rlike(_HAS_WORD)))
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("nos"), i)), "\n")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text_col) == F.col("copy")), "left")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__nos"), i)), "\n")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(id_col, text_col).alias("__row"))
+    joined = bucketed(rows, "__row").join(by_row, "__row", "left")  # texts stay where they are
     return joined.select(
-        *[F.when(F.col("nos").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+        *[F.when(F.col("__nos").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("nos").isNull(), 0).otherwise(F.size("nos")).cast("long").alias("n_removed"),
+        F.when(F.col("__nos").isNull(), 0).otherwise(F.size("__nos")).cast("long").alias("n_removed"),
     )

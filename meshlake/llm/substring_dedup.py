@@ -22,7 +22,6 @@ the findings to the texts without moving texts again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import keep, shared_folder
+from ._shared import bucketed, keep
 from ._words import Words, mix64, positions, signed, slices
 
 #: Words of a window.
@@ -225,10 +224,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(id_col, text).alias("row"))
-    name = f"meshlake_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(parts, "row").option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
+    table = bucketed(rows, "row")
 
     named = table.select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long")
     total = F.count("*").over(Window.partitionBy("name"))
