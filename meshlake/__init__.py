@@ -1 +1 @@
-"""Numeric tables, volumes and training-data operations on Spark DataFrames."""
+"""Analytics on large numeric tables and 3-D volumes as Spark DataFrame transformations."""
