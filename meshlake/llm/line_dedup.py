@@ -35,7 +35,11 @@ SHORT, BLOCK = 16, 256
 #: Keys that may be broadcast, by count; more go by a shuffle.
 BROADCAST = 500_000
 
-_HAS_WORD = r"[^\x20\x09-\x0D]"
+_SPACE = " \t\n\x0b\x0c\r"
+
+
+def has_word(line: F.Column) -> F.Column:
+    return F.ltrim(line, F.lit(_SPACE)) != ""
 
 
 def segments(length: np.ndarray, number: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,12 +194,15 @@ def later_ones(order: np.ndarray, side: np.ndarray, codes: list[np.ndarray], thr
         a = a[abs(counts[a] - counts[b]).sum(1) <= 2 * threshold]
         tries.append(a[np.argsort(order[a])])
     near = np.zeros(len(codes), bool)
-    turn, live = 0, [b for b, a in enumerate(tries) if len(a)]
+    turn, step, live = 0, 1, [b for b, a in enumerate(tries) if len(a)]
     while live:
-        for c in range(0, len(live), 256):
-            part = live[c : c + 256]
-            near[part] = banded_distance([codes[tries[b][turn]] for b in part], [codes[b] for b in part], threshold) <= threshold
-        turn += 1
+        pairs = [(a, b) for b in live for a in tries[b][turn : turn + step]]
+        pairs.sort(key=lambda p: n[p[1]])  # of like lengths, for little padding
+        for c in range(0, len(pairs), 1024):
+            part = pairs[c : c + 1024]
+            found = banded_distance([codes[a] for a, _ in part], [codes[b] for _, b in part], threshold) <= threshold
+            near[[b for (_, b), x in zip(part, found) if x]] = True
+        turn, step = turn + step, 4 * step
         live = [b for b in live if not near[b] and len(tries[b]) > turn]
     return near
 
@@ -204,7 +211,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with a word: its place and its text."""
     return docs.select(
         F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line")
-    ).where(F.col("line").rlike(_HAS_WORD))
+    ).where(has_word(F.col("line")))
 
 
 def _line_id() -> F.Column:
@@ -315,10 +322,12 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     by_row = keep(removed.select("row", "no").groupBy(F.col("row").alias("__row")).agg(F.collect_set("no").alias("__nos")))
 
     parts = F.split(F.col(text_col), "\n", -1)
-    n_lines = F.size(F.filter(parts, lambda x: x.rlike(_HAS_WORD)))
+    n_lines = F.size(F.filter(parts, lambda x: has_word(x)))
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__nos"), i)), "\n")
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(id_col, text_col).alias("__row"))
-    joined = bucketed(rows, "__row").join(by_row, "__row", "left")  # texts stay where they are
+    # texts stay where they are: the other side is broadcast if its size allows it, else the texts are bucketed
+    n = by_row.agg(F.sum(F.size("__nos"))).first()[0] or 0
+    joined = rows.join(F.broadcast(by_row), "__row", "left") if n <= BROADCAST else bucketed(rows, "__row").join(by_row, "__row", "left")
     return joined.select(
         *[F.when(F.col("__nos").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
