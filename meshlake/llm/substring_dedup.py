@@ -10,6 +10,9 @@ may go together with what stands outside.  ``anchors`` follows for each window w
 symbols no neighbour can change, up to the last round in which one is left.  The first
 of those is the window's anchor: equal windows have equal anchors.
 
+Documents with the text of an earlier one are copies: all their windows stand earlier, so
+they go on to step 3 at once.  The others take all steps.
+
 1. Spark counts the anchors' names over the corpus.  A window whose anchor stands nowhere
    else is no repeat.
 2. The other windows are verified by two independent hashes of all their words (96 bits
@@ -38,6 +41,8 @@ WINDOW = 20
 #: Rounds end where no window has ENOUGH symbols left; an anchor is the least-named phrase of PHRASE of them.
 ROUNDS, ENOUGH, PHRASE = 12, 7, 4
 _SLICE = 2 << 20
+#: Longs that may be broadcast, by count; more go by a shuffle.
+BROADCAST = 500_000
 
 
 def windows_of(words: Words, width: int) -> np.ndarray:
@@ -186,7 +191,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _left(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The words that stay, joined by one space."""
+    """The words that stay, joined by one space: none of a copy, but for one too short for a window."""
     for b in (part for batch in batches for part in slices(batch, "text", _SLICE)):
         words = Words(b.column("text"))
         starts = b.column("starts")
@@ -194,7 +199,8 @@ def _left(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         at = starts.flatten().to_numpy() + words.first[doc]
         covered = np.bincount(at, minlength=len(words) + width + 1)[: len(words) + width + 1]
         covered[width:] -= np.bincount(at, minlength=len(words) + width + 1)[: len(words) + 1]
-        gone = np.cumsum(covered)[: len(words)] > 0
+        copy = np.asarray(b.column("copy").to_numpy(zero_copy_only=False), bool) & (words.count >= width)
+        gone = (np.cumsum(covered)[: len(words)] > 0) | copy[words.text_of()]
         stay = np.flatnonzero(~gone)
         of = words.text_of()
         data = words.data.copy()
@@ -224,9 +230,15 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(id_col, text).alias("row"))
-    table = bucketed(rows, "row")
-
-    named = table.select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long")
+    # texts are told apart by 128 bits of hashes
+    equal = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    keyed = rows.select("row", "doc_id", *equal)
+    first = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    copies = keep(keyed.join(first, ["h1", "h2"]).where("row <> first.row").select("row").distinct().withColumn("copy", F.lit(True)))
+    few = F.broadcast(copies) if copies.count() <= BROADCAST else copies
+    table = bucketed(rows.join(few, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "row")
+
+    named = table.where("not copy").select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long")
     total = F.count("*").over(Window.partitionBy("name"))
     shared = keep(named.withColumn("total", total).where("total > 1").groupBy("row").agg(F.collect_set("name").alias("names")))
     verify = table.join(shared, "row").select("doc_id", "row", "text", "names")
@@ -235,5 +247,5 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     judged = places.withColumn("first", F.min(place).over(Window.partitionBy("one", "two")))
     start = F.when(F.col("start") < 0, F.bitwise_not("start")).otherwise(F.col("start"))
     removed = keep(judged.where((F.col("start") < 0) | (place > F.col("first"))).groupBy("row").agg(F.collect_set(start).alias("starts")))
-    left = table.join(removed, "row", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    left = table.join(removed, "row", "left").select("doc_id", "text", "copy", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return left.mapInArrow(lambda batches: _left(batches, width), "doc_id long, text string, n_words long, n_removed long")
