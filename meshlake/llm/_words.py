@@ -97,7 +97,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
         b = max(a + 1, int(np.searchsorted(start, start[a] + _STEP)))
         lo, hi = int(start[a]), int(end[b - 1])
         # sum of value(byte) * base^place, by prefix sums; the base is odd, so it can be divided out
-        powers, inverse = _powers(hi - lo + 1)
+        powers, inverse = powers_of(hi - lo + 1)
         run = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(table[data[lo:hi]] * powers[: hi - lo], out=run[1:])
         s, e = start[a:b] - lo, end[a:b] - lo
@@ -109,7 +109,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 _cache: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd base, and those of its inverse; kept for later calls."""
     if not _cache or len(_cache[0]) < n:
         base = 0x9E3779B97F4A7C15
         size = 1 << max(16, int(n - 1).bit_length())

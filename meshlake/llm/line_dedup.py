@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import bucketed, keep
-from ._words import mix64, signed, slices
+from ._words import mix64, powers_of, signed, slices
 
 #: Most edits (of code points) between near-equal lines.
 THRESHOLD = 2
@@ -73,17 +73,18 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Substrings:
     """Hashes of any substrings of a batch, from one prefix sum."""
 
-    BASE = 0x9E3779B97F4A7C15
+    #: Values of the characters of the basic plane; others are mixed as they come.
+    TABLE = mix64(np.arange(1, 1 << 16, dtype=np.uint64))
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
-        powers = np.full(n + 1, self.BASE, np.uint64)
-        powers[0] = 1
-        inverse = np.full(n + 1, pow(self.BASE, -1, 2**64), np.uint64)
-        inverse[0] = 1
-        self.inverse = np.cumprod(inverse)
+        powers, self.inverse = powers_of(n + 1)
+        value = self.TABLE[np.minimum(codes, len(self.TABLE) - 1)]
+        rare = codes >= len(self.TABLE)
+        if rare.any():
+            value[rare] = mix64(codes[rare].astype(np.uint64) + np.uint64(1))
         self.run = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[:n], out=self.run[1:])
+        np.cumsum(np.multiply(value, powers[:n], out=value), out=self.run[1:])
 
     def __call__(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix64((self.run[start + size] - self.run[start]) * self.inverse[start])
@@ -327,7 +328,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(id_col, text_col).alias("__row"))
     # texts stay where they are: the other side is broadcast if its size allows it, else the texts are bucketed
     n = by_row.agg(F.sum(F.size("__nos"))).first()[0] or 0
-    joined = rows.join(F.broadcast(by_row), "__row", "left") if n <= BROADCAST else bucketed(rows, "__row").join(by_row, "__row", "left")
+    joined = rows.join(F.broadcast(by_row), "__row", "left") if n <= 4 * BROADCAST else bucketed(rows, "__row").join(by_row, "__row", "left")
     return joined.select(
         *[F.when(F.col("__nos").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
