@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that may be broadcast, by count; more go by a shuffle.
+BROADCAST = 500_000
 
 _made: list[str] = []
 _tables: list[str] = []
@@ -36,6 +40,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a kept table of narrow rows, marked for a broadcast if it has at most BROADCAST of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` as a kept table dealt into buckets by ``key``: joins on it move the other side only."""
     spark = df.sparkSession

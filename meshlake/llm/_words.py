@@ -158,7 +158,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Parts of a batch with about ``most`` bytes of text each (one row at least)."""
     _, offsets = text_bytes(batch.column(column))
     a, n = 0, batch.num_rows

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import keep, small
 from ._words import Words, mix64, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -189,4 +190,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without the documents that hold a benchmark item.  Rows with a null id are matched by their text alone."""
     marked = docs.withColumn("__mark", F.xxhash64(F.col(id_col), F.col(text_col)))
     bad = contaminated(marked, benchmark, id_col="__mark", text_col=text_col).select(F.col("doc_id").alias("__mark")).distinct()
-    return marked.join(bad, "__mark", "left_anti").select(*docs.columns)
+    return marked.join(small(keep(bad)), "__mark", "left_anti").select(*docs.columns)

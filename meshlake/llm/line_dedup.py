@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucketed, keep
+from ._shared import BROADCAST, bucketed, keep, small
 from ._words import mix64, powers_of, signed, slices
 
 #: Most edits (of code points) between near-equal lines.
@@ -32,8 +32,6 @@ MIN_CHARS = 20
 
 #: Most lines with one segment whose pairs are written out, and lines of a block for segments that more have.
 SHORT, BLOCK = 16, 256
-#: Keys that may be broadcast, by count; more go by a shuffle.
-BROADCAST = 500_000
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -231,10 +229,6 @@ def _keys(lines: DataFrame, role: str, threshold: int, min_chars: int) -> DataFr
     return long_lines.mapInArrow(made, "key long, id long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """``(a, b)``: the pairs of lines within ``threshold`` edits."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
@@ -259,7 +253,7 @@ def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
 def _near_in_blocks(members: DataFrame, texts: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
     """``id`` of the lines near an earlier one that has the same key, by pairs of blocks of each key's lines."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(_small(keep(sizes)), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    dealt = members.join(small(keep(sizes)), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     other = dealt.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = other.select("key", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     lines = keep(texts.join(firsts.select("id", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.no").alias("no")), "id"))
@@ -284,16 +278,16 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
     index = keep(_keys(lines, "index", threshold, min_chars))
     counts = index.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
     long = keep(counts.where((F.col("c") > SHORT) & (F.col("low") < F.col("high"))).select("key"))
-    short = index.join(_small(long), "key", "left_anti").dropDuplicates(["key", "id"])
+    short = index.join(small(long), "key", "left_anti").dropDuplicates(["key", "id"])
     # a probe of a long key meets one row, which only says so
     probed = short.select("key", F.col("id").alias("a")).union(long.select("key", F.lit(None).cast("long").alias("a")))
     met = _keys(lines, "probe", threshold, min_chars).withColumnRenamed("id", "b").join(probed, "key")
     met = keep(met.where("a is null or a <> b").select(F.when(F.col("a").isNull(), F.col("key")).alias("key"), F.least("a", "b").alias("a"), F.when(F.col("a").isNull(), F.col("b")).otherwise(F.greatest("a", "b")).alias("b")).distinct())
     pairs = met.where("key is null").select("a", "b")
-    members = keep(met.where("key is not null").select("key", F.col("b").alias("id")).union(index.join(_small(long), "key", "left_semi").select("key", "id")).distinct())
+    members = keep(met.where("key is not null").select("key", F.col("b").alias("id")).union(index.join(small(long), "key", "left_semi").select("key", "id")).distinct())
 
     wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
-    texts = keep(lines.select(_line_id(), "line").join(_small(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
+    texts = keep(lines.select(_line_id(), "line").join(small(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
     near = _near_pairs(pairs, texts, threshold)
     ends = near.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     later = ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
@@ -319,7 +313,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     # ids with anything to remove: killed ones wholly, others but for their first place
     gone = firsts.join(killed, "id", "left").where("killed or first < last").select("id", "first", F.coalesce("killed", F.lit(False)).alias("killed"))
     gone = keep(gone)
-    removed = lines.select(_line_id(), "doc", "row", "no").join(_small(gone), "id").where(F.col("killed") | (place > F.col("first")))
+    removed = lines.select(_line_id(), "doc", "row", "no").join(small(gone), "id").where(F.col("killed") | (place > F.col("first")))
     by_row = keep(removed.select("row", "no").groupBy(F.col("row").alias("__row")).agg(F.collect_set("no").alias("__nos")))
 
     parts = F.split(F.col(text_col), "\n", -1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep
+from ._shared import keep, small
 from ._words import Words, mix64, shingle_hashes, signed, slices
 from .components import components
 
@@ -44,8 +44,6 @@ LONG_LISTS, LONG_KEYS = 4, 8
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Lists with this share of all entries are set apart by a broadcast; so there are at most 1 / HUGE such lists.
 HUGE = 1e-4
-#: Longs that may be broadcast, by count; more go by a shuffle.
-BROADCAST = 500_000
 
 
 def set_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +113,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def full_sets(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(node, shingles)`` of the documents whose ``row`` is in ``rows``."""
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    wanted = F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
             hashes, first = set_of(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(signed(set_names(hashes, first))), parts(hashes, first)], names=["node", "shingles"])
 
-    return texts.join(wanted, "row", "left_semi").select("text").mapInArrow(made, "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.join(small(rows), "row", "left_semi").select("text").mapInArrow(made, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _short_pairs(entries: DataFrame, counts: DataFrame, huge: DataFrame, similarity: int) -> DataFrame:
@@ -252,7 +249,7 @@ def _in_blocks(keys: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     sizes = keys.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
     sizes = keep(sizes.select("v", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int")
-    dealt = keys.join(F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes, "v").withColumn("own", own)
+    dealt = keys.join(small(sizes), "v").withColumn("own", own)
     other = dealt.select("v", "node", "keys", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = other.select("v", "node", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     return pairs.join(sets, "node").groupBy("v", "i", "j").applyInArrow(lambda group: _compared(group, similarity), "a long, b long")
@@ -315,8 +312,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col:
     gone = keep(judged.where("row <> first").select("row"))
     twice = keep(judged.where("row = first and c > 1").select("row"))
     keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    marks = gone.union(twice).withColumnRenamed("row", "__row")
-    left = keyed.join(marks, "__row", "left_anti")
+    marks = keep(gone.union(twice).withColumnRenamed("row", "__row"))
+    left = keyed.join(small(marks), "__row", "left_anti")
     if not twice.isEmpty():
         left = left.unionByName(keyed.join(twice.withColumnRenamed("row", "__row"), "__row", "left_semi").dropDuplicates(["__row"]))
     return left.select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import bucketed, keep
+from ._shared import bucketed, keep, small
 from ._words import Words, mix64, positions, signed, slices
 
 #: Words of a window.
@@ -41,8 +41,6 @@ WINDOW = 20
 #: Rounds end where no window has ENOUGH symbols left; an anchor is the least-named phrase of PHRASE of them.
 ROUNDS, ENOUGH, PHRASE = 12, 7, 4
 _SLICE = 2 << 20
-#: Longs that may be broadcast, by count; more go by a shuffle.
-BROADCAST = 500_000
 
 
 def windows_of(words: Words, width: int) -> np.ndarray:
@@ -235,8 +233,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     keyed = rows.select("row", "doc_id", *equal)
     first = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c")).where("c > 1")
     copies = keep(keyed.join(first, ["h1", "h2"]).where("row <> first.row").select("row").distinct().withColumn("copy", F.lit(True)))
-    few = F.broadcast(copies) if copies.count() <= BROADCAST else copies
-    table = bucketed(rows.join(few, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "row")
+    table = bucketed(rows.join(small(copies), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "row")
 
     named = table.where("not copy").select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long")
     total = F.count("*").over(Window.partitionBy("name"))
