@@ -281,7 +281,7 @@ def _documents(rows: DataFrame, scored: DataFrame, head: int, total: int, distin
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key + np.arange(n)), b.column("doc_id"), b.column("held_out"), pa.array(words.count + 1),
-                    pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
+                    pa.array(sums[2].astype(np.int64)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(texts, pa.string())),
                 ],
                 names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "logp", "rest"],
