@@ -169,6 +169,28 @@ def _(spark, d):
     return rows.halo_lists(_lists(spark, d), table(spark, d, "nation"), "n_nationkey")
 
 
+# the same operators on lists that hold every order: a list for each customer, row ids a permutation of all positions
+
+
+def _all_lists(spark, d):
+    o = table(spark, d, "orders")
+    n = o.agg(F.count("*").cast("long").alias("n"))
+    return o.join(F.broadcast(n)).select(F.col("o_custkey").cast("long").alias("list_id"), F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_orderkey").cast("long") * 1_000_003 % F.col("n")).alias("row_id"))
+
+
+_ALL_LISTS = "lists AS (SELECT o_custkey AS list_id, o_orderkey AS pos, o_orderkey * 1000003 % (SELECT count(*) FROM orders) AS row_id FROM orders)"
+
+
+@query("extractlist_whole", f"WITH {ORD}, {_ALL_LISTS} SELECT list_id, pos, row_id, price, cust FROM lists JOIN ord ON row_id = __row")
+def _(spark, d):
+    return rows.extract_list(orders(spark, d), _all_lists(spark, d))
+
+
+@query("ahfhalolist_whole", f"WITH {_ALL_LISTS} SELECT list_id, pos, row_id FROM lists WHERE list_id IN (SELECT s_suppkey FROM supplier)")
+def _(spark, d):
+    return rows.halo_lists(_all_lists(spark, d), table(spark, d, "supplier"), "s_suppkey")
+
+
 @query("ahfhalogalaxyext", f"WITH {PRT} SELECT __row, CASE WHEN size >= 40 THEN 1 WHEN price >= 1500 THEN 2 END AS route FROM (SELECT __row, size * 40 AS size0, price AS price, size FROM prt) WHERE size >= 40 OR price >= 1500")
 def _(spark, d):
     p = parts(spark, d).withColumn("size0", F.col("size") * 37.5)

@@ -11,6 +11,16 @@ def test_rows_equal_those_of_the_sql(spark, name):
     same(q.queries()[name](spark, SMALL), q.oracle_sql()[name])
 
 
+def test_lists_hold_all_orders(spark):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    got = q.queries()["extractlist_whole"](spark, SMALL).collect()
+    assert sorted(r["row_id"] for r in got) == list(range(len(orders)))
+    assert {(r["list_id"], r["pos"]) for r in got} == {(r["o_custkey"], r["o_orderkey"]) for r in orders}
+    chosen = {r[0] for r in spark.read.parquet(f"{SMALL}/supplier.parquet").select("s_suppkey").collect()}
+    halos = q.queries()["ahfhalolist_whole"](spark, SMALL).collect()
+    assert {(r["list_id"], r["pos"]) for r in halos} == {(r["o_custkey"], r["o_orderkey"]) for r in orders if r["o_custkey"] in chosen}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
