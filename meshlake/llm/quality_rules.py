@@ -2,19 +2,22 @@
 
 Two histograms are compared with language references by Jensen-Shannon distance:
 character classes, and the common words of the language.  The references are counted
-over all documents by their language column; a document is judged by its text alone,
-against the reference that suits it best.  Documents too short for a stable histogram
-are not judged by it.
+over all documents by their language column; a document is judged by its text, against
+the reference that suits it best.  Documents too short for a stable histogram are not
+judged by it, nor are those of a language with too few words for a reference of its own:
+the references of other languages say nothing about them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep
@@ -22,8 +25,10 @@ from ._words import Words, mix64, signed, slices, span_hashes
 
 #: A word is common if it makes up this share of its language's words; so a language has at most 1 / COMMON such words.
 COMMON = 0.002
-#: A language has a reference if it has this share of all words, so there are at most 1 / LANGUAGE references.
-LANGUAGE = 0.001
+#: A language has a reference if it has this number of words, however many the others have.
+LANGUAGE_WORDS = 1000
+#: References that travel with a task at once, on average; more are compared in as many passes, by blocks of languages.
+BLOCK_LANGUAGES = 1024
 #: Greatest distances of a document that stays, by character classes and by common words.
 CLASS_DISTANCE, WORD_DISTANCE = 0.25, 0.4
 #: Characters and words from which a histogram is judged.
@@ -49,6 +54,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class References:
     """For each language, shares of character classes, and the common words' hashes (ascending) with their shares."""
 
+    names: list[str]
     classes: np.ndarray  # languages x N_CLASSES
     words: list[np.ndarray]
     shares: list[np.ndarray]  # one more entry than words, for all others
@@ -99,14 +105,47 @@ def measures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip(COUNTS, (words.count, chars, symbols, dup_lines, repeats)))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """Count the references over all documents.
-
-    Null languages count as one of their own, null texts as empty.  Only words and
-    languages above the stated shares come to the driver, which bounds their number.
-    With no words at all there is no reference, and no document is judged by distance.
+@dataclass
+class Counted:
+    """Counts of classes and words by language, the words of each language with a reference, and the blocks these make."""
+
+    counts: DataFrame
+    totals: DataFrame
+    n_blocks: int
+
+    def block(self, k: int) -> References:
+        """The references of one block of languages; only these come to the driver."""
+        totals = self.totals.where(F.pmod(F.xxhash64("lang"), F.lit(self.n_blocks)) == k)
+        large = [(r["lang"], r["total"]) for r in totals.orderBy("lang").collect()]
+        common = self.counts.join(F.broadcast(totals), "lang").where((F.col("kind") == 1) | (F.col("n") >= COMMON * F.col("total"))).toPandas()
+        of = dict(list(common.groupby("lang")))
+        classes, words, shares = [], [], []
+        for lang, total in large:
+            own = of[lang]
+            c = np.zeros(N_CLASSES)
+            part = own[own["kind"] == 1]
+            c[part["key"].to_numpy(int)] = part["n"].to_numpy(float)
+            w = own[own["kind"] == 0]
+            key, n = np.ascontiguousarray(w["key"].to_numpy(np.int64)).view(np.uint64), w["n"].to_numpy(float)
+            order = np.argsort(key)
+            classes.append(c / max(1, c.sum()))
+            words.append(key[order])
+            shares.append(np.append(n[order], total - n.sum()) / total)
+        return References([lang for lang, _ in large], np.array(classes).reshape(-1, N_CLASSES), words, shares)
+
+
+def language(lang_col: str) -> Column:
+    """The language as it is counted: null is one of its own."""
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+
+
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Counted:
+    """Count the references over all documents, of every language with LANGUAGE_WORDS words.
+
+    Null languages count as one of their own, null texts as empty.  Only words above the
+    stated share come to the driver, by blocks of languages, which bounds their number.
     """
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(language(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
@@ -124,23 +163,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     counts = rows.mapInArrow(counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counts = keep(counts)
-    totals = counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("total"))
-    grand = totals.agg(F.sum("total")).first()[0] or 0
-    large = [(r["lang"], r["total"]) for r in totals.where(F.col("total") >= LANGUAGE * grand).orderBy("lang").collect()] if grand else []
-    common = counts.join(F.broadcast(totals.where(F.col("total") >= LANGUAGE * grand)), "lang").where((F.col("kind") == 1) | (F.col("n") >= COMMON * F.col("total"))).toPandas()
-    classes, words, shares = [], [], []
-    for lang, total in large:
-        own = common[common["lang"] == lang]
-        c = np.zeros(N_CLASSES)
-        part = own[own["kind"] == 1]
-        c[part["key"].to_numpy(int)] = part["n"].to_numpy(float)
-        w = own[own["kind"] == 0]
-        key, n = np.ascontiguousarray(w["key"].to_numpy(np.int64)).view(np.uint64), w["n"].to_numpy(float)
-        order = np.argsort(key)
-        classes.append(c / max(1, c.sum()))
-        words.append(key[order])
-        shares.append(np.append(n[order], total - n.sum()) / total)
-    return References(np.array(classes).reshape(-1, N_CLASSES), words, shares)
+    totals = keep(counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LANGUAGE_WORDS))
+    return Counted(counts, totals, max(1, -(-totals.count() // BLOCK_LANGUAGES)))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -167,13 +191,36 @@ def distances(words: Words, folded: np.ndarray, refs: References) -> tuple[np.nd
     return by_class, by_word
 
 
-def judge(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+
+
+def judge(docs: DataFrame, counted: Counted, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts, ``base_failed``, the distances from the best reference, and ``kept``, one row per document.
 
-    Null and empty texts have no words, so they fail the base rules.  The references,
-    bounded by COMMON and LANGUAGE, travel with the task.  Other columns are not read.
+    Null and empty texts have no words, so they fail the base rules.  The distances are 0
+    where the document's language has no reference.  A block of references travels with
+    the task; with several blocks each is a pass of its own, and the best of each
+    document's narrow rows stays.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), language(lang_col).alias("lang"))
+    if counted.n_blocks == 1:
+        return _judged(rows, counted.block(0)).drop("known", "key")
+    rows = keep(rows.withColumn("key", F.monotonically_increasing_id()))
+    found = reduce(DataFrame.union, [keep(_judged(rows, counted.block(k)).withColumn("block", F.lit(k))) for k in range(counted.n_blocks)])
+    names = [c for c in found.columns if c not in ("key", "known", "block", "kept", "class_distance", "word_distance")]
+    off = F.greatest(F.col("class_distance") / CLASS_DISTANCE, F.col("word_distance") / WORD_DISTANCE)
+    best = F.min(F.struct(off.alias("off"), "block", "class_distance", "word_distance")).alias("best")
+    found = found.groupBy("key").agg(*[F.first(c).alias(c) for c in names], F.max("known").alias("known"), best)
+    far = {c: F.when(F.col("known"), F.col(f"best.{c}")).otherwise(0.0) for c in ("class_distance", "word_distance")}
+    kept = ~F.col("base_failed") & (far["class_distance"] <= CLASS_DISTANCE) & (far["word_distance"] <= WORD_DISTANCE)
+    return found.select(*names, kept.alias("kept"), *[x.alias(c) for c, x in far.items()])
+
+
+def _judged(rows: DataFrame, refs: References) -> DataFrame:
+    """Each document against one block of references; ``known``: its language is one of them.  A ``key`` stays as it is, with
+    distances from the best reference of the block for all documents; without one, documents of other languages have 0."""
+    alone = "key" not in rows.columns
+    names = pa.array(refs.names, pa.string())
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
@@ -181,18 +228,22 @@ def judge(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: s
             found = measures(words, words.hashes())
             n = found["n_words"]
             failed = (n < BASE_WORDS) | (100 * found["n_repeat_words"] > BASE_REPEATS * n)
+            known = pc.is_in(b.column("lang").cast(pa.string()), names).to_numpy(zero_copy_only=False)
             by_class, by_word = distances(words, Words(b.column("text"), lower=True).hashes(), refs)
             if by_class.shape[1]:
                 by_class[found["word_chars"] < MIN_CHARS] = 0
                 by_word[n < MIN_WORDS] = 0
                 best = np.argmin(np.maximum(by_class / CLASS_DISTANCE, by_word / WORD_DISTANCE), 1)
                 by_class, by_word = (x[np.arange(len(n)), best] for x in (by_class, by_word))
-            else:
-                by_class = by_word = np.zeros(len(n))
+            else:  # no language of the block: nothing to compare with
+                by_class = by_word = np.full(len(n), 0.0 if alone else np.inf)
+            if alone:
+                by_class, by_word = np.where(known, by_class, 0), np.where(known, by_word, 0)
             kept = ~failed & (by_class <= CLASS_DISTANCE) & (by_word <= WORD_DISTANCE)
+            key = pa.nulls(len(n), pa.int64()) if alone else b.column("key")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept), pa.array(by_class), pa.array(by_word)],
-                names=["doc_id", *COUNTS, "base_failed", "kept", "class_distance", "word_distance"],
+                [b.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept), pa.array(by_class), pa.array(by_word), pa.array(known), key],
+                names=["doc_id", *COUNTS, "base_failed", "kept", "class_distance", "word_distance", "known", "key"],
             )
 
-    return rows.mapInArrow(judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return rows.mapInArrow(judged, _OUT + ", known boolean, key long")

@@ -256,6 +256,21 @@ def test_quality_rules(spark, docs, none):
     assert {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS) for r in q.op8_quality_rules(spark, SMALL).collect()} == want
 
 
+@pytest.mark.parametrize("block", [1024, 1])
+def test_small_languages_beside_large_ones(spark, monkeypatch, block):
+    monkeypatch.setattr(quality_rules, "BLOCK_LANGUAGES", block)
+    rng = np.random.default_rng(1)
+    text = lambda name, n: " ".join(f"{name}{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in rng.integers(0, 40, n))
+    rows = [(k, text("big", 300_000), "aa") for k in range(8)] + [(k, text("other", 150), "bb") for k in range(10, 22)]
+    rows += [(30, text("few", 150), "cc"), (31, text("odd", 150), "aa"), (32, text("other", 150), "aa"), (33, text("bare", 150), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame, quality_rules.references(frame)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k]["kept"] and got[k]["word_distance"] > 0 for k in [*range(10, 22), 32])  # by the small language's own reference
+    assert all(got[k]["kept"] and got[k]["word_distance"] == got[k]["class_distance"] == 0 for k in (30, 33))  # too few words for one
+    assert not got[31]["kept"] and not got[31]["base_failed"] and got[31]["word_distance"] > quality_rules.WORD_DISTANCE
+
+
 def test_distance():
     p, r = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.0, 1.0])
     assert quality_rules.js_distance(p, r)[0] == pytest.approx(1.0) and quality_rules.js_distance(p, p[0])[0] == 0.0
