@@ -264,6 +264,17 @@ def _(spark, d):
     return split.join(F.broadcast(total)).select("part", (F.abs(F.col("count") * 4 - F.col("n")) <= F.col("n") * 0.02).alias("near"))
 
 
+@query(
+    "splittable_field_rows",
+    f"""WITH {ORD}, r AS (SELECT CAST(min(price) AS DOUBLE) AS lo, (CAST(max(price) AS DOUBLE) - CAST(min(price) AS DOUBLE)) / 10000 AS w, count(*) AS n FROM ord),
+    h AS (SELECT CAST(least(floor((CAST(price AS DOUBLE) - lo) / w), 9999) AS BIGINT) AS b, count(*) AS c FROM ord, r GROUP BY 1), s AS (SELECT b, c, sum(c) OVER (ORDER BY b) - c AS seen FROM h),
+    x AS (SELECT lo + w * (b + (n * j / 4 - seen) / c) AS bound FROM s, r, range(1, 4) t(j) WHERE seen < n * j / 4 AND seen + c >= n * j / 4)
+    SELECT __row, CAST(count(bound) AS INTEGER) AS part FROM ord LEFT JOIN x ON CAST(price AS DOUBLE) > bound GROUP BY __row""",
+)
+def _(spark, d):
+    return combine.split_by_value(orders(spark, d), "price", 4).select(ROW, "part")
+
+
 _STEPS = "SELECT a.__row, CAST(step AS INTEGER) AS step, round(a.price + step / 4.0 * (b.price - a.price), 6) + 0 AS price FROM prt a JOIN p2 b USING (__row), range(1, 4) t(step)"
 
 

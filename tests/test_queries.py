@@ -21,6 +21,14 @@ def test_lists_hold_all_orders(spark):
     assert {(r["list_id"], r["pos"]) for r in halos} == {(r["o_custkey"], r["o_orderkey"]) for r in orders if r["o_custkey"] in chosen}
 
 
+def test_split_by_value_deals_every_row(spark):
+    price = {r["o_orderkey"]: float(r["o_totalprice"]) for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect()}
+    part = {r["__row"]: r["part"] for r in q.queries()["splittable_field_rows"](spark, SMALL).collect()}
+    assert set(part) == set(price) and set(part.values()) == {0, 1, 2, 3}
+    dealt = [part[k] for k in sorted(price, key=price.get)]
+    assert dealt == sorted(dealt)  # no row of a part lies among those of another
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
