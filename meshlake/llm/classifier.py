@@ -5,12 +5,15 @@ over byte embeddings run along each chunk and are max-pooled; the pooled feature
 chunks, as their maximum and their mean over the document, give one probability.
 
 Training sees labelled texts only: a bounded sample of ``max_train`` rows and, for each
-of them in each epoch, ``train_chunks`` chunks drawn at random from the whole text.
+of them in each epoch, ``TRAIN_CHUNKS`` chunks drawn at random from the whole text.  The
+tasks that hold the texts draw the POOL chunks that all epochs can use, so that training
+receives a bounded number of bytes for each row.
 Scoring is a pass over the table without any shuffle and covers every byte.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,10 @@ EMBED, FILTERS, WIDTH, STRIDE = 8, 16, 6, 3
 CHUNK, STEP = 384, 360
 #: Most labelled rows that training reads, taken by a hash of their id.
 MAX_TRAIN = 3000
+#: Passes over the sample, and most chunks of a text in each of them.
+EPOCHS, TRAIN_CHUNKS = 12, 6
+#: Chunks that a long text sends to training; a text of no more chunks goes whole.
+POOL = EPOCHS * TRAIN_CHUNKS
 THRESHOLD = 0.7
 _SLICE = 2048  # chunks scored at once
 
@@ -113,8 +120,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x.astype(np.float64), -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 0, epochs: int = 12, train_chunks: int = 6) -> Net:
-    """Fit by Adam on the log loss.
+def n_chunks_of(n_bytes: int) -> int:
+    """Chunks that cover a text."""
+    return max(1, -(-max(n_bytes - CHUNK, 0) // STEP) + 1)
+
+
+def drawn(column: pa.Array) -> pa.Array:
+    """What each text sends to training: its bytes, or of a text with more than POOL chunks, POOL of them end to end.
+
+    The draw is over the whole text and depends on the text alone; the last chunk is moved
+    forward to be a full one.  Only the latter have POOL * CHUNK bytes, the others have fewer.
+    """
+    data, offsets = text_bytes(column)
+    out = []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        raw = data[a:b]
+        n = n_chunks_of(len(raw))
+        if n > POOL:
+            places = np.random.default_rng(zlib.crc32(raw)).choice(n, POOL, replace=False)
+            start = np.minimum(np.sort(places) * STEP, len(raw) - CHUNK)
+            raw = raw[start[:, None] + np.arange(CHUNK)].ravel()
+        out.append(raw.tobytes())
+    return pa.array(out, pa.binary())
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS, train_chunks: int = TRAIN_CHUNKS) -> Net:
+    """Fit by Adam on the log loss, from texts as ``drawn`` gives them.
 
     With only one class (or no row) the output is that class's share, smoothed.
     """
@@ -126,7 +157,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0, epochs: int = 12,
         net.out_bias = float(np.log(share / (1 - share)))
         return net
     rng = np.random.default_rng(seed)
-    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    raw = [np.frombuffer(t, np.uint8) for t in texts]
     params = [net.embed, net.filters, net.bias, net.out, np.zeros(1, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t = 0
@@ -155,15 +186,16 @@ def _draw(raw: list[np.ndarray], rng: np.random.Generator, most: int) -> tuple[n
     ends = np.cumsum([len(r) for r in raw])
     start, stop, owner = [], [], []
     for i, r in enumerate(raw):
+        pool = len(r) == POOL * CHUNK  # chunks end to end: no cut goes from one into the next
         if rng.random() < 0.25 and len(r):
-            begin = int(rng.integers(0, max(1, len(r) - 16)))
+            begin = int(rng.integers(0, POOL)) * CHUNK + int(rng.integers(0, CHUNK - 160)) if pool else int(rng.integers(0, max(1, len(r) - 16)))
             start.append(ends[i] - len(r) + begin)
             stop.append(min(ends[i], start[-1] + int(rng.integers(12, 160))))
             owner.append(i)
             continue
-        n = max(1, -(-max(len(r) - CHUNK, 0) // STEP) + 1)
+        n, step = (POOL, CHUNK) if pool else (n_chunks_of(len(r)), STEP)
         for c in range(n) if n <= most else rng.choice(n, most, replace=False):
-            start.append(ends[i] - len(r) + c * STEP)
+            start.append(ends[i] - len(r) + c * step)
             stop.append(ends[i])
             owner.append(i)
     return cut(data, np.array(start), np.array(stop)), np.array(owner)
@@ -203,20 +235,38 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
-    """Train on labelled rows that are not held out, at most ``max_train`` of them (half of each class at least, where there are so many).
+def candidates(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """Labelled ids that are not held out, as ``__id`` and ``__label``."""
+    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    return marked.where("__label is not null and __id is not null").where(~held_out("__id")).distinct()
 
-    Rows with a null label, id or text do not train.  The sample is by a hash of the id, so
-    it does not depend on the order of the rows; very long texts are cut nowhere.
+
+def sampled(docs: DataFrame, marked: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What training receives: at most ``max_train`` rows of ``__label`` and ``__data``, each of at most POOL * CHUNK bytes.
+
+    The chunks are drawn where the texts are, so no long text moves.
     """
-    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    marked = marked.where("__label is not null and __id is not null").where(~held_out("__id")).distinct()
     by_hash = [F.xxhash64("__id"), F.col("__id"), F.col("__label")]
     picked = [marked.where(F.col("__label") == x).orderBy(*by_hash).limit(max_train // 2) for x in (0, 1)]
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     # at most max_train short rows are broadcast; the texts do not move
-    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "__id").select("__label", "__text")
-    sample = rows.orderBy(F.xxhash64("__text"), "__text", "__label").limit(max_train).withColumn("all", F.lit("all"))
+    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "__id").select("__label", F.xxhash64("__text").alias("__hash"), "__text")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, "__text")):
+            yield pa.RecordBatch.from_arrays([b.column("__label"), b.column("__hash"), drawn(b.column("__text"))], names=["__label", "__hash", "__data"])
+
+    return rows.mapInArrow(draw, "__label int, __hash long, __data binary").orderBy("__hash", "__data", "__label").limit(max_train).drop("__hash")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
+    """Train on labelled rows that are not held out, at most ``max_train`` of them (half of each class at least, where there are so many).
+
+    Rows with a null label, id or text do not train.  The sample is by a hash of the id, so
+    it does not depend on the order of the rows; chunks come from all over very long texts.
+    """
+    marked = candidates(labels, id_col, label_col)
+    sample = sampled(docs, marked, max_train, id_col, text_col).withColumn("all", F.lit("all"))
     found = sample.groupBy("all").applyInPandas(lambda got: trained(got, seed), "net binary, ones long, n long").collect()
     if not found:
         return Net.loads(None)
@@ -231,9 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
 
 def trained(got: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Train in one task on the bounded sample, in an order that its rows alone decide."""
-    got = got.sort_values(["__text", "__label"])
+    got = got.sort_values(["__data", "__label"])
     labels = got["__label"].to_numpy()
-    return pd.DataFrame({"net": [train(list(got["__text"]), labels, seed).dumps()], "ones": [int(labels.sum())], "n": [len(labels)]})
+    return pd.DataFrame({"net": [train(list(got["__data"]), labels, seed).dumps()], "ones": [int(labels.sum())], "n": [len(labels)]})
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:

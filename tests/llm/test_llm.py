@@ -343,6 +343,25 @@ def test_every_byte_is_in_a_chunk():
     assert all(changed)
 
 
+def test_training_receives_bounded_bytes(spark):
+    long = "".join(f"{k:06d}" for k in range(60_000))
+    rows = [(k, long + str(k), k % 2) for k in range(12)] + [(k, f"short {k}", k % 2) for k in range(12, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = classifier.sampled(docs, classifier.candidates(docs, "doc_id", "quality")).collect()
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(got) == len(kept)
+    assert max(len(r["__data"]) for r in got) == classifier.POOL * classifier.CHUNK
+    assert {r[1] for r in kept if r[0] >= 12} == {bytes(r["__data"]).decode() for r in got if len(r["__data"]) < 20}
+    pool = next(bytes(r["__data"]) for r in got if len(r["__data"]) > 20)
+    chunks = [pool[k : k + classifier.CHUNK].decode() for k in range(0, len(pool), classifier.CHUNK)]
+    at = [(long + "0123456789").find(c[:300]) for c in chunks]
+    assert min(at) >= 0 and len(set(at)) == classifier.POOL and min(at) < 36_000 and max(at) > 324_000
+    raw = [np.frombuffer(pool, np.uint8)]
+    for k in range(40):  # no cut goes over the seam of two chunks
+        part, _ = classifier._draw(raw, np.random.default_rng(k), 6)
+        assert all(bytes(x[x < 256].astype(np.uint8)).decode() in c for x, c in [(x, next((c for c in chunks if bytes(x[x < 256].astype(np.uint8)).decode() in c), "")) for x in part])
+
+
 # pipeline
 
 
