@@ -45,6 +45,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+def numbered(df: DataFrame, count: str, spread: bool = False) -> DataFrame:
+    """Each row ``count`` times, with ``__copy`` from 0 on; by runs of 4096, with ``spread`` dealt over the tasks."""
+    last = F.col(count) - 1
+    runs = df.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / 4096))))
+    runs = runs.repartition(*[F.col(f"`{c}`") for c in runs.columns]) if spread else runs
+    return runs.withColumn("__copy", F.explode(F.sequence(F.col("__run") * 4096, F.least(last, F.col("__run") * 4096 + 4095)))).drop("__run", count)
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` as a kept table dealt into buckets by ``key``: joins on it move the other side only."""
     spark = df.sparkSession

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import numbered
+
 #: Permitted sequence lengths, in words (with one end mark for each document).
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides its positions, in positions.
@@ -53,14 +55,16 @@ def pack(
     length = word_count(text_col) + 1 if length is None else length
     items = docs.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n"))
     n_blocks = max(1, -(-docs.select(F.lit(1)).count() // block_docs))
-    # a null id is dealt by its length; equal rows of one id, even very many, only make that block longer
-    block = F.pmod(F.xxhash64("doc_id", "n"), F.lit(n_blocks)).cast("int")
+    # rows of one id (or none) and one length are alike here: they are counted, and their copies dealt by number
+    items = numbered(items.groupBy("doc_id", "n").agg(F.count("*").alias("m")), "m")
+    salted = F.when(F.col("__copy") == 0, F.xxhash64("doc_id", "n")).otherwise(F.xxhash64("doc_id", "n", "__copy"))
+    block = F.pmod(salted, F.lit(n_blocks)).cast("int")
 
     def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
         return pack_block(int(key[0]), frame["doc_id"], frame["n"].to_numpy(), caps, overhead)
 
-    return items.withColumn("block", block).repartition(n_blocks, "block").groupBy("block").applyInPandas(packed, _OUT)
+    return items.withColumn("block", block).drop("__copy").repartition(n_blocks, "block").groupBy("block").applyInPandas(packed, _OUT)
 
 
 def pack_block(block: int, ids: pd.Series, lengths: np.ndarray, caps: tuple[int, ...], overhead: int) -> pd.DataFrame:

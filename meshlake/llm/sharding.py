@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ._shared import keep, numbered, small
+
 #: A row per bucket, 16 bytes each, is broadcast up to this number of buckets; beyond it the join shuffles.
 BROADCAST_BUCKETS = 500_000
+#: Rows of one id and text are dealt apart from this share of a bucket on; bytes of a row besides its text.
+HOT_SHARE, ROW_BYTES = 0.125, 64
 
 
 def shuffle_shards(
@@ -28,8 +32,9 @@ def shuffle_shards(
 
     Law: the shards' row counts are at most one apart; with fewer rows than shards the
     last shards are empty.  An empty table gives an empty result.  A null text has no
-    bytes.  The bucket comes from the id and the text, so null ids, ties and equal rows
-    are dealt like any other row; copies of one row share a bucket.  Columns of the
+    bytes.  The bucket comes from the id and the text, so null ids and ties are dealt like
+    any other row.  Rows of one id and text that fill over HOT_SHARE of a bucket are dealt
+    over all buckets, by all their columns and the number of the copy.  Columns of the
     input named ``shard`` or ``slot`` are replaced.  Columns must be of orderable types
     (no maps), as each bucket is put in a fixed order before it is permuted.
     """
@@ -39,7 +44,17 @@ def shuffle_shards(
     n_buckets = max(1, -(-total // bucket_bytes))
 
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = df.select(F.struct(key.alias("__key"), *[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    plain = df.select(key.alias("__key"), *columns)
+    sizes = plain.groupBy("__key").agg(F.count("*").alias("n"), F.sum(size.cast("long") + ROW_BYTES).alias("b"))
+    hot = keep(sizes.where((F.col("n") > 1) & (F.col("b") > bucket_bytes * HOT_SHARE)).select("__key"))
+    if not hot.isEmpty():
+        hot = small(hot)
+        # equal rows are counted before they move, and numbered after
+        equal = plain.join(hot, "__key", "left_semi").groupBy("__key", *columns).agg(F.count("*").alias("__n"))
+        dealt = numbered(equal, "__n", spread=True).withColumn("__key", F.xxhash64("__key", "__copy", *columns)).select("__key", *columns)
+        plain = plain.join(hot, "__key", "left_anti").unionByName(dealt)
+    keyed = plain.select(F.struct("__key", *columns).alias("row"))
     # other bits of the key than those that order the rows of a bucket
     bucket = F.pmod(F.shiftrightunsigned(F.xxhash64(F.col("row.__key"), F.lit(seed + 1)), 8), F.lit(n_buckets))
     scattered = keyed.withColumn("__bucket", bucket)

@@ -66,6 +66,20 @@ def test_shards_are_whole_and_even(docs, none, bucket_bytes):
     assert len(sharding.shuffle_shards(docs, 40).collect()) == len(ROWS)
 
 
+def test_copies_of_one_row_are_dealt_apart(spark):
+    rows = [(None, None)] * 4000 + [(7, "same text")] * 4000 + [(k, f"text {k}") for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shuffle_shards(frame, 12, bucket_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
+    for d, n in ((None, 4000), (7, 4001)):
+        by_shard = Counter(r["shard"] for r in out if r["doc_id"] == d)
+        assert sum(by_shard.values()) == n and len(by_shard) == 12 and max(by_shard.values()) < 700
+    packed = packing.pack(frame, block_docs=300).toPandas()
+    assert len(packed) == len(rows) and packed["doc_id"].isna().sum() == 4000
+    blocks = packed.groupby(packed["bin"] // 2**32).size()
+    assert len(blocks) == 40 and blocks.max() < 450
+
+
 # packing
 
 
