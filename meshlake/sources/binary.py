@@ -126,16 +126,56 @@ def swap_order(head: Header) -> Header:
     return Header(head.kind, head.n_rows, "big" if head.order.startswith("l") else "little", head.names, head.geometry)
 
 
-def read_rows(spark: SparkSession, path: str, dtype: str = "u8") -> DataFrame:
-    """Row positions from a binary list of ``u8`` or ``i4`` numbers, or from a text file (``ascii``): ``pos`` and ``row_id``."""
+def read_rows(spark: SparkSession, path: str, dtype: str = "u8", ids_per_task: int = 1 << 20) -> DataFrame:
+    """Row positions from a binary list of ``u8`` or ``i4`` numbers, or from a text file (``ascii``): ``pos`` and ``row_id``.
+
+    A binary file, a URI or path that executors can open, is read by ranges of ids; a text
+    file line by line, with a count for each partition at the driver.
+    """
     if dtype == "ascii":
-        ids = F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != ""))
-        return spark.read.text(path, wholetext=True).select(ids.alias("pos", "row_id")).select("pos", F.col("row_id").cast("long").alias("row_id"))
+        return _read_ascii_rows(spark, path)
+    fs, at = pafs.FileSystem.from_uri(path)
+    width = np.dtype(dtype).itemsize
+    n_bytes = fs.get_file_info(at).size
+    if n_bytes is None or n_bytes % width:
+        raise ValueError("not a list of whole numbers")
+    n_ids = n_bytes // width
+    n_tasks = max(1, -(-n_ids // ids_per_task))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                a, b = k * ids_per_task, min(n_ids, (k + 1) * ids_per_task)
+                with fs.open_input_file(at) as f:
+                    f.seek(a * width)
+                    ids = np.frombuffer(f.read((b - a) * width), f"<{dtype}").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.array(ids)], names=["pos", "row_id"])
+
+    return spark.range(n_tasks, numPartitions=n_tasks).mapInArrow(read, "pos long, row_id long")
+
+
+def _read_ascii_rows(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = sum(len(line.split()) for batch in batches for line in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["part", "n"])
+
+    starts, total = {}, 0
+    for part, n in sorted(map(tuple, lines.mapInArrow(counted, "part long, n long").collect())):
+        starts[part] = total
+        total += n
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pos = starts.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
-            for content in batch.column("content"):
-                ids = np.frombuffer(content.as_py(), f"<{dtype}").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["pos", "row_id"])
+            ids = np.array([int(x) for line in batch.column(0).to_pylist() for x in line.split()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + len(ids))), pa.array(ids)], names=["pos", "row_id"])
+            pos += len(ids)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "pos int, row_id long")
+    return lines.mapInArrow(placed, "pos long, row_id long")

@@ -40,6 +40,20 @@ def test_row_lists(spark, tmp_path):
     assert [tuple(r) for r in binary.read_rows(spark, str(tmp_path / "text"), "ascii").collect()] == [(0, 4), (1, 2), (2, 9)]
 
 
+def test_long_row_lists_are_read_in_parts(spark, tmp_path):
+    ids = np.arange(5000)[::-1]
+    ids.astype("<i4").tofile(tmp_path / "ids")
+    (tmp_path / "text").write_text("".join(f"{x} {y}\n" for x, y in ids.reshape(-1, 2)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for df in (binary.read_rows(spark, str(tmp_path / "ids"), "i4", ids_per_task=700), binary.read_rows(spark, str(tmp_path / "text"), "ascii")):
+            assert df.rdd.getNumPartitions() > 1 and dict(df.dtypes)["pos"] == "bigint"
+            assert sorted(map(tuple, df.collect())) == list(enumerate(ids.tolist()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_ascii_and_csv(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# note\nx y\tx\n1 2.5 -3e2\n# more\n4 oops\n\n")
     df = text.read_ascii(spark, str(tmp_path / "a.txt"))
