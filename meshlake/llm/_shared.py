@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, and tables kept in it.
+"""The folder that driver and executors share, tables kept in it, and names of rows.
 
 A table written there cuts lineage: if an executor is lost, its rows are read again
 instead of being made again, and no block lives on one machine only.
@@ -9,21 +9,31 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Rows of a few numbers that may be broadcast, by count; more go by a shuffle.
 BROADCAST = 500_000
+#: Bytes of text in a bucket of a bucketed table, and most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 
 _made: list[str] = []
-_tables: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """A new folder name under ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves in local mode; on a cluster, whose
+    machines would not share it, it is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="meshlake-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/meshlake-{uuid.uuid4().hex}"
@@ -40,11 +50,45 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame of ``make``, kept; whatever else was kept on the way to it is deleted."""
+    folders, names = len(_made), set(_tables)
+    out = keep(make())
+    for name in [x for x in _tables if x not in names]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        del _tables[name]
+    for path in _made[folders:-1]:
+        delete(spark, path)
+    del _made[folders:-1]
+    return out
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, a kept table of narrow rows, marked for a broadcast if it has at most BROADCAST of them."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has, upper and lower case being alike."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(names: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def identity(*columns: Column) -> Column:
+    """16 bytes of a SHA-256 over the columns as text, nulls and borders told apart."""
+    parts = []
+    for c in columns:
+        text = c.cast("string")
+        parts += [F.coalesce(F.octet_length(text).cast("string"), F.lit("n")), F.lit(":"), F.coalesce(text, F.lit(""))]
+    return F.unhex(F.substring(F.sha2(F.concat(*parts).cast("binary"), 256), 1, 32))
+
+
 def numbered(df: DataFrame, count: str, spread: bool = False) -> DataFrame:
     """Each row ``count`` times, with ``__copy`` from 0 on; by runs of 4096, with ``spread`` dealt over the tasks."""
     last = F.col(count) - 1
@@ -53,13 +97,31 @@ def numbered(df: DataFrame, count: str, spread: bool = False) -> DataFrame:
     return runs.withColumn("__copy", F.explode(F.sequence(F.col("__run") * 4096, F.least(last, F.col("__run") * 4096 + 4095)))).drop("__run", count)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a kept table dealt into buckets by ``key``: joins on it move the other side only."""
+def running(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """``key``, ``before`` and ``total``: the sum of ``n`` over all lesser keys, and over all; by blocks of 4096 keys, then over blocks."""
+    counts = counts.select(key, n, F.floor(F.col(key) / 4096).alias("block"))
+    every = Window.partitionBy(F.lit(0))
+    blocks = counts.groupBy("block").agg(F.sum(n).alias("m"))
+    blocks = blocks.select("block", (F.sum("m").over(every.orderBy("block")) - F.col("m")).alias("outside"), F.sum("m").over(every).alias("total"))
+    inside = F.sum(n).over(Window.partitionBy("block").orderBy(key)) - F.col(n)
+    return counts.withColumn("inside", inside).join(blocks, "block").select(key, (F.col("outside") + F.col("inside")).alias("before"), "total")
+
+
+def bucketed(df: DataFrame, key: str, n_bytes: int) -> DataFrame:
+    """``df``, of about ``n_bytes``, as a kept table in buckets by ``key``: joins on it move the other side only.
+
+    The buckets have a bounded size on average; where there are more of them than shuffle
+    partitions the rows are dealt first, so that a task writes few files.
+    """
     spark = df.sparkSession
     name, path = f"meshlake_{uuid.uuid4().hex}", shared_folder(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MOST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
+    parts = max(usual, wanted)
+    if wanted > usual:
+        df = df.repartition(parts, key)
     df.write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    _tables.append(name)
+    _tables[name] = path
     return spark.table(name)
 
 

@@ -7,6 +7,8 @@ takes one Arrow batch, so memory is bounded by the batch and not by the table.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,7 +19,6 @@ _LOWER[65:91] += 32
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_STEP = 1 << 22  # bytes hashed at once, to bound the temporary arrays
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -88,38 +89,100 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of each byte span ``data[start:end]``; spans ascend and do not overlap."""
-    out = np.empty(len(start), np.uint64)
-    table = mix64(np.arange(1, 257, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x51ED27) % 2**64))
-    a = 0
-    while a < len(start):
-        b = max(a + 1, int(np.searchsorted(start, start[a] + _STEP)))
-        lo, hi = int(start[a]), int(end[b - 1])
-        # sum of value(byte) * base^place, by prefix sums; the base is odd, so it can be divided out
-        powers, inverse = powers_of(hi - lo + 1)
-        run = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(table[data[lo:hi]] * powers[: hi - lo], out=run[1:])
-        s, e = start[a:b] - lo, end[a:b] - lo
-        out[a:b] = mix64((run[e] - run[s]) * inverse[s] + (e - s).astype(np.uint64))
-        a = b
-    return out
+#: Spans of more bytes than this are hashed one by one with BLAKE2; shorter ones eight bytes at a time, all at once.
+_LONG = 512
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each byte span ``data[start:end]``.
 
-_cache: list[np.ndarray] = []
+    The length and every block of eight bytes are mixed, one after the other, into all that
+    came before; equal spans have equal hashes, and different ones of up to eight bytes and
+    one length never have.
+    """
+    size = end - start
+    out = mix64(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x51ED27) % 2**64))
+    if not len(start):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
+    short = size <= _LONG
+    live = None if short.all() else np.flatnonzero(short)
+    at, left = (start, size) if live is None else (start[live], size[live])
+    step = 0
+    while len(left):
+        value = blocks[at] & _MASKS[np.minimum(left, 8)]
+        if live is None:
+            out = mix64(out ^ value)
+        else:
+            out[live] = mix64(out[live] ^ value)
+        on = left > 8
+        at, left = at[on] + 8, left[on] - 8
+        live = np.flatnonzero(on) if live is None else live[on]
+        step += 1
+    if not short.all():
+        salt = int(seed).to_bytes(8, "little", signed=True)
+        for i in np.flatnonzero(~short):
+            raw = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=salt).digest()
+            out[i] = int.from_bytes(raw, "little")
+    return out
 
 
-def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of an odd base, and those of its inverse; kept for later calls."""
-    if not _cache or len(_cache[0]) < n:
-        base = 0x9E3779B97F4A7C15
-        size = 1 << max(16, int(n - 1).bit_length())
-        powers = np.full(size, base, np.uint64)
-        powers[0] = 1
-        inverse = np.full(size, pow(base, -1, 2**64), np.uint64)
-        inverse[0] = 1
-        _cache[:] = [np.cumprod(powers), np.cumprod(inverse)]
-    return _cache[0], _cache[1]
+def compact(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+    """The spans, ascending, apart and none of them empty, as an Arrow column."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] = 1
+    edge[end] -= 1  # where two spans touch, one begins as the other ends
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+
+
+def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """``(codes, distinct)``: which of the distinct spans each span is, by comparing bytes."""
+    found = compact(data, start, end).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def normal(words: Words) -> pa.Array:
+    """16 bytes that name the words of each text in their order, null without any."""
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.start] = 1
+    edge[words.end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    # one blank after every word but the last of its text, where a byte of white space is
+    between = np.ones(len(words), bool)
+    between[words.first[1:][words.count > 0] - 1] = False
+    blank = words.end[between]
+    inside[blank] = True
+    data = words.data.copy()
+    data[blank] = 0x20
+    raw = memoryview(data[inside])
+    at = np.concatenate([[0], np.cumsum(inside)])[words.offsets].tolist()
+    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(at, at[1:])], pa.binary())
+
+
+def exact_shingles(codes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(value, text)``: the distinct shingles of each text, by numbers that equal shingles alone share, from the words' codes.
+
+    A text of fewer words has its whole sequence as its only shingle, as in ``shingle_hashes``.
+    """
+    count = np.diff(first)
+    # short texts are filled up with a code that no word has
+    fill = np.where((count > 0) & (count < width), width - count, 0)
+    begin = np.concatenate([[0], np.cumsum(count + fill)])
+    full = np.full(begin[-1], codes.max(initial=-1) + 1, np.int64)
+    full[np.arange(len(codes)) + np.repeat(begin[:-1] - first[:-1], count)] = codes
+    n = np.maximum(0, count + fill - width + 1)
+    at = positions(n) + np.repeat(begin[:-1], n)
+    text = np.repeat(np.arange(len(count)), n)
+    value, top = full[at], int(full.max(initial=0)) + 1
+    for k in range(1, width):
+        # two numbers in one, and both of them below the number of words
+        value, top = np.unique(value * (int(full.max(initial=0)) + 1) + full[at + k], return_inverse=True)[1], len(at)
+    distinct = np.unique(text * max(1, top) + value)
+    return distinct % max(1, top), distinct // max(1, top)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

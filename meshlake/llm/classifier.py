@@ -4,16 +4,14 @@ Every document is cut into overlapping chunks that cover all its bytes.  Learned
 over byte embeddings run along each chunk and are max-pooled; the pooled features of all
 chunks, as their maximum and their mean over the document, give one probability.
 
-Training sees labelled texts only: a bounded sample of ``max_train`` rows and, for each
-of them in each epoch, ``TRAIN_CHUNKS`` chunks drawn at random from the whole text.  The
-tasks that hold the texts draw the POOL chunks that all epochs can use, so that training
-receives a bounded number of bytes for each row.
-Scoring is a pass over the table without any shuffle and covers every byte.
+Training sees labelled texts only: a sample of at most ``max_train`` rows that have at
+most ``max_bytes`` of text together.  The texts of the sample are seen whole, all their
+chunks in every epoch.  Scoring is a pass over the table without any shuffle and covers
+every byte.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import quoted
 from ._words import slices, text_bytes
 
 EMBED, FILTERS, WIDTH, STRIDE = 8, 16, 6, 3
@@ -30,12 +29,12 @@ EMBED, FILTERS, WIDTH, STRIDE = 8, 16, 6, 3
 CHUNK, STEP = 384, 360
 #: Most labelled rows that training reads, taken by a hash of their id.
 MAX_TRAIN = 3000
-#: Passes over the sample, and most chunks of a text in each of them.
-EPOCHS, TRAIN_CHUNKS = 12, 6
-#: Chunks that a long text sends to training; a text of no more chunks goes whole.
-POOL = EPOCHS * TRAIN_CHUNKS
+#: Most bytes of text of all these rows together: the sample ends with the last row that stays within them.
+MAX_BYTES = 32 << 20
+#: Passes over the sample.
+EPOCHS = 12
 THRESHOLD = 0.7
-_SLICE = 2048  # chunks scored at once
+_SLICE = 1024  # chunks scored, or learned from, at once
 
 
 @dataclass
@@ -91,19 +90,16 @@ class Net:
     def scores(self, column: pa.Array) -> np.ndarray:
         """The probability of label 1 for each text; an empty text is one chunk of padding."""
         data, offsets = text_bytes(column)
-        n_bytes = np.diff(offsets)
-        n_chunks = np.maximum(1, -(-np.maximum(n_bytes - CHUNK, 0) // STEP) + 1)
-        doc = np.repeat(np.arange(len(n_bytes)), n_chunks)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
-        start, stop = offsets[doc] + place * STEP, offsets[doc + 1]
-        most = np.zeros((len(n_bytes), FILTERS), np.float32)
-        total = np.zeros((len(n_bytes), FILTERS), np.float64)
+        doc, start, stop = chunks_of(offsets)
+        n_texts = len(offsets) - 1
+        most = np.zeros((n_texts, FILTERS), np.float32)
+        total = np.zeros((n_texts, FILTERS), np.float64)
         for a in range(0, len(doc), _SLICE):
             b = slice(a, a + _SLICE)
             got = self.pooled(cut(data, start[b], stop[b]))
             np.maximum.at(most, doc[b], got)
             np.add.at(total, doc[b], got)
-        mean = (total / n_chunks[:, None]).astype(np.float32)
+        mean = (total / np.bincount(doc, minlength=n_texts)[:, None]).astype(np.float32)
         return sigmoid(np.concatenate([most, mean], 1) @ self.out + self.out_bias)
 
 
@@ -120,34 +116,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x.astype(np.float64), -40, 40)))
 
 
-def n_chunks_of(n_bytes: int) -> int:
-    """Chunks that cover a text."""
-    return max(1, -(-max(n_bytes - CHUNK, 0) // STEP) + 1)
+def chunks_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start, stop)`` of the chunks that cover each text; an empty one has one chunk, of padding."""
+    n = np.maximum(1, -(-np.maximum(np.diff(offsets) - CHUNK, 0) // STEP) + 1)
+    text = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return text, offsets[text] + place * STEP, offsets[text + 1]
 
 
-def drawn(column: pa.Array) -> pa.Array:
-    """What each text sends to training: its bytes, or of a text with more than POOL chunks, POOL of them end to end.
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> Net:
+    """Fit by Adam on the log loss.
 
-    The draw is over the whole text and depends on the text alone; the last chunk is moved
-    forward to be a full one.  Only the latter have POOL * CHUNK bytes, the others have fewer.
-    """
-    data, offsets = text_bytes(column)
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        raw = data[a:b]
-        n = n_chunks_of(len(raw))
-        if n > POOL:
-            places = np.random.default_rng(zlib.crc32(raw)).choice(n, POOL, replace=False)
-            start = np.minimum(np.sort(places) * STEP, len(raw) - CHUNK)
-            raw = raw[start[:, None] + np.arange(CHUNK)].ravel()
-        out.append(raw.tobytes())
-    return pa.array(out, pa.binary())
-
-
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = EPOCHS, train_chunks: int = TRAIN_CHUNKS) -> Net:
-    """Fit by Adam on the log loss, from texts as ``drawn`` gives them.
-
-    With only one class (or no row) the output is that class's share, smoothed.
+    Besides all chunks of all texts, every fourth text (anew in each epoch) gives one short
+    cut as an example of its own, so that short documents are judged by what they hold and
+    not by their length.  With only one class (or no row) the output is that class's
+    share, smoothed.
     """
     net = Net.fresh(seed)
     labels = np.asarray(labels, np.float32)
@@ -165,8 +148,12 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = E
         order = rng.permutation(len(raw))
         for a in range(0, len(order), 32):
             docs = order[a : a + 32]
-            chunks, owner = _draw([raw[d] for d in docs], rng, train_chunks)
-            grads = _gradients(net, chunks, owner, labels[docs])
+            parts, label = [raw[d] for d in docs], [labels[d] for d in docs]
+            for d in docs[rng.random(len(docs)) < 0.25]:
+                begin = int(rng.integers(0, max(1, len(raw[d]) - 16)))
+                parts.append(raw[d][begin : begin + int(rng.integers(12, 160))])
+                label.append(labels[d])
+            grads = gradients(net, parts, np.array(label, np.float32))
             t += 1
             for p, g, mm, vv in zip(params, grads, m, v):
                 mm *= 0.9
@@ -179,36 +166,21 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = E
     return net
 
 
-def _draw(raw: list[np.ndarray], rng: np.random.Generator, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` chunks of each text, at random over the whole of it; now and then one short cut
-    instead, so that short documents are judged by what they hold and not by their length."""
-    data = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    start, stop, owner = [], [], []
-    for i, r in enumerate(raw):
-        pool = len(r) == POOL * CHUNK  # chunks end to end: no cut goes from one into the next
-        if rng.random() < 0.25 and len(r):
-            begin = int(rng.integers(0, POOL)) * CHUNK + int(rng.integers(0, CHUNK - 160)) if pool else int(rng.integers(0, max(1, len(r) - 16)))
-            start.append(ends[i] - len(r) + begin)
-            stop.append(min(ends[i], start[-1] + int(rng.integers(12, 160))))
-            owner.append(i)
-            continue
-        n, step = (POOL, CHUNK) if pool else (n_chunks_of(len(r)), STEP)
-        for c in range(n) if n <= most else rng.choice(n, most, replace=False):
-            start.append(ends[i] - len(r) + c * step)
-            stop.append(ends[i])
-            owner.append(i)
-    return cut(data, np.array(start), np.array(stop)), np.array(owner)
-
-
-def _gradients(net: Net, chunks: np.ndarray, owner: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-    c, n = len(chunks), (chunks.shape[1] - WIDTH) // STRIDE + 1
-    windows = chunks[:, np.arange(n)[:, None] * STRIDE + np.arange(WIDTH)]  # c x n x WIDTH
-    x = net.embed[windows].reshape(c, n, WIDTH * EMBED)
-    z = x @ net.filters + net.bias
-    top = z.argmax(1)  # c x FILTERS
-    pooled = np.maximum(np.take_along_axis(z, top[:, None], 1)[:, 0], 0)
-    k = len(label)
+def gradients(net: Net, texts: list[np.ndarray], label: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss over the texts, by all their chunks, _SLICE of them at a time."""
+    data = np.concatenate(texts)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    owner, start, stop = chunks_of(offsets)
+    k, table = len(texts), net._pairs()
+    pooled, at = np.empty((len(owner), FILTERS), np.float32), np.empty((len(owner), FILTERS, WIDTH), np.int16)
+    for a in range(0, len(owner), _SLICE):
+        chunks = cut(data, start[a : a + _SLICE], stop[a : a + _SLICE])
+        n = (CHUNK - WIDTH) // STRIDE + 1
+        z = sum(table[j][chunks[:, j : j + (n - 1) * STRIDE + 1 : STRIDE]] for j in range(WIDTH))
+        top = z.argmax(1)  # chunks x FILTERS
+        pooled[a : a + _SLICE] = np.take_along_axis(z, top[:, None], 1)[:, 0]
+        at[a : a + _SLICE] = chunks[np.arange(len(chunks))[:, None, None], top[:, :, None] * STRIDE + np.arange(WIDTH)]
+    pooled = np.maximum(pooled + net.bias, 0)
     count = np.bincount(owner, minlength=k).astype(np.float32)
     most = np.zeros((k, FILTERS), np.float32)
     np.maximum.at(most, owner, pooled)
@@ -219,15 +191,23 @@ def _gradients(net: Net, chunks: np.ndarray, owner: np.ndarray, label: np.ndarra
     d = ((sigmoid(h @ net.out + net.out_bias) - label) / k).astype(np.float32)
     g_out, g_bias = h.T @ d, np.array([d.sum()], np.float32)
     g_h = d[:, None] * net.out
-    g_pool = g_h[owner, FILTERS:] / count[owner, None] + g_h[owner, :FILTERS] * (pooled == most[owner])
+    # the maximum's share goes to the first chunk that has it
+    first = np.full((k, FILTERS), len(owner))
+    for f in range(FILTERS):
+        has = np.flatnonzero(pooled[:, f] == most[owner, f])
+        np.minimum.at(first[:, f], owner[has], has)
+    g_pool = g_h[owner, FILTERS:] / count[owner, None] + g_h[owner, :FILTERS] * (first[owner] == np.arange(len(owner))[:, None])
     g_pool *= pooled > 0
-    picked = x[np.arange(c)[:, None], top]  # c x FILTERS x WIDTH * EMBED
-    g_filters = np.einsum("cf,cfi->if", g_pool, picked)
-    g_x = g_pool[:, :, None] * net.filters.T[None]  # c x FILTERS x WIDTH * EMBED
-    at = windows[np.arange(c)[:, None], top]  # c x FILTERS x WIDTH
-    g_embed = np.zeros_like(net.embed)
-    np.add.at(g_embed, at, g_x.reshape(c, FILTERS, WIDTH, EMBED))
-    return [g_embed, g_filters.astype(np.float32), g_pool.sum(0), g_out, g_bias]
+    g_filters = np.zeros((WIDTH * EMBED, FILTERS), np.float32)
+    g_embed = np.zeros((257, EMBED), np.float64)
+    by_filter = net.filters.reshape(WIDTH, EMBED, FILTERS)
+    for f in range(FILTERS):
+        x = net.embed[at[:, f]]  # chunks x WIDTH x EMBED
+        g_filters[:, f] = np.tensordot(g_pool[:, f], x, 1).ravel()
+        for w in range(WIDTH):
+            weight = np.bincount(at[:, f, w], weights=g_pool[:, f], minlength=257)
+            g_embed += weight[:, None] * by_filter[w, :, f]
+    return [g_embed.astype(np.float32), g_filters, g_pool.sum(0), g_out, g_bias]
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -241,32 +221,35 @@ def candidates(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return marked.where("__label is not null and __id is not null").where(~held_out("__id")).distinct()
 
 
-def sampled(docs: DataFrame, marked: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What training receives: at most ``max_train`` rows of ``__label`` and ``__data``, each of at most POOL * CHUNK bytes.
-
-    The chunks are drawn where the texts are, so no long text moves.
-    """
+def sampled(docs: DataFrame, marked: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What training receives: whole texts, ``__label`` and ``__text``, in an order by a hash as far as both bounds go."""
     by_hash = [F.xxhash64("__id"), F.col("__id"), F.col("__label")]
     picked = [marked.where(F.col("__label") == x).orderBy(*by_hash).limit(max_train // 2) for x in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     # at most max_train short rows are broadcast; the texts do not move
-    rows = rows.join(F.broadcast(picked[0].unionByName(picked[1])), "__id").select("__label", F.xxhash64("__text").alias("__hash"), "__text")
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, "__text")):
-            yield pa.RecordBatch.from_arrays([b.column("__label"), b.column("__hash"), drawn(b.column("__text"))], names=["__label", "__hash", "__data"])
-
-    return rows.mapInArrow(draw, "__label int, __hash long, __data binary").orderBy("__hash", "__data", "__label").limit(max_train).drop("__hash")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
+    picked = F.broadcast(picked[0].unionByName(picked[1]))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null").join(picked, "__id")
+    rows = rows.select("__label", "__text", F.xxhash64("__text").alias("__hash"), F.octet_length("__text").alias("__n"))
+    # the sizes of at most max_train rows come to the driver and say how far the sample goes
+    sizes = rows.select("__hash", "__label", "__n").orderBy("__hash", "__label", "__n").limit(max_train).collect()
+    total, last, n = 0, None, 0
+    for r in sizes:
+        if total + r["__n"] > max_bytes:
+            break
+        total, last, n = total + r["__n"], r, n + 1
+    if last is None:
+        return rows.select("__label", "__text").limit(0)
+    within = F.struct("__hash", "__label", "__n") <= F.struct(*[F.lit(last[c]) for c in ("__hash", "__label", "__n")])
+    return rows.where(within).orderBy("__hash", "__label", "__n").limit(n).select("__label", "__text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
     """Train on labelled rows that are not held out, at most ``max_train`` of them (half of each class at least, where there are so many).
 
     Rows with a null label, id or text do not train.  The sample is by a hash of the id, so
-    it does not depend on the order of the rows; chunks come from all over very long texts.
+    it does not depend on the order of the rows; its texts are seen whole.
     """
     marked = candidates(labels, id_col, label_col)
-    sample = sampled(docs, marked, max_train, id_col, text_col).withColumn("all", F.lit("all"))
+    sample = sampled(docs, marked, max_train, max_bytes, id_col, text_col).withColumn("all", F.lit("all"))
     found = sample.groupBy("all").applyInPandas(lambda got: trained(got, seed), "net binary, ones long, n long").collect()
     if not found:
         return Net.loads(None)
@@ -281,24 +264,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
 
 def trained(got: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Train in one task on the bounded sample, in an order that its rows alone decide."""
-    got = got.sort_values(["__data", "__label"])
+    got = got.sort_values(["__text", "__label"])
     labels = got["__label"].to_numpy()
-    return pd.DataFrame({"net": [train(list(got["__data"]), labels, seed).dumps()], "ones": [int(labels.sum())], "n": [len(labels)]})
+    texts = [x.encode("utf-8", "surrogatepass") for x in got["__text"]]
+    return pd.DataFrame({"net": [train(texts, labels, seed).dumps()], "ones": [int(labels.sum())], "n": [len(labels)]})
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns of ``keep`` and the score of each text, null and empty ones included.
 
     The net's few kilobytes travel with the task.  Columns of the input beyond those named
-    are not read, so clashing names do no harm.
+    are not read, so clashing names do no harm; ``score_col`` must not be one of them.
     """
     columns = list(dict.fromkeys([id_col, *keep]))
-    rows = docs.select(*columns, F.col(text_col).alias("__text"))
+    if score_col.lower() in [c.lower() for c in columns]:
+        raise ValueError(f"{score_col} is a column of the input")
+    rows = docs.select(*quoted(list(dict.fromkeys([*columns, text_col]))))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, "__text")):
-            got = net.scores(b.column("__text"))
+        for b in (part for batch in batches for part in slices(batch, text_col)):
+            got = net.scores(b.column(text_col))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(got, pa.float64())], names=[*columns, score_col])
 
-    schema = docs.select(*columns).withColumn(score_col, F.lit(0.0)).schema
+    schema = docs.select(*quoted(columns)).withColumn(score_col, F.lit(0.0)).schema
     return rows.mapInArrow(scored, schema)
+
+
+def good(docs: DataFrame, net: Net, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more; all columns come through as they are."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, text_col)):
+            yield b.filter(pa.array(net.scores(b.column(text_col)) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)

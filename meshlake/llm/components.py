@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep
+from ._shared import BROADCAST, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,17 +19,19 @@ def components(edges: DataFrame) -> DataFrame:
     Direction, repeats and loops of edges do not matter; edges with a null end are none.
     """
     edges = keep(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    nodes, last = edges, None
+    nodes, last, n = edges, None, edges.count()
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # one row a node: few of them are broadcast, so that a node with very many edges makes no large task
+        side = F.broadcast if 2 * n <= BROADCAST else lambda df: df
+        least = side(both.groupBy("u").agg(F.min("v").alias("m")))
         edges = keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = side(edges.groupBy("u").agg(F.min("v").alias("m")))
         stars = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = keep(stars.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        last, n = now, now[0]
     named = nodes.select("u").union(nodes.select("v")).distinct().toDF("node")
     return named.join(edges.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -4,15 +4,18 @@ Every window of a document with as many words as an item is compared with it by
 weighted Jaccard similarity of their 5-word shingles (weights: how often each stands in
 the window or item).  The steps, per batch of documents:
 
-1. A window that shares no shingle with an item has similarity 0, so only windows around
-   shared shingles go on; this loses nothing.
-2. Those windows get a 64-bit SimHash.  A multi-index cuts it into RADIUS + 1 blocks, one
-   of which must be equal if at most RADIUS bits differ, so the lookup finds every item of
-   that size within the radius.
+1. Every item-sized window gets a 64-bit SimHash.  (A window without any shingle of any
+   item has similarity 0 to all of them, so it gets none; which item it may be near is
+   left to the next step.)
+2. A multi-index brings windows and items together.  A fingerprint is cut into BLOCKS
+   blocks of 16 bits; if two differ in at most RADIUS bits, one of their blocks differs
+   in at most RADIUS // BLOCKS.  So each item stands in the tables at all values that near
+   to its own blocks, and a window looks up its own four values: that finds every item
+   within the radius.
 3. The candidates are verified by the exact similarity.
 
 At similarity 0.8 the two fingerprints differ in about 10 of 64 bits (standard deviation
-below 3), which leaves 12 bits to the radius.
+below 3), which leaves 9 bits to the radius.
 
 The items are a stated query set.  They go to the tasks in blocks of at most
 ``block_words`` words, one pass over the documents for each block.
@@ -23,21 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, small
-from ._words import Words, mix64, slices
+from ._shared import fresh, identity, keep, small
+from ._words import Words, mix64, positions, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS = 22
-#: Words of items in a block; about 100 bytes each in a task.
-BLOCK_WORDS = 500_000
+#: Most differing bits of fingerprints that are looked up; blocks of a fingerprint in the index, and their bits.
+RADIUS, BLOCKS, BLOCK_BITS = 19, 4, 16
+#: Words of items in a block: with items of about 40 words, the index takes up to 130 MB of a task's memory.
+BLOCK_WORDS = 150_000
 
-_BITS = [int(x) for x in np.linspace(0, 64, RADIUS + 2).astype(int)]
-OUT = "doc_id long, item_id long, similarity double, window_start long, window_words long"
+OUT = "item_id long, similarity double, window_start long, window_words long"
 
 
 def rolled(words: np.ndarray, width: int) -> np.ndarray:
@@ -48,11 +50,18 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def simhash(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of ``size`` shingles at each start."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+def simhash(shingles: np.ndarray, starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` shingles at each (ascending) start: the sign of the sum of all their bits."""
+    stops = starts + size
+    # the shingles of these windows only, window after window where they are apart
+    need = np.zeros(len(shingles) + 1, np.int64)
+    np.add.at(need, starts, 1)
+    np.add.at(need, stops, -1)
+    used = np.flatnonzero(np.cumsum(need[:-1]) > 0)
+    bits = np.unpackbits(shingles[used].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
     run = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return np.packbits((run[starts + size] - run[starts]) > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    a, b = np.searchsorted(used, starts), np.searchsorted(used, stops)
+    return np.packbits((run[b] - run[a]) > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -64,8 +73,48 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def near_values(radius: int) -> np.ndarray:
+    """All values of a block with at most ``radius`` bits; by exclusive or with a value, all within the radius of it."""
+    every = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
+    return every[np.bitwise_count(every) <= radius].astype(np.int64)
+
+
+class MultiIndex:
+    """Fingerprints that a lookup finds within RADIUS, up to 64 of them in one table of bit masks."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        near = near_values(RADIUS // BLOCKS)
+        self.tables = []
+        for a in range(0, len(prints), 64):
+            part = prints[a : a + 64]
+            kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if bits >= len(part))
+            masks = np.zeros((BLOCKS, 1 << BLOCK_BITS), kind)
+            for k, p in enumerate(part):
+                for j in range(BLOCKS):
+                    masks[j, near ^ int(block(p, j))] |= kind(1 << k)
+            self.tables.append(masks)
+
+    def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(i, k)``: all pairs of a given fingerprint and one of the index within the radius."""
+        found = []
+        for a, masks in enumerate(self.tables):
+            hit = masks[0, block(prints, 0)]
+            for j in range(1, BLOCKS):
+                hit |= masks[j, block(prints, j)]
+            for k in range(min(64, len(self.prints) - 64 * a)):
+                i = np.flatnonzero(hit & hit.dtype.type(1 << k))
+                i = i[np.bitwise_count(prints[i] ^ self.prints[64 * a + k]) <= RADIUS]
+                found.append((i, np.full(len(i), 64 * a + k)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def block(prints: np.ndarray, j: int) -> np.ndarray:
+    return ((prints >> np.uint64(BLOCK_BITS * j)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+
+
 class Items:
-    """A block of benchmark items: shingles, fingerprints and a multi-index for each size."""
+    """A block of benchmark items: their shingles, and a multi-index for each size."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words = Words(pa.array(texts, pa.string()), lower=True)
@@ -77,36 +126,44 @@ class Items:
                 self.ids.append(item)
                 self.n.append(len(own))
                 self.shingles.append(rolled(own, min(SHINGLE, len(own))))
-        pairs = {(s, k) for k, x in enumerate(self.shingles) for s in x.tolist()}
-        order = sorted(pairs)
-        self.keys = np.array([s for s, _ in order], np.uint64)
-        self.items = np.array([k for _, k in order], np.int64)
-        self.widths = sorted({min(SHINGLE, n) for n in self.n})
         self.prints = np.array([simhash(x, np.zeros(1, np.int64), len(x))[0] for x in self.shingles], np.uint64)
-        self.index: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for n in set(self.n):
-            at = np.array([k for k, m in enumerate(self.n) if m == n])
-            tables = []
-            for lo, hi in zip(_BITS, _BITS[1:]):
-                # one row for each value of the block: which items have it
-                table = np.zeros((1 << (hi - lo), len(at)), bool)
-                table[block(self.prints[at], lo, hi), np.arange(len(at))] = True
-                tables.append(table)
-            self.index[n] = (at, tables)
+        sizes = np.array(self.n, np.int64)
+        self.of_size = {n: np.flatnonzero(sizes == n) for n in sorted(set(self.n))}
+        self.widths = sorted({min(SHINGLE, n) for n in self.n})
+        # all shingles of items of one width, and the sizes of the items that have them
+        self.known, self.sizes = {}, {}
+        for width in self.widths:
+            pairs = sorted({(s, n) for n, x in zip(self.n, self.shingles) if min(SHINGLE, n) == width for s in x.tolist()})
+            self.known[width] = np.array([s for s, _ in pairs], np.uint64)
+            self.sizes[width] = np.array([n for _, n in pairs], np.int64)
+        self._index: dict[int, MultiIndex] = {}
 
     def candidates(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """``(window, item)`` of all fingerprints within the radius, for windows of ``n`` words."""
-        at, tables = self.index[n]
-        hit = np.zeros((len(prints), len(at)), bool)
-        for table, lo, hi in zip(tables, _BITS, _BITS[1:]):
-            hit |= table[block(prints, lo, hi)]
-        window, k = np.nonzero(hit)
-        near = np.bitwise_count(prints[window] ^ self.prints[at[k]]) <= RADIUS
-        return window[near], at[k[near]]
+        at = self.of_size[n]
+        if n not in self._index:  # made where it is used, so that only the fingerprints travel
+            self._index[n] = MultiIndex(self.prints[at])
+        window, k = self._index[n].lookup(prints)
+        return window, at[k]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
+    def __setstate__(self, state):
+        self.__dict__.update(state, _index={})
 
-def block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+
+def _windows_around(pos: np.ndarray, of: np.ndarray, first: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, size)`` of the windows of ``n`` words that hold one of the shingles; a text shorter than that is one window."""
+    text = of[pos]
+    size = np.minimum(n, first[text + 1] - first[text])
+    low = np.maximum(first[text], pos + width - size)
+    high = np.minimum(pos, first[text + 1] - size)
+    ok = (size >= width) & (low <= high)
+    count = (high - low + 1)[ok]
+    starts = np.repeat(low[ok], count) + positions(count)
+    starts, once = np.unique(starts, return_index=True)
+    return starts, np.repeat(size[ok], count)[once]
 
 
 def search(column: pa.Array, items: Items) -> list[tuple[int, int, float, int, int]]:
@@ -119,33 +176,27 @@ def search(column: pa.Array, items: Items) -> list[tuple[int, int, float, int, i
             continue
         rolls = rolled(hashes, width)
         inside = of[width - 1 :] == of[: len(of) - width + 1]
+        known, sizes = items.known[width], items.sizes[width]
         # a small table of 2^20 bits first, then the exact list
         low = np.zeros(1 << 20, bool)
-        low[(items.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        low[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         at = np.flatnonzero(low[(rolls & np.uint64((1 << 20) - 1)).astype(np.int64)] & inside)
-        left, right = np.searchsorted(items.keys, rolls[at]), np.searchsorted(items.keys, rolls[at], side="right")
-        hits = pd.DataFrame({"text": np.repeat(of[at], right - left), "pos": np.repeat(at, right - left)})
-        hits["item"] = items.items[np.concatenate([np.arange(a, b) for a, b in zip(left, right)])] if len(hits) else []
-        hits["n"] = np.array(items.n)[hits["item"].to_numpy(int)] if len(hits) else []
-        hits = hits[np.minimum(hits["n"], SHINGLE) == width]
-        for (text, n), group in hits.groupby(["text", "n"]):
-            first, last = words.first[text], words.first[text + 1]
-            size = min(n, last - first)  # a text shorter than the item is one window
-            if size < width:
-                continue
-            reach = np.unique((group["pos"].unique()[:, None] - np.arange(size - width + 1)).ravel())
-            starts = reach[(reach >= first) & (reach + size <= last)]
-            lo, hi = starts[0], starts[-1] + size - width + 1
-            prints = simhash(rolls[lo:hi], starts - lo, size - width + 1)
-            wanted = set(group["item"].tolist())
-            for w, k in zip(*items.candidates(prints, n)):
-                if k not in wanted:
-                    continue
-                s = int(starts[w])
-                sim = weighted_similarity(rolls[s : s + size - width + 1], items.shingles[k])
-                key = (int(text), int(k))
-                if sim >= SIMILARITY and (key not in best or sim > best[key][0]):
-                    best[key] = (sim, s - int(first), int(size))
+        left, right = np.searchsorted(known, rolls[at]), np.searchsorted(known, rolls[at], side="right")
+        count = right - left
+        pos = np.repeat(at, count)
+        n_of = sizes[np.repeat(left, count) + positions(count)]
+        for n in np.unique(n_of).tolist():
+            starts, size = _windows_around(pos[n_of == n], of, words.first, n, width)
+            for lo in range(0, len(starts), 1 << 14):
+                some, sized = starts[lo : lo + (1 << 14)], size[lo : lo + (1 << 14)]
+                prints = simhash(rolls, some, sized - width + 1)
+                for w, k in zip(*items.candidates(prints, n)):
+                    s, own = int(some[w]), int(sized[w])
+                    sim = weighted_similarity(rolls[s : s + own - width + 1], items.shingles[k])
+                    text = int(of[s])
+                    key, start = (text, int(k)), s - int(words.first[text])
+                    if sim >= SIMILARITY and (key not in best or (-sim, start) < (-best[key][0], best[key][1])):
+                        best[key] = (sim, start, own)
     return [(t, items.ids[k], *x) for (t, k), x in sorted(best.items())]
 
 
@@ -158,6 +209,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
     An empty benchmark or table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _found(rows, benchmark, block_words, item_col, item_text_col)
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, block_words: int, item_col: str, item_text_col: str) -> DataFrame:
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     out, ids, texts, held = [], [], [], 0
     for r in items.toLocalIterator():
@@ -176,18 +231,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
 
 def _pass(rows: DataFrame, items: Items) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
             found = search(b.column("text"), items)
             doc = b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
             kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([doc, *(pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds))], names=["doc_id", "item_id", "similarity", "window_start", "window_words"])
+            yield pa.RecordBatch.from_arrays([doc, *(pa.array([f[k + 1] for f in found], t) for k, t in enumerate(kinds))], names=["doc_id", "item_id", "similarity", "window_start", "window_words"])
 
-    return rows.mapInArrow(searched, OUT)
+    return rows.mapInArrow(searched, f"doc_id {kind}, {OUT}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item.  Rows with a null id are matched by their text alone."""
-    marked = docs.withColumn("__mark", F.xxhash64(F.col(id_col), F.col(text_col)))
-    bad = contaminated(marked, benchmark, id_col="__mark", text_col=text_col).select(F.col("doc_id").alias("__mark")).distinct()
-    return marked.join(small(keep(bad)), "__mark", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item.
+
+    Rows equal in id and text go or stay together.  All columns come through, whatever
+    their names.  An empty benchmark leaves all documents.
+    """
+    mark = fresh(docs, "__mark")
+    marked = docs.withColumn(mark, identity(F.col(id_col), F.col(text_col)))
+    bad = _found(marked.select(F.col(mark).alias("doc_id"), F.col(text_col).alias("text")), benchmark, BLOCK_WORDS, item_col, item_text_col)
+    return marked.join(small(keep(bad.select(F.col("doc_id").alias(mark)).distinct())), mark, "left_anti").drop(mark)

@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST, bucketed, keep, small
-from ._words import mix64, powers_of, signed, slices
+from ._shared import BROADCAST, bucketed, fresh, keep, quoted, small
+from ._words import mix64, signed, slices
 
 #: Most edits (of code points) between near-equal lines.
 THRESHOLD = 2
-#: Shorter lines, in code points, are compared for equality only.
+#: The rule allows edits of a tenth of a line at most, so shorter lines, in code points, are compared for equality only.
 MIN_CHARS = 20
 
 #: Most lines with one segment whose pairs are written out, and lines of a block for segments that more have.
@@ -69,14 +69,37 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Substrings:
-    """Hashes of any substrings of a batch, from one prefix sum."""
+    """Hashes of any substrings of some text, from one prefix sum.
+
+    They only bring lines together that are then compared, so a hash that two substrings
+    share costs time and nothing else.
+    """
 
     #: Values of the characters of the basic plane; others are mixed as they come.
     TABLE = mix64(np.arange(1, 1 << 16, dtype=np.uint64))
+    #: An odd base, so that it can be divided out, and the powers that are kept for all calls.
+    BASE, SIZE = 0x9E3779B97F4A7C15, 1 << 17
+    _kept: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least ``n`` powers of the base and of its inverse; only SIZE of them outlive the call."""
+
+        def made(size: int) -> tuple[np.ndarray, np.ndarray]:
+            first = [np.full(size, x, np.uint64) for x in (cls.BASE, pow(cls.BASE, -1, 2**64))]
+            for x in first:
+                x[0] = 1
+            return tuple(np.cumprod(x) for x in first)
+
+        if n > cls.SIZE:
+            return made(n)
+        if cls._kept is None:
+            cls._kept = made(cls.SIZE)
+        return cls._kept
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
-        powers, self.inverse = powers_of(n + 1)
+        powers, self.inverse = self.powers(n + 1)
         value = self.TABLE[np.minimum(codes, len(self.TABLE) - 1)]
         rare = codes >= len(self.TABLE)
         if rare.any():
@@ -91,6 +114,16 @@ class Substrings:
 def join_keys(column: pa.Array, threshold: int, role: str) -> tuple[np.ndarray, np.ndarray]:
     """``(line, key)`` of each line's own segments (role "index") or of its substrings (role "probe")."""
     codes, offsets = code_points(column)
+    found, a = [], 0
+    while a < len(column):  # as many lines at once as the kept powers serve
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + Substrings.SIZE)) - 1)
+        line, key = _keys_of(codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, role)
+        found.append((line + a, key))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _keys_of(codes: np.ndarray, offsets: np.ndarray, threshold: int, role: str) -> tuple[np.ndarray, np.ndarray]:
     hashed, length, parts = Substrings(codes), np.diff(offsets), threshold + 1
     line, keys = [], []
 
@@ -208,15 +241,24 @@ def later_ones(order: np.ndarray, side: np.ndarray, codes: list[np.ndarray], thr
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with a word: its place and its text."""
-    return docs.select(
-        F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line")
-    ).where(has_word(F.col("line")))
+    rows = [x.alias(n) for n, x in zip(("row", "row2"), _row(id_col, text_col))]
+    return docs.select(F.col(id_col).alias("doc"), *rows, F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line")).where(has_word(F.col("line")))
+
+
+def _row(id_col: str, text_col: str) -> list[F.Column]:
+    """128 bits for a row's id and text."""
+    return [F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), id_col, text_col)]
 
 
 def _line_id() -> F.Column:
     return F.xxhash64("line").alias("id")
 
 
+def _line_ids() -> list[F.Column]:
+    """128 bits for a line; the first half alone serves to bring lines together."""
+    return [_line_id(), F.xxhash64(F.lit(1), "line").alias("id2")]
+
+
 def _keys(lines: DataFrame, role: str, threshold: int, min_chars: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "line", 4 << 20)):
@@ -230,8 +272,9 @@ def _keys(lines: DataFrame, role: str, threshold: int, min_chars: int) -> DataFr
 
 
 def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """``(a, b)``: the pairs of lines within ``threshold`` edits."""
-    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    """``(a, a2, b, b2)``: the pairs of lines within ``threshold`` edits."""
+    both = pairs.join(texts.toDF("a", "a2", "left"), "a").join(texts.toDF("b", "b2", "right"), "b")
+    names = ("a", "a2", "b", "b2")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "left", 1 << 20)):
@@ -245,35 +288,36 @@ def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
             for a in range(0, len(order), 256):  # of like lengths, for little padding
                 at = order[a : a + 256]
                 near[at] = banded_distance([sides[0][i] for i in at], [sides[1][i] for i in at], threshold) <= threshold
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in names], names=list(names))
 
-    return both.mapInArrow(verified, "a long, b long")
+    return both.mapInArrow(verified, "a long, a2 long, b long, b2 long")
 
 
 def _near_in_blocks(members: DataFrame, texts: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
-    """``id`` of the lines near an earlier one that has the same key, by pairs of blocks of each key's lines."""
+    """``id`` and ``id2`` of the lines near an earlier one that has the same key, by pairs of blocks of each key's lines."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(small(keep(sizes)), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     other = dealt.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = other.select("key", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    lines = keep(texts.join(firsts.select("id", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.no").alias("no")), "id"))
+    place = [F.col(f"first.{c}").alias(c) for c in ("doc", "row", "row2", "no")]
+    lines = keep(texts.join(firsts.select("id", "id2", *place), ["id", "id2"]))
 
     def compared(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        rank = pc.sort_indices(group, sort_keys=[(c, "ascending") for c in ("doc", "row", "no")], null_placement="at_start").to_numpy()
+        rank = pc.sort_indices(group, sort_keys=[(c, "ascending") for c in ("doc", "row", "row2", "no")], null_placement="at_start").to_numpy()
         order = np.empty(len(rank), np.int64)
         order[rank] = np.arange(len(rank))
         codes, offsets = code_points(group["line"].chunk(0))
         near = later_ones(order, group["side"].to_numpy(), [codes[s:e] for s, e in zip(offsets, offsets[1:])], threshold)
-        return group.select(["id"]).filter(pa.array(near))
+        return group.select(["id", "id2"]).filter(pa.array(near))
 
-    return pairs.join(lines, "id").groupBy("key", "i", "j").applyInArrow(compared, "id long")
+    return pairs.join(lines, "id").groupBy("key", "i", "j").applyInArrow(compared, "id long, id2 long")
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id`` of the lines within ``threshold`` edits of a different line whose first place is earlier.
+    """``id`` and ``id2`` of the lines within ``threshold`` edits of a different line whose first place is earlier.
 
-    ``lines`` has a string column ``line``, ``firsts`` the first place of each line's id.
+    ``lines`` has a string column ``line``, ``firsts`` the first place of each line.
     """
     index = keep(_keys(lines, "index", threshold, min_chars))
     counts = index.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
@@ -287,10 +331,12 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
     members = keep(met.where("key is not null").select("key", F.col("b").alias("id")).union(index.join(small(long), "key", "left_semi").select("key", "id")).distinct())
 
     wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
-    texts = keep(lines.select(_line_id(), "line").join(small(wanted), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")))
+    texts = keep(lines.select(*_line_ids(), "line").join(small(wanted), "id", "left_semi").groupBy("id", "id2").agg(F.min("line").alias("line")))
     near = _near_pairs(pairs, texts, threshold)
-    ends = near.join(firsts.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    later = ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    side = lambda x: firsts.select(F.col("id").alias(x), F.col("id2").alias(f"{x}2"), F.col("first").alias(f"f{x}"))
+    ends = near.join(side("a"), ["a", "a2"]).join(side("b"), ["b", "b2"])
+    of = lambda suffix: F.when(F.col("fa") < F.col("fb"), F.col(f"b{suffix}")).otherwise(F.col(f"a{suffix}"))
+    later = ends.select(of("").alias("id"), of("2").alias("id2"))
     return later.union(_near_in_blocks(members, texts, firsts, threshold)).distinct()
 
 
@@ -299,32 +345,40 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
     A line goes if an equal line, or one within ``threshold`` edits (of both at least
     ``min_chars`` code points), stands earlier: in a document of smaller id (null first),
-    or further up in the same one.  Lines are judged as they came in, not by what is left.
+    or further up in the same one.  ``min_chars`` of 1 compares all lines by edits.  Lines
+    are judged as they came in, not by what is left.
     Lines without a word stay and are not counted.  Rows equal in id and text are at one
     place, so their lines stay or go together; of rows with one id, the order is by a hash
     of the text.  Null texts stay null and empty ones empty, with no lines.  No row goes.
-    Columns of the input named ``n_lines`` or ``n_removed`` are replaced.
+    Columns of the input named ``n_lines`` or ``n_removed`` are replaced, all others come
+    through, whatever their names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     lines = _lines(docs, id_col, text_col)
-    place = F.struct("doc", "row", "no")
-    firsts = keep(lines.select(_line_id(), place.alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.max("at").alias("last")))
+    place = F.struct("doc", "row", "row2", "no")
+    firsts = keep(lines.select(*_line_ids(), place.alias("at")).groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last")))
     killed = near_lines(lines, firsts, threshold, min_chars).withColumn("killed", F.lit(True))
-    # ids with anything to remove: killed ones wholly, others but for their first place
-    gone = firsts.join(killed, "id", "left").where("killed or first < last").select("id", "first", F.coalesce("killed", F.lit(False)).alias("killed"))
-    gone = keep(gone)
-    removed = lines.select(_line_id(), "doc", "row", "no").join(small(gone), "id").where(F.col("killed") | (place > F.col("first")))
-    by_row = keep(removed.select("row", "no").groupBy(F.col("row").alias("__row")).agg(F.collect_set("no").alias("__nos")))
+    # lines with anything to remove: killed ones wholly, others but for their first place
+    gone = firsts.join(killed, ["id", "id2"], "left").where("killed or first < last")
+    gone = keep(gone.select("id", "id2", "first", F.coalesce("killed", F.lit(False)).alias("killed")))
+    removed = lines.select(*_line_ids(), "doc", "row", "row2", "no").join(small(gone), ["id", "id2"]).where(F.col("killed") | (place > F.col("first")))
+    row, row2, nos = (fresh(docs, c) for c in ("__row", "__row2", "__nos"))
+    by_row = keep(removed.groupBy(F.col("row").alias(row), F.col("row2").alias(row2)).agg(F.collect_set("no").alias(nos)))
 
     parts = F.split(F.col(text_col), "\n", -1)
     n_lines = F.size(F.filter(parts, lambda x: has_word(x)))
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__nos"), i)), "\n")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(id_col, text_col).alias("__row"))
+    # the places that stay come from a hash set, the lines from an array that is bound once: in proportion to the lines
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(nos))
+    left = F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda k: F.element_at(p, k + 1)), "\n"))[0]
+    rows = docs.select(*quoted(names), *[x.alias(c) for c, x in zip((row, row2), _row(id_col, text_col))])
     # texts stay where they are: the other side is broadcast if its size allows it, else the texts are bucketed
-    n = by_row.agg(F.sum(F.size("__nos"))).first()[0] or 0
-    joined = rows.join(F.broadcast(by_row), "__row", "left") if n <= 4 * BROADCAST else bucketed(rows, "__row").join(by_row, "__row", "left")
+    n, n_bytes = by_row.agg(F.sum(F.size(nos))).first()[0] or 0, None
+    if n > 4 * BROADCAST:
+        n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    joined = rows.join(F.broadcast(by_row), [row, row2], "left") if n_bytes is None else bucketed(rows, row, n_bytes).join(by_row, [row, row2], "left")
+    out = [F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else x for c, x in zip(names, quoted(names))]
     return joined.select(
-        *[F.when(F.col("__nos").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+        *out,
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("__nos").isNull(), 0).otherwise(F.size("__nos")).cast("long").alias("n_removed"),
+        F.when(F.col(nos).isNull(), 0).otherwise(F.size(nos)).cast("long").alias("n_removed"),
     )

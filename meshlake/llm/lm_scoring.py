@@ -1,10 +1,10 @@
 """LM scoring with a subword lattice.
 
-The pieces come from an existing vocabulary; their probabilities are the maximum of the
-likelihood of the training documents over all segmentations, by a fixed number of
-expectation-maximisation rounds that start from the vocabulary's own scores.  A word's
-probability is the sum over all its segmentations, by a forward recursion in logarithms;
-a document's is the product over its words and one end mark.
+The pieces come from an existing vocabulary, whose own scores are where their weights
+start and what a fixed number of expectation-maximisation rounds over the training
+documents goes by as a prior.  A word's probability is the sum over all its
+segmentations, by a forward recursion in logarithms; a document's is the product over
+its words and one end mark.
 
 Words are the unit of work: a document's probability needs only its distinct words and
 their counts.  Every distinct word of the corpus is counted and scored once, in a table
@@ -19,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep
-from ._words import Words, mix64, slices
+from ._words import Words, coded, mix64, slices
 
 #: Words in the broadcast, the most frequent ones: 24 bytes each.
 HEAD = 200_000
 ROUNDS = 2
-#: Weight that every piece has besides its expected count, so that none gets probability 0.
-SMOOTH = 0.1
+#: What the vocabulary's own scores weigh besides the expected counts, in tokens; so that no piece gets probability 0.
+PRIOR = 3200.0
+#: Characters from which on a word is long: it is learned from as so many stretches of that length, and scored in short ones, side by side.
+STRETCH, SIDE = 1024, 128
 MARK = "▁"
 
 
@@ -70,29 +73,59 @@ class Pieces:
         self._maybe[(self._known >> np.uint64(44)).astype(np.int64)] = True
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, "Lattice"]]:
-        """The words in groups of like length, each as one lattice of bounded size; ``(places, lattice)``."""
+        """Marked words of at most STRETCH characters in groups of like length, each as one lattice of bounded size; ``(places, lattice)``."""
         self._prepare()
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(size, kind="stable")
-        a = 0
+        order, a = order[size[order] > 0], 0
         while a < len(order):
             # as many words as fit, none of them padded by more than a quarter
             b = min(len(order), a + max(1, self.CELLS // int(size[order[a]]) // self.most))
             b = a + int(np.searchsorted(size[order[a:b]], size[order[a]] * 5 // 4, side="right"))
-            yield order[a:b], Lattice(self, [MARK + words[i] for i in order[a:b]])
+            yield order[a:b], Lattice(self, [words[i] for i in order[a:b]])
             a = b
 
     def score(self, words: list[str]) -> np.ndarray:
         """For each word, the log of the summed probability of all its segmentations."""
         out = np.zeros(len(words))
-        for at, lattice in self.groups(words):
+        marked = [MARK + x if len(x) < STRETCH else "" for x in words]
+        for at, lattice in self.groups(marked):
             out[at] = lattice.forward()[np.arange(len(at)), lattice.n]
+        for i in [i for i, x in enumerate(marked) if not x]:
+            out[i] = self.score_long(MARK + words[i])
         return out
 
+    def score_long(self, word: str) -> float:
+        """The same for one word of any length, in memory that does not grow with it.
+
+        What a stretch does to the sums at the ``most`` places before it is a matrix; many
+        stretches are worked on side by side, and their matrices applied one after the other.
+        """
+        self._prepare()
+        m = self.most
+        state = np.full(m, -np.inf)  # logs of the sums at the last m places, the latest first
+        state[0] = 0.0
+        n_side = max(1, self.CELLS // (SIDE * m))
+        for a in range(0, len(word), n_side * SIDE):
+            part = word[a : a + n_side * SIDE]
+            # pieces may begin up to m - 1 characters before their stretch
+            pieces = [word[max(0, a + k - m + 1) : a + min(len(part), k + SIDE)] for k in range(0, len(part), SIDE)]
+            before = [min(m - 1, a + k) for k in range(0, len(part), SIDE)]
+            for matrix in Lattice(self, pieces).transfers(np.array(before), m):
+                state = log_sum(list(matrix + state[:, None]))
+        return float(state[0])
+
     def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of every piece in ``counts`` copies of the words."""
         into = np.zeros(len(self.texts))
-        for at, lattice in self.groups(words):
+        stretches, of = [], []
+        for k, word in enumerate(words):
+            marked = MARK + word
+            for a in range(0, len(marked), STRETCH):
+                stretches.append(marked[a : a + STRETCH])
+                of.append(k)
+        counts = counts[np.array(of, np.int64)]
+        for at, lattice in self.groups(stretches):
             lattice.expect(counts[at], into)
         return into
 
@@ -137,6 +170,29 @@ class Lattice:
             alpha[:, j] = log_sum([alpha[:, j - k] + self.lp[k - 1][:, j - k] for k in range(1, min(j, len(self.lp)) + 1)])
         return alpha
 
+    def transfers(self, before: np.ndarray, most: int) -> np.ndarray:
+        """``[w, i, j]``: log of the summed probability from the i-th last place before word ``w``'s own characters to its j-th last place.
+
+        The first ``before`` characters of each word only begin pieces that end in its own.
+        """
+        n_words, own = len(self.n), self.n - before
+        # states[k]: from each of the places before (rows), the sums at the k-th last place so far
+        states = [np.full((n_words, most), -np.inf) for _ in range(most)]
+        for k in range(most):
+            states[k][:, k] = 0.0
+        for j in range(1, int(own.max()) + 1):
+            end, live = before + j, own >= j
+            terms = []
+            for k in range(1, min(most, len(self.lp)) + 1):
+                start = end - k
+                ok = live & (start >= 0) & (start < self.lp[k - 1].shape[1])
+                lp = np.where(ok, self.lp[k - 1][np.arange(n_words), np.clip(start, 0, self.lp[k - 1].shape[1] - 1)], -np.inf)
+                terms.append(states[k - 1] + lp[:, None])
+            new = log_sum(terms)
+            shifted = [new, *states[:-1]]
+            states = [np.where(live[:, None], x, y) for x, y in zip(shifted, states)]
+        return np.stack(states, axis=2)
+
     def expect(self, counts: np.ndarray, into: np.ndarray) -> None:
         alpha, width = self.forward(), self.codes.shape[1]
         beta = np.full(alpha.shape, -np.inf)
@@ -187,12 +243,10 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for b in (part for batch in batches for part in slices(batch, "text", 4 << 20)):
             words = Words(b.column("text"), lower=True)
             train = ~np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
-            _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, minlength=len(first))
-            t = np.bincount(inverse, weights=train[words.text_of()], minlength=len(first)).astype(np.int64)
-            raw = words.data.tobytes()
-            texts = [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(words.start[first].tolist(), words.end[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(t), pa.array(n)], names=["word", "train", "n"])
+            codes, distinct = coded(words.data, words.start, words.end)
+            n = np.bincount(codes, minlength=len(distinct))
+            t = np.bincount(codes, weights=train[words.text_of()], minlength=len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([distinct.cast(pa.large_string()).cast(pa.string()), pa.array(t), pa.array(n)], names=["word", "train", "n"])
 
     return rows.mapInArrow(counted, "word string, train long, n long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
 
@@ -201,6 +255,7 @@ def fit(words: DataFrame, n_train_docs: int, pieces: Pieces, rounds: int = ROUND
     """Piece probabilities by expectation-maximisation over all training words; only one number a piece comes to the driver."""
     usable = {*pieces.byte_ids.tolist(), pieces.end_id}
     unused = [i for i, t in enumerate(pieces.texts) if not t and i not in usable]  # other control pieces
+    prior = PRIOR * np.exp(pieces.logp)
     for _ in range(rounds):
 
         def expected(batches: Iterator[pa.RecordBatch], pieces: Pieces = pieces) -> Iterator[pa.RecordBatch]:
@@ -211,9 +266,9 @@ def fit(words: DataFrame, n_train_docs: int, pieces: Pieces, rounds: int = ROUND
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(into[at])], names=["piece", "n"])
 
         got = words.where("train > 0").select("word", "train").mapInArrow(expected, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        count = np.full(len(pieces.texts), SMOOTH)
+        count = prior.copy()
         np.add.at(count, got["piece"].to_numpy(int), got["n"].to_numpy(float))
-        count[pieces.end_id] = SMOOTH + n_train_docs
+        count[pieces.end_id] += n_train_docs
         count[unused] = 1e-300
         pieces = pieces.with_logp(np.log(count / count.sum()))
     return pieces
@@ -255,10 +310,8 @@ def _documents(rows: DataFrame, scored: DataFrame, head: int, total: int, distin
             break
         least = r["n"]
     top = scored.where(F.col("n") >= least).select("word", "train", "logp").toArrow()
-    texts = Words(top["word"])  # a word has no white space, so each row holds one
-    hashes = texts.hashes()
-    order = np.argsort(hashes)
-    shared = rows.sparkSession.sparkContext.broadcast((hashes[order], top["train"].to_numpy()[order], top["logp"].to_numpy()[order]))
+    texts = top["word"].combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
+    shared = rows.sparkSession.sparkContext.broadcast((texts, top["train"].to_numpy(), top["logp"].to_numpy()))
     floor = math.log10(total + 0.5 * (distinct + 1))
     base = lambda c: np.log10(c + 0.5) - floor
 
@@ -270,19 +323,19 @@ def _documents(rows: DataFrame, scored: DataFrame, head: int, total: int, distin
         key = TaskContext.get().partitionId() << 40
         for b in (part for batch in batches for part in slices(batch, "text", 4 << 20)):
             words = Words(b.column("text"), lower=True)
-            hashes, of, n = words.hashes(), words.text_of(), b.num_rows
-            at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-            found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+            of, n = words.text_of(), b.num_rows
+            codes, distinct = coded(words.data, words.start, words.end)
+            at = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy()[codes]
+            found = at >= 0
             sums = [np.bincount(of[found], weights=x[at[found]], minlength=n) for x in columns]
             rest = np.flatnonzero(~found)
-            raw = words.data.tobytes()
-            texts = [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(words.start[rest].tolist(), words.end[rest].tolist())]
+            texts = distinct.take(pa.array(codes[rest])).cast(pa.large_string()).cast(pa.string())
             bounds = np.searchsorted(of[rest], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key + np.arange(n)), b.column("doc_id"), b.column("held_out"), pa.array(words.count + 1),
                     pa.array(sums[2].astype(np.int64)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(texts, pa.string())),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts),
                 ],
                 names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "logp", "rest"],
             )

@@ -2,21 +2,22 @@
 
 A document's set is its distinct 5-word shingles, each hashed once.
 
-1. Its sketch keeps the SKETCH least hashes.  Documents with equal sets are one class and
-   go on as one; sets that are too small to be like a different one end here.
-2. Inverted lists of the INDEXED least values bring classes together.  If two sets reach
-   the similarity, all of these values miss each other with probability 0.15^16.
+1. Its sketch keeps the SKETCH least hashes.  Documents with the same words in the same
+   order are one class and go on as one.
+2. Inverted lists of all retained values bring classes together.  Step 3 keeps a pair only
+   if it shares half of its values, so it surely meets in the lists of each side's rarest
+   values, one more than half of them: only these lists are walked.
 3. The union's sketch, which follows from both sketches, estimates the similarity.  Pairs
    below half are out: at 0.85, 64 values lie there with a probability below 1e-11.
-4. The exact similarity of the full sets confirms a link.
+4. The exact similarity of the full sets, as words and not as hashes, confirms a link.
 5. Links are joined to components.
 
-Lists longer than SHORT would give too many pairs.  A pair that shares any short list is
-found there.  What is left are pairs that share long lists only; both have at least four
-long ones then (three or fewer shared of 16 values have a probability below 1e-8).  Such
-classes are laid in blocks of bounded size, and each pair of blocks of one list is
-compared in a task, with the same estimate and the same exact check.  The task gives only
-the links that join what is not joined yet, so no list is ever written out in pairs.
+Lists of at most SHORT classes are written out in pairs.  In a longer one all classes are
+first compared with two pivots; classes that are then in one component need no more.  Only
+lists that still hold several components are laid in blocks: the classes outside the
+largest one meet all others, a task for each pair of blocks, by the overlaps of the full
+sets.  A task gives only links that join what is not joined yet, so no list is ever
+written out in pairs.
 """
 
 from __future__ import annotations
@@ -28,27 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, small
-from ._words import Words, mix64, shingle_hashes, signed, slices
+from ._shared import BROADCAST, fresh, identity, keep, small
+from ._words import Words, coded, exact_shingles, normal, shingle_hashes, signed, slices
 from .components import components
 
 WIDTH = 5
 #: Least similarity, per cent.
 SIMILARITY = 85
-SKETCH, INDEXED = 64, 16
+SKETCH = 64
 #: Longest list that is written out in pairs.
 SHORT = 16
-#: Long lists that a class must have to be compared in blocks, and how many of them it is compared in.
-LONG_LISTS, LONG_KEYS = 4, 8
 #: Most classes, and shingles of classes, of a block (on average).
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Lists with this share of all entries are set apart by a broadcast; so there are at most 1 / HUGE such lists.
 HUGE = 1e-4
+#: Pairs of one class from which on they are dealt over several tasks.
+HOT_PAIRS = 256
 
 
-def set_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def set_of(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, first)``: the distinct shingles of each text, ascending."""
-    words = Words(column, lower=True)
     hashes, first = shingle_hashes(words.hashes(), words.first, width)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.lexsort((hashes, doc))
@@ -58,13 +58,6 @@ def set_of(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray
     return hashes[new], np.searchsorted(doc[new], np.arange(len(first)))
 
 
-def set_names(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each set."""
-    run = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93)), out=run[1:])
-    return mix64(run[first[1:]] - run[first[:-1]] + mix64(np.diff(first).astype(np.uint64)))
-
-
 def parts(hashes: np.ndarray, first: np.ndarray, most: int | None = None) -> pa.Array:
     """A list column with the (first ``most``) values of each set."""
     size = np.diff(first) if most is None else np.minimum(np.diff(first), most)
@@ -97,44 +90,79 @@ def union_shares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document: ``row`` (a hash of id and text), ``n`` shingles, ``node`` (the set's name, null if empty), ``sketch``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    """For each document: ``row`` (names its id and text), ``n`` shingles, ``name`` (of its words in lower case, null without any), ``sketch``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), identity(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
-            hashes, first = set_of(b.column("text"))
-            n = np.diff(first)
-            node = pa.array(signed(set_names(hashes, first)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), node, parts(hashes, first, SKETCH)], names=["doc_id", "row", "n", "node", "sketch"])
-
-    return rows.mapInArrow(made, "doc_id long, row long, n long, node long, sketch array<long>")
+            words = Words(b.column("text"), lower=True)
+            hashes, first = set_of(words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(np.diff(first)), normal(words), parts(hashes, first, SKETCH)], names=["doc_id", "row", "n", "name", "sketch"])
 
+    return rows.mapInArrow(made, "doc_id long, row binary, n long, name binary, sketch array<long>")
 
-def full_sets(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(node, shingles)`` of the documents whose ``row`` is in ``rows``."""
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, "text")):
-            hashes, first = set_of(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(set_names(hashes, first))), parts(hashes, first)], names=["node", "shingles"])
 
-    return texts.join(small(rows), "row", "left_semi").select("text").mapInArrow(made, "node long, shingles array<long>").dropDuplicates(["node"])
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(node, text)`` for the rows of ``wanted``, which has ``row`` and ``node``."""
+    texts = docs.select(identity(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    return texts.join(small(wanted), "row").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _short_pairs(entries: DataFrame, counts: DataFrame, huge: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes from lists of at most SHORT, each once; pairs whose sizes rule the similarity out are none."""
-    short = entries.join(F.broadcast(huge), "v", "left_anti").join(counts.where(F.col("c") <= SHORT).select("v"), "v")
-    lists = short.groupBy("v").agg(F.collect_list(F.struct("node", "n")).alias("l"))
+def prefixes(classes: DataFrame) -> DataFrame:
+    """``(node, n, keys)``: the values in whose lists a class is to be looked up, if another class has any of them."""
+    entries = classes.select("node", "n", F.explode("sketch").alias("v"))
+    counts = keep(entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    huge = F.broadcast(counts.where(F.col("c") >= HUGE * total))
+    shared = entries.join(huge, "v").unionByName(entries.join(huge, "v", "left_anti").join(counts, "v"))
+    found = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("s"))
+    size = F.least(F.col("n"), F.lit(SKETCH)).cast("int")
+    # values that no other class has are the rarest: they stand in front and bring nobody
+    first = F.floor(size / 2).cast("int") + 1 - (size - F.size("s"))
+    return found.where(first > 0).select("node", "n", F.transform(F.slice("s", 1, first), lambda x: x["v"]).alias("keys"))
+
+
+def _short_pairs(lists: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes from lists of at most SHORT; pairs whose sizes rule the similarity out are none."""
+    short = lists.select("v", "node", "n").join(sizes.where(F.col("c") <= SHORT).select("v"), "v")
+    found = short.groupBy("v").agg(F.collect_list(F.struct("node", "n")).alias("l"))
     like = lambda x, y: (x["node"] < y["node"]) & (100 * F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]))
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: like(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    return found.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def _pivot_pairs(long: DataFrame, similarity: int) -> DataFrame:
+    """Every class of a long list with two of the list: one that stands in most long lists, and the least."""
+    central = F.struct(F.size("keys"), -F.col("node"))
+    pivot = F.struct("node", "n")
+    pivots = keep(long.groupBy("v").agg(F.max_by(pivot, central).alias("one"), F.min(pivot).alias("two")))
+    pairs = long.select("v", "node", "n").join(small(pivots), "v").select("node", "n", F.explode(F.array("one", "two")).alias("p"))
+    like = 100 * F.least("n", "p.n") >= similarity * F.greatest("n", "p.n")
+    return pairs.where((F.col("node") != F.col("p.node")) & like).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+
+
+def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``(a, b, left, right)``: pairs with the second column of ``values`` by its ``node``; pairs of one class go to several tasks."""
+    out, value = pairs, values.columns[1]
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("a").alias("node")), F.struct(F.lit(1).alias("end"), F.col("b").alias("node")))).alias("e"))
+    hot = ends.groupBy("e.end", "e.node").agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("__deal")).where("__deal > 1")
+    hot = keep(hot)
+    some = hot.count()
+    for end, side, other, name in ((0, "a", "b", "left"), (1, "b", "a", "right")):
+        of = values.select(F.col("node").alias(side), F.col(value).alias(name))
+        if not some:
+            out = out.join(of, side)
+            continue
+        deal = hot.where(F.col("end") == end).select(F.col("node").alias(side), "__deal")
+        deal = F.broadcast(deal) if some <= BROADCAST else deal
+        dealt = out.join(deal, side, "left").withColumn("__salt", F.pmod(F.xxhash64(other), F.coalesce("__deal", F.lit(1))).cast("int")).drop("__deal")
+        of = of.join(deal, side, "left").select(side, name, F.explode(F.sequence(F.lit(0), F.coalesce("__deal", F.lit(1)) - 1)).alias("__salt"))
+        out = dealt.join(of, [side, "__salt"]).drop("__salt")
+    return out.select("a", "b", "left", "right")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose union sketch does not rule the similarity out."""
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,27 +170,32 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = pa.array(2 * shared >= size)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(kept, "a long, b long")
+    return _with_both(pairs, classes.select("node", "sketch")).mapInArrow(kept, "a long, b long")
+
+
+def similar(left: pa.Array, right: pa.Array, similarity: int, width: int = WIDTH) -> np.ndarray:
+    """True for each pair of texts whose sets of shingles, compared as words, reach the similarity."""
+    n = len(left)
+    words = Words(pa.concat_arrays([left, right]), lower=True)
+    value, text = exact_shingles(coded(words.data, words.start, words.end)[0], words.first, width)
+    sizes = np.bincount(text, minlength=2 * n)
+    order = np.lexsort((value, text % n))
+    pair, value = (text % n)[order], value[order]
+    twin = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+    both = np.bincount(pair[1:][twin], minlength=n)
+    return (100 * both >= similarity * (sizes[:n] + sizes[n:] - both)) & (sizes[:n] > 0)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = b.column("left"), b.column("right")
-            sizes = [np.diff(x.offsets.to_numpy()) for x in (left, right)]
-            pair = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
-            value = np.concatenate([x.flatten().to_numpy() for x in (left, right)])
-            order = np.lexsort((value, pair))
-            pair, value = pair[order], value[order]
-            twin = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
-            both = np.bincount(pair[1:][twin], minlength=b.num_rows)
-            ok = pa.array(100 * both >= similarity * (sizes[0] + sizes[1] - both))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+        for b in (part for batch in batches for part in slices(batch, "left", 1 << 20)):
+            for b in slices(b, "right", 1 << 20):
+                ok = pa.array(similar(b.column("left"), b.column("right"), similarity))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    one, two = sets.toDF("a", "left"), sets.toDF("b", "right")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(kept, "a long, b long")
+    return _with_both(pairs, texts).mapInArrow(kept, "a long, b long")
 
 
 def overlaps(a: np.ndarray, rows_a: np.ndarray, n_a: int, b: np.ndarray, rows_b: np.ndarray, n_b: int, columns: int = 2048) -> np.ndarray:
@@ -183,76 +216,79 @@ def overlaps(a: np.ndarray, rows_a: np.ndarray, n_a: int, b: np.ndarray, rows_b:
     return out
 
 
-def block_links(v: int, nodes: np.ndarray, side: np.ndarray, keys: list[np.ndarray], sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Links between classes of list ``v`` that join what is not joined yet; with two sides, only pairs across them count.
-
-    ``keys`` are all long lists in which a class is compared: a pair is looked at in the
-    first that it shares.  ``sets`` are the classes' shingles, ascending.
-    """
+def block_links(v: int, nodes: np.ndarray, side: np.ndarray, component: np.ndarray, keys: list[np.ndarray], sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the two sides that join components not joined yet; pairs that share a lesser key than ``v`` are looked at there."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    left = np.flatnonzero(side == side.min())
-    right = np.flatnonzero(side == side.max())
-    sketch = np.full((len(nodes), SKETCH), np.uint64(2**64 - 1))
-    for row, x in zip(sketch, sets):
-        row[: min(SKETCH, len(x))] = x[:SKETCH]
 
     def flat(rows: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         return np.concatenate([values[r] for r in rows]), np.repeat(np.arange(len(rows)), [len(values[r]) for r in rows]), len(rows)
 
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     earlier = [x[x < v] for x in keys]
-    able = overlaps(*flat(left, earlier), *flat(right, earlier)) == 0
-    shared = overlaps(*flat(left, [x[:SKETCH] for x in sets]), *flat(right, [x[:SKETCH] for x in sets]))
-    small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-    able &= (100 * small >= similarity * large) & (2 * shared >= np.minimum(SKETCH, large))
+    able = (overlaps(*flat(left, earlier), *flat(right, earlier)) == 0) & (component[left][:, None] != component[right])
+    common = overlaps(*flat(left, sets), *flat(right, sets))
+    able &= 100 * common >= similarity * (n[left][:, None] + n[right] - common)
     i, j = np.nonzero(able)
-    i, j = left[i], right[j]
-    if side.min() == side.max():
-        i, j = i[i < j], j[i < j]
+    # one link between two components is enough
+    _, name = np.unique(component, return_inverse=True)
+    _, once = np.unique(name[left[i]] * len(nodes) + name[right[j]], return_index=True)
+    root = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    root = np.arange(len(nodes))  # of each class's component so far
     a_out, b_out = [], []
-    for c in range(0, len(i), 65536):
-        a, b = i[c : c + 65536], j[c : c + 65536]
-        both, size = union_shares(sketch[a], sketch[b])
-        ok = 2 * both >= size
-        a, b, like = a[ok], b[ok], (both / size)[ok]
-        for k in np.argsort(-like, kind="stable"):
-            x, y = a[k], b[k]
-            if root[x] == root[y]:
-                continue
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * common >= similarity * (n[x] + n[y] - common):
-                a_out.append(nodes[x])
-                b_out.append(nodes[y])
-                root[root == root[y]] = root[x]
+    for x, y in zip(left[i[once]].tolist(), right[j[once]].tolist()):
+        a, b = top(int(name[x])), top(int(name[y]))
+        if a != b:
+            root[a] = b
+            a_out.append(nodes[x])
+            b_out.append(nodes[y])
     return np.array(a_out, np.int64), np.array(b_out, np.int64)
 
 
 def _compared(group: pa.Table, similarity: int) -> pa.Table:
     group = group.combine_chunks()
     keys, sets = ([x.values.to_numpy() for x in group[c]] for c in ("keys", "shingles"))
-    a, b = block_links(group["v"][0].as_py(), group["node"].to_numpy(), group["side"].to_numpy(), keys, [x.view(np.uint64) for x in sets], similarity)
+    sides = [group[c].to_numpy() for c in ("node", "side", "component")]
+    a, b = block_links(group["v"][0].as_py(), *sides, keys, [x.view(np.uint64) for x in sets], similarity)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _long_keys(entries: DataFrame, counts: DataFrame, huge: DataFrame) -> DataFrame:
-    """``(v, node, n, keys)`` of the classes to be compared in blocks, a row for each of their keys."""
-    long = counts.where(F.col("c") > SHORT).select("v")
-    in_long = entries.join(F.broadcast(huge), "v").unionByName(entries.join(F.broadcast(huge), "v", "left_anti").join(long, "v"))
-    many = in_long.groupBy("node", "n").agg(F.sort_array(F.collect_list("v")).alias("vs")).where(F.size("vs") >= LONG_LISTS)
-    many = many.select("node", "n", F.slice("vs", 1, LONG_KEYS).alias("keys"))
-    return many.select("node", "n", "keys", F.explode("keys").alias("v"))
+def _mixed(long: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of long lists that hold several components, with ``component`` and whether it is the list's largest (``main``)."""
+    of = long.join(roots.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = of.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k"))
+    lists = keep(lists.where("k > 1").select("v", "largest"))
+    return of.join(small(lists), "v").withColumn("main", F.col("component") == F.col("largest")).drop("largest")
+
+
+def _in_blocks(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links between the components of each list, by pairs of a block of classes outside the largest one and a block of all."""
+    minor = F.when(~F.col("main"), 1).otherwise(0)
+    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    sizes = mixed.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.sum(minor).alias("mc"), F.sum(minor * F.col("n")).alias("ms"))
+    sizes = keep(sizes.select("v", blocks(F.col("c"), F.col("s")).alias("all"), blocks(F.col("mc"), F.col("ms")).alias("few")))
+    dealt = mixed.join(small(sizes), "v").withColumn("hash", F.xxhash64("node", "v"))
+    columns = ["v", "node", "component", "keys"]
+    one = dealt.where("not main").select(*columns, F.pmod("hash", "few").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
+    two = dealt.select(*columns, F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), F.pmod("hash", "all").cast("int").alias("j"), F.lit(1).alias("side"))
+    return one.unionByName(two).join(sets, "node").groupBy("v", "i", "j").applyInArrow(lambda group: _compared(group, similarity), "a long, b long")
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``(node, shingles)``: the hashes of each text's set, ascending."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, "text")):
+            yield pa.RecordBatch.from_arrays([b.column("node"), parts(*set_of(Words(b.column("text"), lower=True)))], names=["node", "shingles"])
 
-def _in_blocks(keys: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between the classes of each long list, by pairs of blocks."""
-    sizes = keys.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    sizes = keep(sizes.select("v", F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int")
-    dealt = keys.join(small(sizes), "v").withColumn("own", own)
-    other = dealt.select("v", "node", "keys", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = other.select("v", "node", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return pairs.join(sets, "node").groupBy("v", "i", "j").applyInArrow(lambda group: _compared(group, similarity), "a long, b long")
+    return texts.mapInArrow(made, "node long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,29 +308,33 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
 
 def _judged(docs: DataFrame, similarity: int, id_col: str, text_col: str) -> DataFrame:
     made = keep(sketches(docs, id_col, text_col))
-    grouped = made.where("node is not null").groupBy("node")
-    classes = keep(grouped.agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    # of two different sets, the smaller must have at least this many shingles to be like the other
-    fewest = -(-similarity // (100 - similarity)) if similarity < 100 else 1 << 62
-    able = classes.where(F.col("n") >= fewest)
-    entries = able.select("node", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))
-    total = able.agg(F.sum(F.least("n", F.lit(INDEXED)))).first()[0] or 0
-    counts = keep(entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
-    huge = counts.where((F.col("c") > SHORT) & (F.col("c") >= HUGE * total)).select("v")
-
-    pairs = keep(_estimated(_short_pairs(entries, counts, huge, similarity), able))
-    keys = keep(_long_keys(entries, counts, huge))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(keys.select("node")).distinct()
-    sets = keep(full_sets(docs, keep(classes.join(nodes, "node", "left_semi").select("row")), id_col, text_col))
-    links = _confirmed(pairs, sets, similarity).union(_in_blocks(keys, sets, similarity))
-
+    grouped = made.where("name is not null").groupBy("name")
+    classes = grouped.agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    lists = keep(prefixes(classes))
+    entries = lists.select("node", "n", "keys", F.explode("keys").alias("v"))
+    sizes = keep(entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    longest = sizes.where(F.col("c") > SHORT).select("v")
+    long = keep(entries.join(small(keep(longest)), "v"))
+    pairs = _short_pairs(entries, sizes, similarity).union(_pivot_pairs(long, similarity)).distinct()
+    pairs = keep(_estimated(keep(pairs), classes))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
+    texts = keep(texts_of(docs, keep(classes.select("row", "node").join(nodes, "node", "left_semi")), id_col, text_col))
+    links = keep(_confirmed(pairs, texts, similarity))
     roots = keep(components(links))
+    mixed = keep(_mixed(long, roots))
+    if not mixed.isEmpty():
+        sets = keep(full_sets(texts.join(mixed.select("node").distinct(), "node", "left_semi")))
+        more = keep(_in_blocks(mixed, sets, similarity).distinct())
+        roots = keep(components(links.union(_confirmed(more, texts, similarity))))
+
     named = classes.select("node", "least_id").join(roots, "node")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = roots.join(names, "root").select("node", "component_id")
-    of_class = classes.select("node", "least_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    found = made.where("node is not null").join(of_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
-    empty = made.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row")
+    of_class = classes.select("node", "name", "least_id").join(linked, "node", "left").select("name", F.coalesce("component_id", "least_id").alias("component_id"))
+    found = made.where("name is not null").select("doc_id", "n", "name", "row").join(of_class, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
+    empty = made.where("name is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row")
     return found.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -302,18 +342,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col:
     """``docs`` with one row of each group: that of the least id; of rows with that id, the one with the least hash of its text.
 
     Rows without words are in no group and stay.  Of rows equal in id and text that have
-    words, one stays, whichever it is.  All columns come through.
+    words, one stays, whichever it is.  All columns come through, whatever their names.
     """
     found = keep(_judged(docs, similarity, id_col, text_col).where("n_shingles > 0"))
     first = found.groupBy("component_id").agg(F.min(F.when(F.col("kept"), F.col("row"))).alias("first"))
     rows = found.groupBy("row", "component_id").agg(F.count("*").alias("c"))
     # all rows without any non-null id in their group are named by null
     judged = rows.join(first, rows["component_id"].eqNullSafe(first["component_id"]))
-    gone = keep(judged.where("row <> first").select("row"))
-    twice = keep(judged.where("row = first and c > 1").select("row"))
-    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    marks = keep(gone.union(twice).withColumnRenamed("row", "__row"))
-    left = keyed.join(small(marks), "__row", "left_anti")
+    row = fresh(docs, "__row")
+    gone = keep(judged.where("row <> first").select(F.col("row").alias(row)))
+    twice = keep(judged.where("row = first and c > 1").select(F.col("row").alias(row)))
+    keyed = docs.withColumn(row, identity(F.col(id_col), F.col(text_col)))
+    left = keyed.join(small(keep(gone.union(twice))), row, "left_anti")
     if not twice.isEmpty():
-        left = left.unionByName(keyed.join(twice.withColumnRenamed("row", "__row"), "__row", "left_semi").dropDuplicates(["__row"]))
-    return left.select(*docs.columns)
+        left = left.unionByName(keyed.join(small(twice), row, "left_semi").dropDuplicates([row]))
+    return left.drop(row)

@@ -6,6 +6,11 @@ longest first.  A piece goes into the open bin with the least room that still ho
 If none does, a bin is opened in the permitted length whose cost per packed word is
 least, judged jointly for all lengths by what the pieces still to come would fill.
 At the end every bin shrinks to the smallest permitted length that holds its contents.
+
+The cost of a sequence of c positions is ``overhead + c + c * c / attention``: a fixed
+part, one that grows with the positions, and that of attending between them.  A long
+sequence is dear, a short one wastes its fixed part and fits fewer pieces well, so which
+length is least depends on the pieces at hand.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from ._shared import numbered
 
 #: Permitted sequence lengths, in words (with one end mark for each document).
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Cost of a sequence besides its positions, in positions.
-OVERHEAD = 16
-#: Documents of a block, on average.
-BLOCK_DOCS = 4096
+#: Cost of a sequence besides its positions, in positions, and the length at which attention costs as much as all else in them.
+OVERHEAD, ATTENTION = 64, 4096
+#: Documents of a block, on average, and most tasks, which pack several blocks each where there are more.
+BLOCK_DOCS, MOST_TASKS = 4096, 50_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 _OUT = "bin long, bin_capacity int, bin_used int, bin_offset int, doc_id long, piece int, piece_start long, piece_length int, n_length long"
@@ -38,7 +43,8 @@ def pack(
     docs: DataFrame,
     length: Column | None = None,
     capacities: tuple[int, ...] = CAPACITIES,
-    overhead: int = OVERHEAD,
+    overhead: float = OVERHEAD,
+    attention: float = ATTENTION,
     block_docs: int = BLOCK_DOCS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -62,12 +68,16 @@ def pack(
 
     def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
-        return pack_block(int(key[0]), frame["doc_id"], frame["n"].to_numpy(), caps, overhead)
+        return pack_block(int(key[0]), frame["doc_id"], frame["n"].to_numpy(), caps, overhead, attention)
+
+    return items.withColumn("block", block).drop("__copy").repartition(min(n_blocks, MOST_TASKS), "block").groupBy("block").applyInPandas(packed, _OUT)
+
 
-    return items.withColumn("block", block).drop("__copy").repartition(n_blocks, "block").groupBy("block").applyInPandas(packed, _OUT)
+def cost(cap: float, overhead: float, attention: float) -> float:
+    return overhead + cap + cap * cap / attention
 
 
-def pack_block(block: int, ids: pd.Series, lengths: np.ndarray, caps: tuple[int, ...], overhead: int) -> pd.DataFrame:
+def pack_block(block: int, ids: pd.Series, lengths: np.ndarray, caps: tuple[int, ...], overhead: float, attention: float) -> pd.DataFrame:
     """Pack one block; ``lengths`` descend."""
     top = caps[-1]
     # cut into pieces
@@ -98,7 +108,7 @@ def pack_block(block: int, ids: pd.Series, lengths: np.ndarray, caps: tuple[int,
             if not rooms[room]:
                 roomy &= ~(1 << room)
         else:
-            room = _cheapest(s, left, nonempty, caps, overhead)
+            room = _cheapest(s, left, nonempty, caps, overhead, attention)
             b = len(used)
             used.append(0)
             bin_cap.append(room)
@@ -124,7 +134,7 @@ def pack_block(block: int, ids: pd.Series, lengths: np.ndarray, caps: tuple[int,
     )
 
 
-def _cheapest(s: int, left: np.ndarray, nonempty: int, caps: tuple[int, ...], overhead: int) -> int:
+def _cheapest(s: int, left: np.ndarray, nonempty: int, caps: tuple[int, ...], overhead: float, attention: float) -> int:
     """The capacity with the least cost per position filled, if best-filled from what is left."""
     best, best_cost = caps[-1], float("inf")
     for cap in caps[bisect_left(caps, s) :]:
@@ -138,9 +148,9 @@ def _cheapest(s: int, left: np.ndarray, nonempty: int, caps: tuple[int, ...], ov
             filled += n * size
             room -= n * size
             have &= (1 << min(size, room + 1)) - 1
-        cost = (cap + overhead) / filled
-        if cost < best_cost:
-            best, best_cost = cap, cost
+        a_position = cost(cap, overhead, attention) / filled
+        if a_position < best_cost:
+            best, best_cost = cap, a_position
     return best
 
 

@@ -10,6 +10,8 @@ the references of other languages say nothing about them.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep
-from ._words import Words, mix64, signed, slices, span_hashes
+from ._words import Words, coded, signed, slices
 
 #: A word is common if it makes up this share of its language's words; so a language has at most 1 / COMMON such words.
 COMMON = 0.002
@@ -36,8 +38,7 @@ MIN_CHARS, MIN_WORDS = 200, 100
 #: Base rules: fewest words; greatest share of words in repeated 3-word windows, per cent.
 BASE_WORDS, BASE_REPEATS = 50, 50
 
-N_CLASSES = 8
-#: Class of a byte: lower, upper, digit, white space, sentence mark, symbol, other ASCII, first byte of another character; 255: none.
+#: Classes of ASCII bytes: lower, upper, digit, white space, sentence mark, symbol, other; 255: none.
 _CLASS = np.full(256, 6, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 3
@@ -45,7 +46,21 @@ _CLASS[[ord(c) for c in ".,;:?!'\"()-"]] = 4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CLASS[_SYMBOL] = 5
-_CLASS[128:192], _CLASS[192:] = 255, 7
+_CLASS[128:192] = 255
+#: Of other characters: letters by runs of 128 code points, which tells scripts apart, up to LAST_RUN; ideographs and syllables
+#: beyond in one class; then marks, numbers, punctuation, symbols, and the rest.
+LAST_RUN = 0x2E80 >> 7
+_KINDS = {"L": 7 + LAST_RUN, "M": 8 + LAST_RUN, "N": 9 + LAST_RUN, "P": 10 + LAST_RUN, "S": 11 + LAST_RUN}
+N_CLASSES = 13 + LAST_RUN
+
+
+@functools.cache
+def _classes_of_characters() -> np.ndarray:
+    """The class of every code point of the basic plane, by Unicode's categories."""
+    kinds = np.array([_KINDS.get(unicodedata.category(chr(c))[0], N_CLASSES - 1) for c in range(1 << 16)], np.int16)
+    code = np.arange(1 << 16)
+    return np.where((kinds == _KINDS["L"]) & (code >> 7 < LAST_RUN), 7 + (code >> 7), kinds).astype(np.int16)
+
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -67,12 +82,23 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def class_counts(words: Words) -> np.ndarray:
-    kind = _CLASS[words.data]
-    return np.stack([sums(kind == k, words.offsets) for k in range(N_CLASSES)], 1)
-
-
-def measures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
-    """The base counts of each text."""
+    """How many characters of each class a text has; each is counted at its first byte."""
+    data, n_docs = words.data, len(words.offsets) - 1
+    kind = _CLASS[data].astype(np.int16)
+    lead = np.flatnonzero(data >= 192)
+    if len(lead):
+        byte = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) for k in range(3)]
+        two = (byte[0] & 31) << 6 | byte[1] & 63
+        three = (byte[0] & 15) << 12 | (byte[1] & 63) << 6 | byte[2] & 63
+        # beyond the basic plane: letters of rare scripts and ideographs, or signs; all in one class
+        kind[lead] = np.where(byte[0] < 240, _classes_of_characters()[np.where(byte[0] < 224, two, three) & 0xFFFF], N_CLASSES - 1)
+    some = np.flatnonzero(kind != 255)
+    doc = np.searchsorted(words.offsets, some, side="right") - 1
+    return np.bincount(doc * N_CLASSES + kind[some], minlength=n_docs * N_CLASSES).reshape(n_docs, N_CLASSES)
+
+
+def measures(words: Words) -> dict[str, np.ndarray]:
+    """The base counts of each text; lines and words are compared by their bytes."""
     data, offsets = words.data, words.offsets
     n_docs = len(offsets) - 1
     kind = _CLASS[data]
@@ -85,7 +111,7 @@ def measures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(words.start, stop) > np.searchsorted(words.start, start)
     start, stop = start[has_word], stop[has_word]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    line = mix64(span_hashes(data, start, stop, 1) + mix64(doc.astype(np.uint64)))
+    line = coded(data, start, stop)[0].astype(np.int64) * n_docs + doc
     _, first = np.unique(line, return_index=True)
     again = np.ones(len(line), bool)
     again[first] = False
@@ -95,8 +121,14 @@ def measures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     covered = np.zeros(len(words) + 1, np.int64)
     if len(words) >= 3:
         at = np.flatnonzero(of[2:] == of[:-2])
-        roll = mix64(mix64(mix64(hashes[at]) + hashes[at + 1]) + hashes[at + 2])
-        key = mix64(roll + mix64(of[at].astype(np.uint64)))
+        code = coded(data, words.start, words.end)[0].astype(np.int64)
+        d = int(code.max()) + 1
+        key, room = code[at], d
+        for more, size in ((code[at + 1], d), (code[at + 2], d), (of[at], n_docs)):
+            if room * size >= 1 << 63:  # smaller numbers for the same
+                key = np.unique(key, return_inverse=True)[1]
+                room = len(at) + 1
+            key, room = key * size + more, room * size
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         twice = at[count[inverse] > 1]
         covered[twice] += 1
@@ -105,6 +137,10 @@ def measures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip(COUNTS, (words.count, chars, symbols, dup_lines, repeats)))
 
 
+def base_failures(found: dict[str, np.ndarray]) -> np.ndarray:
+    return (found["n_words"] < BASE_WORDS) | (100 * found["n_repeat_words"] > BASE_REPEATS * found["n_words"])
+
+
 @dataclass
 class Counted:
     """Counts of classes and words by language, the words of each language with a reference, and the blocks these make."""
@@ -140,7 +176,7 @@ def language(lang_col: str) -> Column:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Counted:
-    """Count the references over all documents, of every language with LANGUAGE_WORDS words.
+    """Count the references over all documents that pass the base rules, of every language with LANGUAGE_WORDS words in them.
 
     Null languages count as one of their own, null texts as empty.  Only words above the
     stated share come to the driver, by blocks of languages, which bounds their number.
@@ -149,11 +185,13 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
+            plain = Words(b.column("text"))
+            passed = ~base_failures(measures(plain))
             words = Words(b.column("text"), lower=True)
             codes = b.column("lang").dictionary_encode()
-            lang = np.asarray(codes.indices)
+            lang = np.where(passed, np.asarray(codes.indices), -1)
             names = codes.dictionary.to_pylist()
-            hashes, of, classes = words.hashes(), lang[words.text_of()], class_counts(Words(b.column("text")))
+            hashes, of, classes = words.hashes(), lang[words.text_of()], class_counts(plain)
             for i, name in enumerate(names):
                 key, n = np.unique(hashes[of == i], return_counts=True)
                 total = classes[lang == i].sum(0)
@@ -225,9 +263,8 @@ def _judged(rows: DataFrame, refs: References) -> DataFrame:
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
             words = Words(b.column("text"))
-            found = measures(words, words.hashes())
-            n = found["n_words"]
-            failed = (n < BASE_WORDS) | (100 * found["n_repeat_words"] > BASE_REPEATS * n)
+            found = measures(words)
+            n, failed = found["n_words"], base_failures(found)
             known = pc.is_in(b.column("lang").cast(pa.string()), names).to_numpy(zero_copy_only=False)
             by_class, by_word = distances(words, Words(b.column("text"), lower=True).hashes(), refs)
             if by_class.shape[1]:

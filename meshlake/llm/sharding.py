@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ._shared import keep, numbered, small
+from ._shared import keep, numbered, quoted, running, small
 
 #: A row per bucket, 16 bytes each, is broadcast up to this number of buckets; beyond it the join shuffles.
 BROADCAST_BUCKETS = 500_000
 #: Rows of one id and text are dealt apart from this share of a bucket on; bytes of a row besides its text.
 HOT_SHARE, ROW_BYTES = 0.125, 64
+#: Most tasks of the second pass; with more buckets than that, a task permutes several, one after the other.
+MOST_TASKS = 50_000
 
 
 def shuffle_shards(
@@ -35,7 +36,7 @@ def shuffle_shards(
     bytes.  The bucket comes from the id and the text, so null ids and ties are dealt like
     any other row.  Rows of one id and text that fill over HOT_SHARE of a bucket are dealt
     over all buckets, by all their columns and the number of the copy.  Columns of the
-    input named ``shard`` or ``slot`` are replaced.  Columns must be of orderable types
+    input named ``shard`` or ``slot`` are replaced, all others come through.  Columns must be of orderable types
     (no maps), as each bucket is put in a fixed order before it is permuted.
     """
     df = df.drop("shard", "slot")
@@ -43,60 +44,41 @@ def shuffle_shards(
     total = df.agg(F.sum(size.cast("long")).alias("b")).first()["b"] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
 
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    plain = df.select(key.alias("__key"), *columns)
-    sizes = plain.groupBy("__key").agg(F.count("*").alias("n"), F.sum(size.cast("long") + ROW_BYTES).alias("b"))
-    hot = keep(sizes.where((F.col("n") > 1) & (F.col("b") > bucket_bytes * HOT_SHARE)).select("__key"))
+    # all columns in one, so that none of them clashes with those of this function
+    whole = F.struct(*quoted(df.columns)).alias("row")
+    plain = df.select(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"), size.cast("long").alias("bytes"), whole)
+    sizes = plain.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("bytes") + ROW_BYTES).alias("b"))
+    hot = keep(sizes.where((F.col("n") > 1) & (F.col("b") > bucket_bytes * HOT_SHARE)).select("key"))
+    plain = plain.select("key", "row")
     if not hot.isEmpty():
         hot = small(hot)
         # equal rows are counted before they move, and numbered after
-        equal = plain.join(hot, "__key", "left_semi").groupBy("__key", *columns).agg(F.count("*").alias("__n"))
-        dealt = numbered(equal, "__n", spread=True).withColumn("__key", F.xxhash64("__key", "__copy", *columns)).select("__key", *columns)
-        plain = plain.join(hot, "__key", "left_anti").unionByName(dealt)
-    keyed = plain.select(F.struct("__key", *columns).alias("row"))
+        equal = plain.join(hot, "key", "left_semi").groupBy("key", "row").agg(F.count("*").alias("n"))
+        dealt = numbered(equal, "n", spread=True).select(F.xxhash64("key", "__copy", "row").alias("key"), "row")
+        plain = plain.join(hot, "key", "left_anti").unionByName(dealt)
     # other bits of the key than those that order the rows of a bucket
-    bucket = F.pmod(F.shiftrightunsigned(F.xxhash64(F.col("row.__key"), F.lit(seed + 1)), 8), F.lit(n_buckets))
-    scattered = keyed.withColumn("__bucket", bucket)
+    bucket = F.pmod(F.shiftrightunsigned(F.xxhash64("key", F.lit(seed + 1)), 8), F.lit(n_buckets))
+    scattered = plain.select(bucket.alias("bucket"), F.struct("key", "row").alias("row"))
 
-    counts = scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    starts = _starts(counts)
+    counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = running(counts, "bucket", "n")
     if n_buckets <= BROADCAST_BUCKETS:
         starts = F.broadcast(starts)
 
     permuted = (
-        scattered.repartition(n_buckets, "__bucket")
-        .groupBy("__bucket")
+        scattered.repartition(min(n_buckets, MOST_TASKS), "bucket")
+        .groupBy("bucket")
         .agg(F.sort_array(F.collect_list("row")).alias("rows"))
-        .sortWithinPartitions("__bucket")  # the permutation depends on the order of the buckets of a task
-        .select("__bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("__place", "row"))
-    )
-    at = F.col("__start") + F.col("__place")
-    base = F.expr(f"__total div {n_shards}")
-    wide = F.expr(f"__total % {n_shards} * (__total div {n_shards} + 1)")  # rows in the shards that have one more
-    shard = F.when(at < wide, F.floor(at / (base + 1))).otherwise(
-        F.expr(f"__total % {n_shards}") + F.floor((at - wide) / F.greatest(base, F.lit(1)))
+        .sortWithinPartitions("bucket")  # the permutation depends on the order of the buckets of a task
+        .select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("place", "row"))
     )
+    at = F.col("before") + F.col("place")
+    base = F.expr(f"total div {n_shards}")
+    wide = F.expr(f"total % {n_shards} * (total div {n_shards} + 1)")  # rows in the shards that have one more
+    shard = F.when(at < wide, F.floor(at / (base + 1))).otherwise(F.expr(f"total % {n_shards}") + F.floor((at - wide) / F.greatest(base, F.lit(1))))
     slot = F.when(at < wide, at % (base + 1)).otherwise((at - wide) % F.greatest(base, F.lit(1)))
-    return permuted.join(starts, "__bucket").select(
-        *[F.col(f"row.`{c}`") for c in df.columns], shard.cast("int").alias("shard"), slot.cast("long").alias("slot")
-    )
-
-
-def _starts(counts: DataFrame) -> DataFrame:
-    """The rows before each bucket and in all: running sums by blocks of buckets, then over blocks."""
-    counts = counts.withColumn("__block", F.expr("__bucket div 4096"))
-    blocks = counts.groupBy("__block").agg(F.sum("__n").alias("__m"))
-    all_blocks = Window.partitionBy(F.lit(0))
-    blocks = blocks.select(
-        "__block",
-        (F.sum("__m").over(all_blocks.orderBy("__block")) - F.col("__m")).alias("__before"),
-        F.sum("__m").over(all_blocks).alias("__total"),
-    )
-    inside = F.sum("__n").over(Window.partitionBy("__block").orderBy("__bucket")) - F.col("__n")
-    return counts.withColumn("__inside", inside).join(blocks, "__block").select(
-        "__bucket", (F.col("__before") + F.col("__inside")).alias("__start"), "__total"
-    )
+    out = [F.col("row.row").getField(c).alias(c) for c in df.columns]
+    return permuted.join(starts, "bucket").select(*out, shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

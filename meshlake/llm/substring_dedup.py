@@ -15,10 +15,14 @@ they go on to step 3 at once.  The others take all steps.
 
 1. Spark counts the anchors' names over the corpus.  A window whose anchor stands nowhere
    else is no repeat.
-2. The other windows are verified by two independent hashes of all their words (96 bits
-   together), and Spark finds the earliest place of each.
+2. The other windows are verified by two independent hashes of all their words, in their
+   order (128 bits together), and Spark finds the earliest place of each.
 3. Words of windows that stand earlier elsewhere are taken out.
 
+A name or window that is found twice in one batch needs nobody else to be shared, so what
+meets by key in steps 1 and 2 is at most one row for each batch, however many documents
+share a passage.
+
 The texts are written once as a table bucketed by document, so that steps 2 and 3 bring
 the findings to the texts without moving texts again.
 """
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import bucketed, keep, small
+from ._shared import bucketed, identity, keep, small
 from ._words import Words, mix64, positions, signed, slices
 
 #: Words of a window.
@@ -75,7 +79,7 @@ def anchors(symbols: np.ndarray, of: np.ndarray, at: np.ndarray, width: int, rou
     if not len(at):
         return np.zeros(0, np.uint64), at
     if width < PHRASE:
-        return window_hashes(symbols, at, width, 0x9E3779B97F4A7C15), at
+        return window_hashes(symbols, width)[at], at
     name, place = least_phrases(symbols, at, at + width, 0)
     start = np.arange(len(symbols))  # first word of each symbol
     left, right = at, at + width  # the symbols of the window that no neighbour changes
@@ -118,36 +122,54 @@ def anchors(symbols: np.ndarray, of: np.ndarray, at: np.ndarray, width: int, rou
     return name, place
 
 
-def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of the ``width`` words from each place in ``at``."""
-    n = len(hashes)
-    powers = np.full(n + 1, base, np.uint64)
-    powers[0] = 1
-    inverse = np.full(n + 1, pow(base, -1, 2**64), np.uint64)
-    inverse[0] = 1
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * np.cumprod(powers)[:n], out=run[1:])
-    return mix64((run[at + width] - run[at]) * np.cumprod(inverse)[at])
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each place on, as far as there are so many: spans of 1, 2, 4, ... words are mixed in their order."""
+    out, have, span, size = None, 0, hashes, 1
+    while True:
+        if width & size:
+            part = span[have : len(hashes) - size + 1]
+            out = part if out is None else mix64(mix64(out[: len(part)] + np.uint64(size)) + part)
+            have += size
+        size *= 2
+        if size > width or len(span) <= size // 2:
+            break
+        span = mix64(mix64(span[: len(span) - size // 2] + np.uint64(size)) + span[size // 2 :])
+    return out[: max(0, len(hashes) - width + 1)] if have == width else np.zeros(0, np.uint64)
 
 
 def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The names of each document's anchors, once each, or twice for two places or more."""
+    """The names of each document's anchors, once each, under the key by which they are counted.
+
+    A name at two places of the batch counts for two, in one row without a document; those
+    places come under keys of their own, so that they are counted as shared and meet nobody.
+    """
     for b in (part for batch in batches for part in slices(batch, "text", _SLICE)):
         words = Words(b.column("text"))
         at, of = windows_of(words, width), words.text_of()
         name, place = anchors(words.hashes(), of, at, width)
         if not len(at):
             continue
-        new = np.append(True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (of[at[1:]] != of[at[:-1]]))
+        new = np.append(True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]))
         name, place, doc = name[new], place[new], of[at[new]]
-        order = np.lexsort((place, name, doc))
+        order = np.lexsort((place, doc, name))
         name, place, doc = name[order], place[order], doc[order]
-        first = np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]))
-        again = np.append(False, place[1:] != place[:-1]) & ~first
-        # a name at two places of its document comes twice, which is enough to be shared
-        begin = np.flatnonzero(first)
-        at = np.repeat(begin, np.minimum(2, 1 + np.add.reduceat(again.astype(np.int64), begin)))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(name[at])), b.column("row").take(pa.array(doc[at]))], names=["name", "row"])
+        head = np.append(True, name[1:] != name[:-1])  # of a name
+        first = head | np.append(True, doc[1:] != doc[:-1])  # of a name in a document
+        group = np.cumsum(head) - 1
+        begin = np.flatnonzero(head)
+        shared = np.zeros(len(begin), bool)
+        shared[group[np.append(False, (place[1:] != place[:-1])) & ~head]] = True
+        many = shared[group[first]]
+        name_of, row = name[first], b.column("row").take(pa.array(doc[first]))
+        key = np.where(many, mix64(name_of + mix64(doc[first].astype(np.uint64)) + mix64(row.to_numpy().astype(np.uint64))), name_of)
+        known = name[begin[shared]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(signed(np.concatenate([key, known]))), pa.array(signed(np.concatenate([name_of, known]))),
+                pa.concat_arrays([row, pa.nulls(len(known), pa.int64())]), pa.array(np.concatenate([np.where(many, 2, 1), np.full(len(known), 2)]).astype(np.int32)),
+            ],
+            names=["key", "name", "row", "weight"],
+        )
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -162,28 +184,31 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         name, _ = anchors(hashes, of, at, width)
         names = b.column("names")
         wanted = np.sort(mix64(names.flatten().to_numpy().view(np.uint64)) + mix64(np.asarray(pa.compute.list_parent_indices(names)).astype(np.uint64)))
-        if not len(wanted):
+        if not len(wanted) or not len(at):
             continue
         key = mix64(name) + mix64(of[at].astype(np.uint64))
         at = at[wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key]
-        one = window_hashes(hashes, at, width, 0x9E3779B97F4A7C15)
-        two = window_hashes(words.hashes(7), at, width, 0xC2B2AE3D27D4EB4F)
-        docs = b.column("doc_id").to_pandas()
-        rank = np.lexsort((b.column("row").to_numpy(), docs.fillna(0).to_numpy(np.int64), docs.notna().to_numpy()))
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
+        one, two = window_hashes(hashes, width)[at], window_hashes(words.hashes(7), width)[at]
+        ids = b.column("doc_id")
+        known = np.asarray(ids.is_valid())
+        value = ids.fill_null(0).to_numpy()
+        rank = np.lexsort((value, known))
+        place = np.empty(len(rank), np.int64)  # the document's, equal for equal ids
+        place[rank] = np.cumsum(np.append(False, (value[rank][1:] != value[rank][:-1]) | (known[rank][1:] != known[rank][:-1])))
         doc = of[at]
-        order = np.lexsort((at, place[doc], two, one))
+        order = np.lexsort((at - words.first[doc], place[doc], two, one))
         at, doc, one, two = at[order], doc[order], one[order], two[order]
-        again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])) if len(at) else np.zeros(0, bool)
-        # rows equal in id and text are at one place, so the second is no repeat of the first
-        same = b.column("row").to_numpy()[doc]
-        start = at - words.first[doc]
-        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(at)))) if len(at) else at
-        again &= ~((same == same[lead]) & (start == start[lead])) if len(at) else again
-        one = np.where(again, mix64(one + mix64(np.arange(1, len(one) + 1, dtype=np.uint64))), one)
+        start, spot = at - words.first[doc], place[doc]
+        if len(at):
+            again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
+            # rows of one id are one document: the same place is no repeat of itself
+            lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+            again &= (spot != spot[lead]) | (start != start[lead])
+            row = b.column("row").to_numpy()[doc].astype(np.uint64)
+            one = np.where(again, mix64(one + mix64(row) + mix64(start.astype(np.uint64))), one)
+            start = np.where(again, ~start, start)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column("doc_id").take(pa.array(doc)), b.column("row").take(pa.array(doc)), pa.array(np.where(again, ~start, start).astype(np.int32))],
+            [pa.array(signed(one)), pa.array(signed(two)), b.column("doc_id").take(pa.array(doc)), b.column("row").take(pa.array(doc)), pa.array(start.astype(np.int32))],
             names=["one", "two", "doc_id", "row", "start"],
         )
 
@@ -221,26 +246,26 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     A word goes if a window of ``width`` words that covers it also starts earlier: in a
     document of smaller id (null first), or further up in the same one.  Windows are
     judged on the input.  A null or empty text has no words and comes out empty; texts
-    of fewer words than a window lose nothing.  Rows equal in id and text are at one
-    place and come out alike, each as one row; of other rows with one id the order is by
-    a hash.  Other columns are not read.
+    of fewer words than a window lose nothing.  Rows of one id are one document: the same
+    start in two of them is one place, so equal rows come out alike, each as one row.
+    Other columns are not read.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(id_col, text).alias("row"))
-    # texts are told apart by 128 bits of hashes
-    equal = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    keyed = rows.select("row", "doc_id", *equal)
-    first = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = keep(keyed.join(first, ["h1", "h2"]).where("row <> first.row").select("row").distinct().withColumn("copy", F.lit(True)))
-    table = bucketed(rows.join(small(copies), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "row")
-
-    named = table.where("not copy").select("text", "row").mapInArrow(lambda batches: _named(batches, width), "name long, row long")
-    total = F.count("*").over(Window.partitionBy("name"))
-    shared = keep(named.withColumn("total", total).where("total > 1").groupBy("row").agg(F.collect_set("name").alias("names")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), identity(text).alias("named"))
+    first = rows.groupBy("named").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("c"), F.max(F.struct("doc_id")).alias("last"))
+    first = small(keep(first.where("c > 1 and first < last").select("named", "first")))
+    copy = F.coalesce(F.struct("doc_id") > F.col("first"), F.lit(False))
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    # a number for each row, fixed as the table is written
+    numbered = rows.join(first, "named", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", copy.alias("copy"))
+    table = bucketed(numbered, "row", n_bytes)
+
+    named = table.where("not copy").select("text", "row").mapInArrow(lambda batches: _named(batches, width), "key long, name long, row long, weight int")
+    total = F.sum("weight").over(Window.partitionBy("key"))
+    shared = keep(named.withColumn("total", total).where("total > 1 and row is not null").groupBy("row").agg(F.collect_set("name").alias("names")))
     verify = table.join(shared, "row").select("doc_id", "row", "text", "names")
-    places = verify.mapInArrow(lambda batches: _verified(batches, width), "one long, two int, doc_id long, row long, start int")
-    place = F.struct("doc_id", "row", "start")
+    places = verify.mapInArrow(lambda batches: _verified(batches, width), "one long, two long, doc_id long, row long, start int")
+    place = F.struct("doc_id", "start")
     judged = places.withColumn("first", F.min(place).over(Window.partitionBy("one", "two")))
     start = F.when(F.col("start") < 0, F.bitwise_not("start")).otherwise(F.col("start"))
     removed = keep(judged.where((F.col("start") < 0) | (place > F.col("first"))).groupBy("row").agg(F.collect_set(start).alias("starts")))

@@ -27,15 +27,14 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import keep, shared_folder
-from ._words import Words, slices, span_hashes
+from ._shared import keep, running, shared_folder
+from ._words import Words, coded, slices, text_bytes
 
 #: Fixed values of the code: ids in a word and bits of each, by selector; the first two are runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
@@ -171,14 +170,15 @@ _KIND[ord("'")] = 4
 _KIND[[*range(9), *range(14, 32), 127]] = 4
 
 
-def pre_tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(start, end, first)`` of parts that the tokenizer encodes apart: runs of ASCII letters,
-    single digits and runs of other ASCII marks; a word with an apostrophe or a byte beyond ASCII stays whole.
+def pre_tokens(words: Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, first)`` of parts that the tokenizer encodes apart: runs of ASCII letters, single digits and
+    runs of other ASCII marks; a word with an apostrophe or a byte beyond ASCII, or one of ``whole``, stays whole.
     """
     kind = _KIND[words.data]
     hard = np.zeros(len(kind) + 1, np.int32)
     np.cumsum(kind == 4, out=hard[1:])
     plain = hard[words.end] == hard[words.start]
+    plain[whole] = False
     edge = np.zeros(len(kind) + 1, np.int8)
     edge[words.start[plain]] += 1
     edge[words.end[plain]] -= 1
@@ -187,8 +187,8 @@ def pre_tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut[1:] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0)
     cuts = np.flatnonzero(cut)
     # two words of one text never touch; those of two texts may, and begin there anyway
-    start = np.sort(np.concatenate([words.start, cuts]), kind="stable")
-    end = np.sort(np.concatenate([words.end, cuts]), kind="stable")
+    start = np.union1d(words.start, cuts)
+    end = np.union1d(words.end, cuts)
     return start, end, np.searchsorted(start, words.offsets)
 
 
@@ -196,9 +196,11 @@ class WordTokenizer:
     """Ids of texts for a tokenizer that lower-cases and never joins over ASCII white space or the edges of ``pre_tokens``.
 
     Each distinct part of a batch is encoded once; a bounded cache keeps parts over batches.
+    The strings of special tokens are what the tokenizer takes them for; words that hold
+    one, in upper or lower case, are encoded as they stand.
     """
 
-    MOST = 1_000_000
+    MOST = 300_000
     AT_ONCE = 10_000
     #: Parts encoded in one text, and what stands between those that may hold several runs: a control character, which no printable part has.
     JOIN, GLUE = 256, "\x01"
@@ -210,11 +212,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         ends = np.array([i for t, i in vocabulary.items() if t.endswith("</w>")], np.int64)
         glue = self.encode([self.GLUE])[0]
-        self.word_ends, self.glue_ends = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        most = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.word_ends, self.glue_ends = np.zeros((2, most + 1), bool)
         self.word_ends[ends] = True
         if not len(ends) or len(glue) != 1:  # no such marks: every part is encoded alone
             self.word_ends = np.zeros(0, bool)
@@ -223,7 +226,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes, ascending
+        self.known: dict[str, int] = {}
         self.sizes = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -243,12 +246,13 @@ class WordTokenizer:
             stay[ends - 1] = False
         return np.diff(ends, prepend=0) - drop, ids[stay]
 
-    def learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+    def learn(self, parts: list[str]) -> None:
         """Encode new parts: many in one text where the ids tell where each ends, else one by one."""
         plain, glued, alone = [], [], []
         for k, p in enumerate(parts):
             # a printable ASCII part without apostrophe is one run, so only its last id ends a word
-            group = alone if not p or not p.isprintable() or not len(self.word_ends) else plain if p.isascii() and "'" not in p else glued
+            odd = not p.isprintable() or not len(self.word_ends) or any(x in p.lower() for x in self.special if x)
+            group = alone if odd else plain if p.isascii() and "'" not in p else glued
             group.append(k)
         sizes, starts = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int64)
         new, total = [self.ids], len(self.ids)
@@ -262,32 +266,34 @@ class WordTokenizer:
             new.append(found[1])
             total += len(found[1])
         self.ids = np.concatenate(new)
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.sizes = np.insert(self.sizes, at, sizes)
-        self.starts = np.insert(self.starts, at, starts)
+        self.sizes, self.starts = np.concatenate([self.sizes, sizes]), np.concatenate([self.starts, starts])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+
+    def special_words(self, words: Words, data: np.ndarray) -> np.ndarray:
+        """The words with the string of a special token; in ``words.data`` they get back their own letters from ``data``."""
+        lower, found = words.data.tobytes(), set()
+        for x in self.special:
+            at = lower.find(x.lower().encode())
+            while at >= 0:
+                found.add(int(np.searchsorted(words.start, at, side="right")) - 1)
+                at = lower.find(x.lower().encode(), at + 1)
+        for w in found:
+            words.data[words.start[w] : words.end[w]] = data[words.start[w] : words.end[w]]
+        return np.array(sorted(found), np.int64)
 
     def __call__(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """``(lengths, ids)`` of all texts; ``end_id`` follows each text."""
         words = Words(column, lower=True)
-        begin, stop, first_of = pre_tokens(words)
-        inverse, distinct = pd.factorize(span_hashes(words.data, begin, stop))
-        first = np.empty(len(distinct), np.int64)
-        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
-        order = np.argsort(distinct)
-        distinct, first = distinct[order], first[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        begin, stop, first_of = pre_tokens(words, self.special_words(words, text_bytes(column)[0]))
+        codes, distinct = coded(words.data, begin, stop)
+        parts = distinct.cast(pa.large_string()).to_pylist()
         if len(self.known) > self.MOST:
             self.clear()
-        at = np.searchsorted(self.known, distinct)
-        new = self.known[np.minimum(at, len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if new.any():
-            raw = words.data.tobytes()
-            self.learn(distinct[new], [raw[s:e].decode() for s, e in zip(begin[first[new]].tolist(), stop[first[new]].tolist())])
-            at = np.searchsorted(self.known, distinct)
-        at = at[rank]
-        size, start = self.sizes[at][inverse], self.starts[at][inverse]
+        new = [p for p in parts if p not in self.known]
+        if new:
+            self.learn(new)
+        at = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
+        size, start = self.sizes[at][codes], self.starts[at][codes]
         total = np.concatenate([[0], np.cumsum(size)])
         bounds = total[first_of]
         if end_id is None:
@@ -309,7 +315,8 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Write all texts in ascending id order (nulls first, ties by text) and return one row per file.
+    """Write all texts in ascending id order (nulls first, ties by text) and return one row per file: its name, the ``part``
+    and ``number`` in it, and how much it holds.
 
     Rows are dealt by ranges of the id and written by their tasks; file names ascend
     with the ids.  A file appears under its name by one rename, and a task that runs
@@ -348,9 +355,11 @@ def write_token_files(
                     close()
         if doc_ids:
             close()
-        yield pa.RecordBatch.from_pydict({"file": [f[0] for f in found], "n_docs": [f[1] for f in found], "n_ids": [f[2] for f in found]}, pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        n = len(found)
+        columns = [pa.array([f[0] for f in found], pa.string()), pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "part", "number", "n_docs", "n_ids"])
 
-    return ranged.mapInArrow(written, "file string, n_docs long, n_ids long")
+    return ranged.mapInArrow(written, "file string, part long, number long, n_docs long, n_ids long")
 
 
 def put(folder: str, name: str, raw: bytes) -> None:
@@ -398,8 +407,10 @@ def document_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int
     folder = shared_folder(spark) + "/tokens"
     files = write_token_files(docs, folder, lambda: WordTokenizer(path), end_id)
     sizes = keep(files)  # runs the writing once
-    before = F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")
-    starts = sizes.select("file", before.alias("before"))
+    # sums within a part's files, and over the parts
+    parts = running(sizes.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", "n")
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
+    starts = sizes.withColumn("inside", inside).join(parts, "part").select("file", (F.col("before") + F.col("inside")).alias("before"))
     if sizes.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_token_files(spark, folder).join(starts, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

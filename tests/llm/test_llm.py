@@ -102,7 +102,7 @@ def test_packing_is_whole(docs, none):
 
 
 def test_packing_takes_the_fullest_bin():
-    out = packing.pack_block(0, pd.Series([0, 1, 2, 3]), np.array([9, 6, 4, 1]), (10,), 0)
+    out = packing.pack_block(0, pd.Series([0, 1, 2, 3]), np.array([9, 6, 4, 1]), (10,), 0, 1e9)
     assert out["bin_used"].tolist() == [10, 10, 10, 10] and out["bin"].nunique() == 2
 
 
