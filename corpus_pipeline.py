@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm import classifier, decontamination, line_dedup, minhash, packing
-from meshlake.llm._shared import keep, table
+from meshlake.llm._shared import settled, table
 
 #: Per cent of shared shingles from which documents are near copies.
 NEAR = 80
@@ -18,9 +18,7 @@ NEAR = 80
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold."""
-    net = classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = classifier.score(docs, net, score_col="__score", keep=tuple(docs.columns))
-    return scored.where(F.col("__score") >= classifier.THRESHOLD).select(*docs.columns)
+    return classifier.good(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each result but the last is kept as Parquet and read again."""
+    """All stages in turn over ``documents``; each result but the last is kept as Parquet and read again, and what else a stage kept is deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
