@@ -86,6 +86,14 @@ def arc_cosine(x: Column) -> Column:
     return F.when(F.abs(x) <= 1, F.acos(x))
 
 
+def hyperbolic_arc_cosine(x: Column) -> Column:
+    return F.when(x >= 1, F.acosh(x))
+
+
+def hyperbolic_arc_tangent(x: Column) -> Column:
+    return F.when(F.abs(x) < 1, F.atanh(x))
+
+
 def cotangent(x: Column) -> Column:
     return divide(F.lit(1.0), F.tan(x))
 

@@ -42,14 +42,36 @@ class Geometry:
         return ix.cast("long") + F.lit(nx) * (iy.cast("long") + F.lit(ny) * iz.cast("long"))
 
 
+def declared(n_rows: int, cells: tuple[int, int, int] | None = None, sizes: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Geometry | None:
+    """The volume that ``n_rows`` cells are: of the given cells along each axis, or without them a cube.
+
+    None where the numbers do not come out: such a table stays a table.
+    """
+    if cells is None or 0 in cells:
+        side = round(n_rows ** (1 / 3))
+        cells = (side, side, side)
+    return Geometry(tuple(cells), tuple(sizes)) if n_rows and cells[0] * cells[1] * cells[2] == n_rows else None
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+    """``df`` computed once, in the folder of ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshlake-"))
+        context.setCheckpointDir(shared_top(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset: a temporary one in local mode, and an error on a cluster, which would not share it."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="meshlake-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top.rstrip("/")
+
+
 def with_row(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``__row``: its dense rank by the unique columns ``order``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -32,6 +33,16 @@ def append(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def split_count(n_rows: int, n_columns: int, megabytes: float, huge: bool = False, most: int = 100) -> int:
+    """Parts of at most ``megabytes`` each, at four bytes a value; more than ``most`` of them only if ``huge``."""
+    if megabytes <= 0:
+        raise ValueError("the size must be positive")
+    parts = math.ceil(n_rows * n_columns * 4 / (1 << 20) / megabytes)
+    if parts > most and not huge:
+        raise ValueError(f"{parts} parts need huge")
+    return max(1, parts)
+
+
 def split_rows(df: DataFrame, parts: int, n_rows: int | None = None) -> DataFrame:
     """``part`` from 0 on: runs of positions of like length, longer by one in the first n mod parts."""
     n = n_rows if n_rows is not None else (df.agg(F.count("*")).first()[0])
@@ -89,3 +100,36 @@ def snapshots(first: DataFrame, second: DataFrame, fields: Sequence[str], steps:
         return F.when(moved < low, moved + span).when(moved > high, moved - span).otherwise(moved)
 
     return joined.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select("step", on, *[between(c).alias(c) for c in fields])
+
+
+def growth_unit(time1: float, time2: float, hubble: float = 0.7, omega: float = 0.3, dark: float = 0.7, length: float = 3.085678e21, speed: float = 1e5) -> tuple[float, float]:
+    """What velocities of two snapshots, at scale factors ``time1`` and ``time2`` of a flat universe, move in the time between, in lengths."""
+    megaparsec = 3.085678e24
+    age = lambda a: math.asinh(math.sqrt(dark / omega * a**3)) / 1.5 / math.sqrt(dark) / hubble / 1e7 * megaparsec
+    between = (age(time2) - age(time1)) * hubble
+    return tuple(speed / length / math.sqrt(t) * between for t in (time1, time2))
+
+
+def snapshots_by_velocity(
+    first: DataFrame, second: DataFrame, positions: Sequence[str], velocities: Sequence[str], steps: int = 10, units: tuple[float, float] = (1.0, 1.0), box: float | None = None, on: str = ROW,
+) -> DataFrame:
+    """Positions between two snapshots (``step`` 1 to ``steps - 1``) on the quadratic that leaves with the first velocity.
+
+    ``units`` are what a velocity of each snapshot moves in the whole time.  Its second
+    term brings half of the change of velocity and twice what the two velocities leave of
+    the way.  In a periodic ``box`` the way is the short one.
+    """
+    names = [*positions, *velocities]
+    sides = [df.select(on, *[F.col(c).cast("double").alias(f"{c}__{k}") for c in names]) for k, df in ((1, first), (2, second))]
+    joined = sides[0].join(sides[1], on).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))))
+    at = F.col("step") / F.lit(float(steps))
+
+    def between(x: str, v: str) -> Column:
+        x1, x2 = F.col(f"{x}__1"), F.col(f"{x}__2")
+        if box is not None:
+            x2 = F.when(F.abs(x2 - x1) > box / 2, x2 - F.signum(x2 - x1) * box).otherwise(x2)
+        v1, v2 = F.col(f"{v}__1") * units[0], F.col(f"{v}__2") * units[1]
+        rest = 2 * (x2 - x1) - (v1 + v2)
+        return x1 + v1 * at + 0.5 * (v2 - v1 + rest) * at * at
+
+    return joined.select("step", on, *[between(x, v).alias(x) for x, v in zip(positions, velocities)])

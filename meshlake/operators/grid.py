@@ -7,8 +7,10 @@ A scheme gives the cells that a point touches, with weights, axis by axis: the n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,18 +92,79 @@ def scatter(
 def gather(df: DataFrame, points: Sequence[str], mesh: DataFrame, field: str, geometry: Geometry, scheme: str = "CIC", density: bool = False, periodic: bool = False, floor: float = 1e-7, name: str = "__Grid2Point_") -> DataFrame:
     """A column with the mesh's values at the points (times the cell's volume, unless ``density``), from ``floor`` on.
 
-    ``floor`` keeps values off 0 for logarithms.  A mesh of bounded size is broadcast and
-    the sum of a point's cells is taken where the point is; a larger one meets the cells
-    of all points in a shuffle.
+    ``floor`` keeps values off 0 for logarithms.  The values of a mesh of up to
+    BROADCAST_CELLS cells travel to the tasks as one array, and the sum of a point's cells
+    is taken in its row: no row moves.  A larger mesh meets the cells of all points in a
+    shuffle, and the sums come back to the points by position in another.
     """
     by = 1.0 if density else geometry.volume
+    values = mesh.select(F.col(ROW).cast("long").alias("__cell"), F.col(field).cast("double").alias("__value"))
+    if geometry.cells <= BROADCAST_CELLS:
+        return _gathered(df, points, values, geometry, scheme, periodic, floor, by, name)
     cells = touched(df.select(ROW, *points), points, geometry, scheme, periodic)
-    values = mesh.select(F.col(ROW).alias("__cell"), F.col(field).cast("double").alias("__value"))
-    joined = cells.join(F.broadcast(values) if geometry.cells <= BROADCAST_CELLS else values, "__cell")
-    sums = joined.groupBy(ROW).agg(F.sum(F.col("__weight") * F.col("__value")).alias("__sum"))
+    sums = cells.join(values, "__cell").groupBy(ROW).agg(F.sum(F.col("__weight") * F.col("__value")).alias("__sum"))
     return df.join(sums, ROW, "left").withColumn(name, F.lit(floor) + F.coalesce(F.col("__sum"), F.lit(0.0)) * F.lit(by)).drop("__sum")
 
 
+def _gathered(df: DataFrame, points: Sequence[str], values: DataFrame, geometry: Geometry, scheme: str, periodic: bool, floor: float, by: float, name: str) -> DataFrame:
+    found = values.where("__value is not null").toArrow()
+    whole = np.zeros(geometry.cells)
+    whole[found["__cell"].to_numpy()] = found["__value"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(whole)
+    columns = df.columns
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mesh = shared.value
+        for b in batches:
+            axes = []
+            for c, n, o, d in zip(points, geometry.n, geometry.origin, geometry.size):
+                x = b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                axes.append(weights((x - o) / d, n, scheme, periodic))
+            total = np.zeros(b.num_rows)
+            for ix, wx in axes[0]:
+                for iy, wy in axes[1]:
+                    for iz, wz in axes[2]:
+                        total += wx * wy * wz * mesh[ix + geometry.n[0] * (iy + geometry.n[1] * iz)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor + total * by)], names=[*columns, name])
+
+    return df.mapInArrow(summed, df.withColumn(name, F.lit(0.0)).schema)
+
+
+def weights(p: np.ndarray, n: int, scheme: str, periodic: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``axis_cells`` for an array of places: (cell, weight) in turn; the weight is 0 where there is no such cell or no place."""
+    known = np.isfinite(p)
+    p = np.where(known, p, 0.0)
+    base = np.floor(p).astype(np.int64)
+    if scheme == "NGP":
+        cells = [(np.ceil(p - 0.5).astype(np.int64), np.ones(len(p)))]
+    elif scheme == "CIC":
+        d = p - base
+        cells = [(base, 1 - d), (base + 1, d)]
+    elif scheme == "TSC":
+        cells = []
+        for k in (-1, 0, 1, 2):
+            d = np.abs(p - (base + k))
+            cells.append((base + k, np.where(d <= 0.5, 0.75 - d * d, np.where(d <= 1.5, 0.5 * (1.5 - d) ** 2, 0.0))))
+    else:
+        raise ValueError(f"no scheme {scheme}")
+    if periodic:
+        return [(i % n, w * known) for i, w in cells]
+    return [(np.clip(i, 0, n - 1), w * known * ((i >= 0) & (i < n))) for i, w in cells]
+
+
+def axis_slice(mesh: DataFrame, geometry: Geometry, axis: int, index: int) -> DataFrame:
+    """The cells of one plane across axis 1, 2 or 3."""
+    return mesh.where(geometry.index()[axis - 1] == index)
+
+
+def plane_cut(mesh: DataFrame, field: str, geometry: Geometry, corner: Sequence[float], u: Sequence[float], v: Sequence[float], n: tuple[int, int], periodic: bool = False) -> DataFrame:
+    """``iu``, ``iv``, the place ``X Y Z`` and the field at ``n`` points of a plane, from the corner along ``u`` and ``v``, by the cells around each."""
+    rows = mesh.sparkSession.range(n[0] * n[1])
+    iu, iv = (F.col("id") % n[0]).cast("int"), F.expr(f"int(id div {n[0]})")
+    place = [(F.lit(float(c)) + F.lit(float(a)) * iu + F.lit(float(b)) * iv).alias(x) for x, c, a, b in zip("XYZ", corner, u, v)]
+    return gather(rows.select(F.col("id").alias(ROW), iu.alias("iu"), iv.alias("iv"), *place), "XYZ", mesh, field, geometry, density=True, periodic=periodic, floor=0.0, name=field)
+
+
 def point_property(df: DataFrame, points: Sequence[str], field: str | None = None, resolution: Sequence[int] = (32, 32, 32), periodic: bool = False, name: str = "__PointProperty_") -> DataFrame:
     """The local density at each point: CIC to a mesh and back."""
     mesh, geometry = scatter(df, points, [field] if field else [], resolution, periodic=periodic, sparse=True)

@@ -58,11 +58,19 @@ def visual_sample(tables: Sequence[tuple[DataFrame, Sequence[str]]], size: int =
     return joined
 
 
-def multi_resolution(df: DataFrame, fields: Sequence[str], position: Sequence[float], layers: Sequence[tuple[float, float]], background: float = 1.0, seed: int = 0) -> DataFrame:
+def multi_resolution(df: DataFrame, fields: Sequence[str], position: Sequence[float] | None = None, layers: Sequence[tuple[float, float]] | None = None, background: float = 1.0, seed: int = 0) -> DataFrame:
     """Thin out with the distance: in the first layer (distance, fraction) that holds a row, 1 of 1 / fraction stays.
 
+    The position is the middle of the fields' ranges by default, and the layers are 1, 10
+    and 100 hundredths of the widest range with the fractions 1, 0.1 and 0.01.
     Rows beyond all layers are thinned to ``background``.  The rows of a layer go by runs of positions, one of each run stays.
     """
+    if position is None or layers is None:
+        ends = df.agg(*[f(F.col(c).cast("double")) for c in fields for f in (F.min, F.max)]).first()
+        ranges = [(ends[2 * k] or 0.0, ends[2 * k + 1] or 0.0) for k in range(len(fields))]
+        position = [(a + b) / 2 for a, b in ranges] if position is None else position
+        widest = max(b - a for a, b in ranges)
+        layers = [(widest * 0.01 * 10**k, 1 / 10**k) for k in range(3)] if layers is None else layers
     total = reduce(lambda a, b: a + b, [(F.col(c).cast("double") - at) * (F.col(c).cast("double") - at) for c, at in zip(fields, position)])
     at = F.sqrt(total)
     layer = F.coalesce(*[F.when(at <= d, F.lit(k)) for k, (d, _) in enumerate(layers)], F.lit(len(layers)))

@@ -44,12 +44,21 @@ def histogram(df: DataFrame, fields: Sequence[str], bins: int | None = None, bou
     return grid.join(counted, "bin", "left").fillna(0, names)
 
 
-def normalize(df: DataFrame, fields: Sequence[str], by: str, log: bool = False) -> DataFrame:
-    """The fields scaled to 0 to 1 within each type ``by``, after log10 if asked; a constant field is 0."""
-    values = {c: F.when(F.col(c) > 0, F.log10(F.col(c).cast("double"))) if log else F.col(c).cast("double") for c in fields}
+def normalize(df: DataFrame, fields: Sequence[str], by: str, log: bool = False, asinh: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
+    """The fields scaled to 0 to 1 within each type ``by``, after log10 or asinh if asked; a constant field is 0.
+
+    ``low`` and ``high``, on the scale after these, stand for a type's own bounds; values beyond them are clamped.
+    """
+    change = (lambda x: F.when(x > 0, F.log10(x))) if log else F.asinh if asinh else (lambda x: x)
+    values = {c: change(F.col(c).cast("double")) for c in fields}
     ranges = df.groupBy(by).agg(*[f(v).alias(f"__{k}_{c}") for c, v in values.items() for k, f in (("lo", F.min), ("hi", F.max))])
     scaled = df.withColumns(values).join(ranges, by, "left")
-    out = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")), F.when(F.col(c).isNotNull(), 0.0)) for c in fields}
+    out = {}
+    for c in fields:
+        a = F.col(f"__lo_{c}") if low is None else F.lit(float(low))
+        b = F.col(f"__hi_{c}") if high is None else F.lit(float(high))
+        value = F.greatest(a, F.least(b, F.col(c)))
+        out[c] = F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(value - a, b - a), F.lit(0.0)))
     return scaled.withColumns(out).drop(*[x for x in scaled.columns if x.startswith(("__lo_", "__hi_"))])
 
 

@@ -152,11 +152,11 @@ def _(spark, d):
 
 
 def _lists(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 10 = 3")
-    return o.select((F.col("o_custkey") % 50).cast("long").alias("list_id"), F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_orderkey") % 100).cast("long").alias("row_id"))
+    """Lists of all orders, by customers that share a remainder."""
+    return table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("long").alias("list_id"), F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_orderkey") % 100).cast("long").alias("row_id"))
 
 
-_LISTS = "lists AS (SELECT o_custkey % 50 AS list_id, o_orderkey AS pos, o_orderkey % 100 AS row_id FROM orders WHERE o_custkey % 10 = 3)"
+_LISTS = "lists AS (SELECT o_custkey % 50 AS list_id, o_orderkey AS pos, o_orderkey % 100 AS row_id FROM orders)"
 
 
 @query("extractlist", f"WITH {ORD}, {_LISTS} SELECT list_id, pos, row_id, price, cust FROM lists JOIN ord ON row_id = __row")
@@ -256,21 +256,19 @@ def _(spark, d):
     return combine.split_rows(orders(spark, d), 7).select(ROW, "part")
 
 
-@query("splittable_field", f"WITH {ORD}, r AS (SELECT price, ntile(4) OVER (ORDER BY price) - 1 AS part FROM ord) SELECT CAST(part AS INTEGER) AS part, true AS near FROM r GROUP BY part")
+_BOUNDS = f"""WITH {ORD}, r AS (SELECT CAST(min(price) AS DOUBLE) AS lo, (CAST(max(price) AS DOUBLE) - CAST(min(price) AS DOUBLE)) / 10000 AS w, count(*) AS n FROM ord),
+    h AS (SELECT CAST(least(floor((CAST(price AS DOUBLE) - lo) / w), 9999) AS BIGINT) AS b, count(*) AS c FROM ord, r GROUP BY 1), s AS (SELECT b, c, sum(c) OVER (ORDER BY b) - c AS seen FROM h),
+    x AS (SELECT lo + w * (b + (n * j / 4 - seen) / c) AS bound FROM s, r, range(1, 4) t(j) WHERE seen < n * j / 4 AND seen + c >= n * j / 4),
+    parts AS (SELECT __row, price, CAST(count(bound) AS INTEGER) AS part FROM ord LEFT JOIN x ON CAST(price AS DOUBLE) > bound GROUP BY __row, price)"""
+
+
+@query("splittable_field", f"{_BOUNDS} SELECT part, count(*) AS n, min(price) AS low, max(price) AS high FROM parts GROUP BY part")
 def _(spark, d):
-    # the bounds are interpolated, so parts are compared by how near their sizes are
-    split = combine.split_by_value(orders(spark, d), "price", 4).groupBy("part").count()
-    total = orders(spark, d).agg(F.count("*").alias("n"))
-    return split.join(F.broadcast(total)).select("part", (F.abs(F.col("count") * 4 - F.col("n")) <= F.col("n") * 0.02).alias("near"))
+    split = combine.split_by_value(orders(spark, d), "price", 4)
+    return split.groupBy("part").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
 
 
-@query(
-    "splittable_field_rows",
-    f"""WITH {ORD}, r AS (SELECT CAST(min(price) AS DOUBLE) AS lo, (CAST(max(price) AS DOUBLE) - CAST(min(price) AS DOUBLE)) / 10000 AS w, count(*) AS n FROM ord),
-    h AS (SELECT CAST(least(floor((CAST(price AS DOUBLE) - lo) / w), 9999) AS BIGINT) AS b, count(*) AS c FROM ord, r GROUP BY 1), s AS (SELECT b, c, sum(c) OVER (ORDER BY b) - c AS seen FROM h),
-    x AS (SELECT lo + w * (b + (n * j / 4 - seen) / c) AS bound FROM s, r, range(1, 4) t(j) WHERE seen < n * j / 4 AND seen + c >= n * j / 4)
-    SELECT __row, CAST(count(bound) AS INTEGER) AS part FROM ord LEFT JOIN x ON CAST(price AS DOUBLE) > bound GROUP BY __row""",
-)
+@query("splittable_field_rows", f"{_BOUNDS} SELECT __row, part FROM parts")
 def _(spark, d):
     return combine.split_by_value(orders(spark, d), "price", 4).select(ROW, "part")
 

@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from ..model import ROW, Geometry, data_columns
 
 #: Fixed values of the format: names of element types.
-TYPES = {"float": "f4", "f": "f4", "double": "f8", "d": "f8", "int": "i4", "i": "i4", "long": "i8", "l": "i8"}
+TYPES = {
+    "float": "f4", "f": "f4", "double": "f8", "d": "f8", "long double": "f16", "ld": "f16", "int": "i4", "i": "i4",
+    "long": "i8", "l": "i8", "long int": "i8", "li": "i8", "long long int": "i8", "lli": "i8", "long long": "i8", "ll": "i8",
+}
 #: Fixed values of the format: what stands for a missing value and for text.
 MISSING, TEXT = -1.0918273645e23, -1.4536271809e15
 
@@ -90,35 +93,35 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return spark.range(n_tasks, numPartitions=n_tasks).mapInArrow(read, schema), head
 
 
-def write_parts(df: DataFrame, folder: str, order: str = "little", names: Sequence[str] | None = None) -> DataFrame:
-    """One table of floats for each partition of ``df``, sorted by ``__row``; returns ``file``, ``first_row`` and ``n_rows``.
+def write_parts(df: DataFrame, folder: str, order: str = "little", names: Sequence[str] | None = None, geometry: Geometry | None = None, rows_per_file: int = 1 << 20, kind: str = "float") -> DataFrame:
+    """Tables of at most ``rows_per_file`` rows, by ranges of ``__row``; returns ``file``, ``first_row`` and ``n_rows``.
 
-    NULL is written as the missing mark.  A partition is held in memory, so deal out
-    ``df`` accordingly.  Files of a task that runs again are the same.
+    NULL is written as the missing mark.  A volume (``geometry``) is cut between planes,
+    so that each file is a volume with a header that says so; a plane that is larger than
+    ``rows_per_file`` is a file.  Files of a task that runs again are the same.
     """
     names = list(names or data_columns(df))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-        found = {"file": [], "first_row": [], "n_rows": []}
-        if table is not None and table.num_rows:
-            fs, at = pafs.FileSystem.from_uri(folder)
-            fs.create_dir(at, recursive=True)
-            file = f"{at}/part-{TaskContext.get().partitionId():06d}.bin"
-            head = Header("float", table.num_rows, order, tuple(names))
-            with fs.open_output_stream(file) as f:
-                for c in names:
-                    values = table[c].cast(pa.float64()).fill_null(MISSING).to_numpy()
-                    f.write(values.astype(head.dtype).tobytes())
-            with fs.open_output_stream(f"{file}.head") as f:
-                f.write(head.dumps().encode())
-            found = {"file": [file], "first_row": [table[ROW][0].as_py()], "n_rows": [table.num_rows]}
-        yield pa.RecordBatch.from_pydict(found, pa.schema([("file", pa.string()), ("first_row", pa.int64()), ("n_rows", pa.int64())]))
-
-    ordered = df.select(F.col(ROW).cast("long"), *names).sortWithinPartitions(ROW)
-    return ordered.mapInArrow(write, "file string, first_row long, n_rows long")
+    plane = geometry.n[0] * geometry.n[1] if geometry else 1
+    each = plane * max(1, rows_per_file // plane)
+
+    def write(group: pa.Table) -> pa.Table:
+        group = group.sort_by(ROW)
+        first, n = group[ROW][0].as_py(), group.num_rows
+        shape = Geometry((*geometry.n[:2], n // plane), geometry.size, geometry.origin) if geometry else None
+        head = Header(kind, n, order, tuple(names), shape)
+        fs, at = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        file = f"{at}/part-{first // each:09d}.bin"
+        with fs.open_output_stream(file) as f:
+            for c in names:
+                values = group[c].cast(pa.float64()).fill_null(MISSING).to_numpy()
+                f.write(values.astype(head.dtype).tobytes())
+        with fs.open_output_stream(f"{file}.head") as f:
+            f.write(head.dumps().encode())
+        return pa.table({"file": [folder[: len(folder) - len(at)] + file], "first_row": pa.array([first], pa.int64()), "n_rows": pa.array([n], pa.int64())})
+
+    dealt = df.select(F.col(ROW).cast("long").alias(ROW), *names).withColumn("__part", F.floor(F.col(ROW) / each))
+    return dealt.groupBy("__part").applyInArrow(write, "file string, first_row long, n_rows long")
 
 
 def swap_order(head: Header) -> Header:
@@ -155,6 +158,29 @@ def read_rows(spark: SparkSession, path: str, dtype: str = "u8", ids_per_task: i
     return spark.range(n_tasks, numPartitions=n_tasks).mapInArrow(read, "pos long, row_id long")
 
 
+def write_rows(rows: DataFrame, folder: str, dtype: str = "u8", column: str = ROW) -> DataFrame:
+    """Row positions in ascending order, as lists of ``u8`` or ``i4`` numbers or as text (``ascii``); returns ``file`` and ``n``.
+
+    A task writes one file; in the order of their names they are one list.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, at = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        file, n = f"{at}/rows-{TaskContext.get().partitionId():06d}.{'txt' if dtype == 'ascii' else 'bin'}", 0
+        with fs.open_output_stream(file) as f:
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                f.write("".join(f"{x}\n" for x in ids.tolist()).encode() if dtype == "ascii" else ids.astype(f"<{dtype}").tobytes())
+                n += len(ids)
+        yield pa.RecordBatch.from_pydict({"file": [folder[: len(folder) - len(at)] + file], "n": [n]}, pa.schema([("file", pa.string()), ("n", pa.int64())]))
+
+    ordered = rows.select(F.col(column).cast("long").alias("id")).where("id is not null").repartitionByRange("id").sortWithinPartitions("id")
+    return ordered.mapInArrow(write, "file string, n long")
+
+
 def _read_ascii_rows(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
 

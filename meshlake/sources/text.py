@@ -24,18 +24,28 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+#: What the formats take for a number: a sign, digits with one point, an exponent.  All else is text.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def _numbers(lines: DataFrame, parts: Column, names: Sequence[str]) -> DataFrame:
-    return lines.select(parts.alias("p")).select(*[F.try_element_at("p", F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(names, 1)])
+    return lines.select(parts.alias("p")).select(*[number(F.try_element_at("p", F.lit(k))).alias(c) for k, c in enumerate(names, 1)])
 
 
 def read_ascii(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
     """The first line that is no ``#`` comment has the names; short rows and text come as NULL.  Rows have no position yet (``model.with_row``)."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim(F.regexp_replace("value", "\t", " ")) != ""))
+    # the header is told by its place, as a row may have the same text
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim(F.regexp_replace("value", "\t", " ")) != ""))
     parts = F.split(F.trim(F.regexp_replace("value", "\t", " ")), " +")
     if names is None:
-        first = lines.first()
+        first = lines.orderBy("at").first()
         names = unique_names(first["value"].replace("\t", " ").split()) if first else []
-        lines = lines.where(F.col("value") != first["value"]) if first else lines
+        lines = lines.where(F.col("at") != first["at"]) if first else lines
     return _numbers(lines, parts, names)
 
 
@@ -47,7 +57,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Names from the first line, trimmed and without ``#``; empty cells and text come as NULL."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     names = unique_names([c.strip().lstrip("#").strip() for c in raw.columns])
-    return raw.toDF(*names).select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in names])
+    return raw.toDF(*names).select(*[number(F.col(f"`{c}`")).alias(c) for c in names])
 
 
 def read_votable(spark: SparkSession, path: str) -> DataFrame:

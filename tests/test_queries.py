@@ -4,6 +4,7 @@ import pytest
 from sqlcheck import SMALL, same
 
 from meshlake.plans import queries as q
+from meshlake.plans import source_queries  # noqa: F401  registers its queries
 
 
 @pytest.mark.parametrize("name", list(q.queries()))
