@@ -7,7 +7,6 @@ instead of being made again, and no block lives on one machine only.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,8 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..model import shared_top
+
 #: Rows of a few numbers that may be broadcast, by count; more go by a shuffle.
 BROADCAST = 500_000
+#: Bytes of an Arrow batch on its way to a task's Python: texts are long, and both sides hold a few batches.
+BATCH_BYTES = 4 << 20
 #: Bytes of text in a bucket of a bucketed table, and most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 
@@ -24,19 +27,17 @@ _made: list[str] = []
 _tables: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of long rows small; rows of a few numbers still go by their usual count."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
 
-    Where that is unset, a temporary folder serves in local mode; on a cluster, whose
-    machines would not share it, it is an error.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="meshlake-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/meshlake-{uuid.uuid4().hex}"
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``."""
+    bounded_batches(spark)
+    path = f"{shared_top(spark)}/meshlake-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clear)
     _made.append(path)
@@ -145,4 +146,5 @@ def _clear() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
