@@ -19,7 +19,7 @@ from ..model import shared_top
 #: Rows of a few numbers that may be broadcast, by count; more go by a shuffle.
 BROADCAST = 500_000
 #: Bytes of an Arrow batch on its way to a task's Python: texts are long, and both sides hold a few batches.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of text in a bucket of a bucketed table, and most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 

@@ -281,6 +281,15 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return one.unionByName(two).join(sets, "node").groupBy("v", "i", "j").applyInArrow(lambda group: _compared(group, similarity), "a long, b long")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links, which are drawn between the roots only."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    of = links.join(every.toDF("a", "one"), "a").join(every.toDF("b", "two"), "b")
+    tops = components(of.select(F.col("one").alias("a"), F.col("two").alias("b"))).toDF("root", "top")
+    return every.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def full_sets(texts: DataFrame) -> DataFrame:
     """``(node, shingles)``: the hashes of each text's set, ascending."""
 
@@ -326,8 +335,8 @@ def _judged(docs: DataFrame, similarity: int, id_col: str, text_col: str) -> Dat
     mixed = keep(_mixed(long, roots))
     if not mixed.isEmpty():
         sets = keep(full_sets(texts.join(mixed.select("node").distinct(), "node", "left_semi")))
-        more = keep(_in_blocks(mixed, sets, similarity).distinct())
-        roots = keep(components(links.union(_confirmed(more, texts, similarity))))
+        more = keep(_confirmed(keep(_in_blocks(mixed, sets, similarity).distinct()), texts, similarity))
+        roots = roots if more.isEmpty() else keep(_joined(roots, more))
 
     named = classes.select("node", "least_id").join(roots, "node")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
