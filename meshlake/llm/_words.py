@@ -145,22 +145,34 @@ def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return found.indices.to_numpy(), found.dictionary
 
 
-def normal(words: Words) -> pa.Array:
-    """16 bytes that name the words of each text in their order, null without any."""
+def joined(words: Words) -> tuple[memoryview, np.ndarray]:
+    """The words of all texts, with one blank after every word but the last of its text; and where each word ends in it."""
     edge = np.zeros(len(words.data) + 1, np.int8)
     edge[words.start] = 1
     edge[words.end] -= 1
     inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
-    # one blank after every word but the last of its text, where a byte of white space is
+    # the blank takes the place of a byte of white space
     between = np.ones(len(words), bool)
     between[words.first[1:][words.count > 0] - 1] = False
     blank = words.end[between]
     inside[blank] = True
     data = words.data.copy()
     data[blank] = 0x20
-    raw = memoryview(data[inside])
-    at = np.concatenate([[0], np.cumsum(inside)])[words.offsets].tolist()
-    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(at, at[1:])], pa.binary())
+    blanks = np.concatenate([[0], np.cumsum(between)])[:-1]
+    return memoryview(data[inside]), np.cumsum(words.end - words.start) + blanks
+
+
+def normal(words: Words) -> pa.Array:
+    """16 bytes that name the words of each text in their order, null without any."""
+    raw, ends = joined(words)
+    out = []
+    for a, n in zip(words.first[:-1].tolist(), words.count.tolist()):
+        if not n:
+            out.append(None)
+            continue
+        begin = int(ends[a]) - int(words.end[a] - words.start[a])
+        out.append(hashlib.blake2b(raw[begin : int(ends[a + n - 1])], digest_size=16).digest())
+    return pa.array(out, pa.binary())
 
 
 def exact_shingles(codes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,8 @@ they go on to step 3 at once.  The others take all steps.
 
 1. Spark counts the anchors' names over the corpus.  A window whose anchor stands nowhere
    else is no repeat.
-2. The other windows are verified by two independent hashes of all their words, in their
-   order (128 bits together), and Spark finds the earliest place of each.
+2. The other windows are verified by a cryptographic hash of all their words (128 bits of
+   BLAKE2), and Spark finds the earliest place of each.
 3. Words of windows that stand earlier elsewhere are taken out.
 
 A name or window that is found twice in one batch needs nobody else to be shared, so what
@@ -29,6 +29,7 @@ the findings to the texts without moving texts again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ._shared import bucketed, identity, keep, small
-from ._words import Words, mix64, positions, signed, slices
+from ._words import Words, joined, mix64, positions, signed, slices
 
 #: Words of a window.
 WINDOW = 20
@@ -137,6 +138,15 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out[: max(0, len(hashes) - width + 1)] if have == width else np.zeros(0, np.uint64)
 
 
+def window_names(words: Words, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2 over the words from each place in ``at``, joined by blanks."""
+    text, ends = joined(words)
+    begin, stop = (ends[at] - (words.end - words.start)[at]).tolist(), ends[at + width - 1].tolist()
+    names = b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begin, stop)])
+    pair = np.frombuffer(names, np.uint64).reshape(-1, 2)
+    return pair[:, 0], pair[:, 1]
+
+
 def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The names of each document's anchors, once each, under the key by which they are counted.
 
@@ -173,7 +183,7 @@ def _named(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchors are shared: two hashes and the place.
+    """The windows whose anchors are shared: the two halves of a hash and the place.
 
     Of equal windows in one batch only the earliest has to be compared; the others go on
     with hashes of their own and the complement of their start, which marks them as repeats.
@@ -188,7 +198,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             continue
         key = mix64(name) + mix64(of[at].astype(np.uint64))
         at = at[wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key]
-        one, two = window_hashes(hashes, width)[at], window_hashes(words.hashes(7), width)[at]
+        one, two = window_names(words, at, width)
         ids = b.column("doc_id")
         known = np.asarray(ids.is_valid())
         value = ids.fill_null(0).to_numpy()
