@@ -12,12 +12,13 @@ A document's set is its distinct 5-word shingles, each hashed once.
 4. The exact similarity of the full sets, as words and not as hashes, confirms a link.
 5. Links are joined to components.
 
-Lists of at most SHORT classes are written out in pairs.  In a longer one all classes are
-first compared with two pivots; classes that are then in one component need no more.  Only
-lists that still hold several components are laid in blocks: the classes outside the
-largest one meet all others, a task for each pair of blocks, by the overlaps of the full
-sets.  A task gives only links that join what is not joined yet, so no list is ever
-written out in pairs.
+Lists of at most SHORT classes are written out in pairs.  Longer ones are taken together
+by a pivot that they share, so that near copies, which have many lists in common, meet
+once; all classes of such a list are first compared with two of its classes, and those
+that are then in one component need no more.  Only lists that still hold several
+components are laid in blocks: the classes outside the largest one meet all others, a task
+for each pair of blocks, by the overlaps of the full sets.  A task gives only links that
+join what is not joined yet, so no list is ever written out in pairs.
 """
 
 from __future__ import annotations
@@ -131,12 +132,24 @@ def _short_pairs(lists: DataFrame, sizes: DataFrame, similarity: int) -> DataFra
     return found.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _pivot_pairs(long: DataFrame, similarity: int) -> DataFrame:
-    """Every class of a long list with two of the list: one that stands in most long lists, and the least."""
+def _gathered(long: DataFrame) -> DataFrame:
+    """``(v, node, n, keys)``: long lists taken together if they have one pivot, the class of theirs that stands in most long lists.
+
+    Near copies share many lists, and so their pivot; they meet once instead of in every
+    list.  ``v`` is the pivot, which has SKETCH values and so stands for SKETCH lists at
+    most; ``keys`` are all the pivots of a class.
+    """
     central = F.struct(F.size("keys"), -F.col("node"))
-    pivot = F.struct("node", "n")
-    pivots = keep(long.groupBy("v").agg(F.max_by(pivot, central).alias("one"), F.min(pivot).alias("two")))
-    pairs = long.select("v", "node", "n").join(small(pivots), "v").select("node", "n", F.explode(F.array("one", "two")).alias("p"))
+    pivots = keep(long.groupBy("v").agg(F.max_by("node", central).alias("pivot")))
+    members = long.select("v", "node", "n").join(small(pivots), "v").select("pivot", "node", "n").distinct()
+    keys = members.groupBy("node", "n").agg(F.sort_array(F.collect_list("pivot")).alias("keys"))
+    return keys.select(F.explode("keys").alias("v"), "node", "n", "keys")
+
+
+def _pivot_pairs(lists: DataFrame, similarity: int) -> DataFrame:
+    """Every class of a list with two of the list: its pivot and its least."""
+    first = keep(lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("two"), F.max(F.when(F.col("node") == F.col("v"), F.struct("node", "n"))).alias("one")))
+    pairs = lists.select("v", "node", "n").join(small(first), "v").select("node", "n", F.explode(F.array("one", "two")).alias("p"))
     like = 100 * F.least("n", "p.n") >= similarity * F.greatest("n", "p.n")
     return pairs.where((F.col("node") != F.col("p.node")) & like).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
 
@@ -217,7 +230,7 @@ def overlaps(a: np.ndarray, rows_a: np.ndarray, n_a: int, b: np.ndarray, rows_b:
 
 
 def block_links(v: int, nodes: np.ndarray, side: np.ndarray, component: np.ndarray, keys: list[np.ndarray], sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the two sides that join components not joined yet; pairs that share a lesser key than ``v`` are looked at there."""
+    """Links between the two sides that join components not joined yet; pairs that share a lesser list than ``v`` are looked at there."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     n = np.fromiter(map(len, sets), np.int64, len(sets))
 
@@ -325,7 +338,7 @@ def _judged(docs: DataFrame, similarity: int, id_col: str, text_col: str) -> Dat
     entries = lists.select("node", "n", "keys", F.explode("keys").alias("v"))
     sizes = keep(entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
     longest = sizes.where(F.col("c") > SHORT).select("v")
-    long = keep(entries.join(small(keep(longest)), "v"))
+    long = keep(_gathered(keep(entries.join(small(keep(longest)), "v"))))
     pairs = _short_pairs(entries, sizes, similarity).union(_pivot_pairs(long, similarity)).distinct()
     pairs = keep(_estimated(keep(pairs), classes))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
