@@ -25,6 +25,7 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -185,10 +186,10 @@ def pre_tokens(words: Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
     cut = np.zeros(len(kind), bool)
     cut[1:] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & (kind[:-1] > 0)
+    cut[words.start] = False  # two words of one text never touch; those of two texts may, and begin there anyway
     cuts = np.flatnonzero(cut)
-    # two words of one text never touch; those of two texts may, and begin there anyway
-    start = np.union1d(words.start, cuts)
-    end = np.union1d(words.end, cuts)
+    start = np.sort(np.concatenate([words.start, cuts]), kind="stable")
+    end = np.sort(np.concatenate([words.end, cuts]), kind="stable")
     return start, end, np.searchsorted(start, words.offsets)
 
 
@@ -200,7 +201,7 @@ class WordTokenizer:
     one, in upper or lower case, are encoded as they stand.
     """
 
-    MOST = 300_000
+    MOST = 800_000
     AT_ONCE = 10_000
     #: Parts encoded in one text, and what stands between those that may hold several runs: a control character, which no printable part has.
     JOIN, GLUE = 256, "\x01"
@@ -212,7 +213,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.shortest = min(map(len, self.special), default=1 << 30)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         ends = np.array([i for t, i in vocabulary.items() if t.endswith("</w>")], np.int64)
         glue = self.encode([self.GLUE])[0]
@@ -229,7 +231,7 @@ class WordTokenizer:
         self.known: dict[str, int] = {}
         self.sizes = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids = np.zeros(1, np.uint32)  # the first one is the end id's place
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for a in range(0, len(texts), self.AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[a : a + self.AT_ONCE], add_special_tokens=False)]
@@ -237,7 +239,7 @@ class WordTokenizer:
     def together(self, parts: list[str], glue: str, last: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray] | None:
         """``(sizes, ids)`` of parts encoded JOIN at a time; each ends with an id in ``last``, of which the last ``drop`` are the glue's."""
         rows = self.encode([glue.join(parts[a : a + self.JOIN]) + glue for a in range(0, len(parts), self.JOIN)])
-        ids = np.fromiter((i for row in rows for i in row), np.uint32, sum(map(len, rows)))
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows)))
         ends = np.flatnonzero(last[ids]) + 1
         if len(ends) != len(parts):
             return None
@@ -251,7 +253,7 @@ class WordTokenizer:
         plain, glued, alone = [], [], []
         for k, p in enumerate(parts):
             # a printable ASCII part without apostrophe is one run, so only its last id ends a word
-            odd = not p.isprintable() or not len(self.word_ends) or any(x in p.lower() for x in self.special if x)
+            odd = not p.isprintable() or not len(self.word_ends) or len(p) >= self.shortest and any(x in p.lower() for x in self.special)
             group = alone if odd else plain if p.isascii() and "'" not in p else glued
             group.append(k)
         sizes, starts = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int64)
@@ -260,7 +262,7 @@ class WordTokenizer:
             found = self.together([parts[k] for k in group], glue, last, drop) if glue and group else None
             if found is None:
                 rows = self.encode([parts[k] for k in group])
-                found = np.fromiter(map(len, rows), np.int32, len(rows)), np.array([i for row in rows for i in row], np.uint32)
+                found = np.fromiter(map(len, rows), np.int32, len(rows)), np.fromiter(chain.from_iterable(rows), np.uint32)
             sizes[group] = found[0]
             starts[group] = total + np.cumsum(found[0]) - found[0]
             new.append(found[1])
@@ -273,10 +275,10 @@ class WordTokenizer:
         """The words with the string of a special token; in ``words.data`` they get back their own letters from ``data``."""
         lower, found = words.data.tobytes(), set()
         for x in self.special:
-            at = lower.find(x.lower().encode())
+            at = lower.find(x.encode())
             while at >= 0:
                 found.add(int(np.searchsorted(words.start, at, side="right")) - 1)
-                at = lower.find(x.lower().encode(), at + 1)
+                at = lower.find(x.encode(), at + 1)
         for w in found:
             words.data[words.start[w] : words.end[w]] = data[words.start[w] : words.end[w]]
         return np.array(sorted(found), np.int64)
@@ -292,17 +294,16 @@ class WordTokenizer:
         new = [p for p in parts if p not in self.known]
         if new:
             self.learn(new)
-        at = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         size, start = self.sizes[at][codes], self.starts[at][codes]
-        total = np.concatenate([[0], np.cumsum(size)])
-        bounds = total[first_of]
-        if end_id is None:
-            return np.diff(bounds), self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        # the end ids stand between: room for one after each text
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(first_of))
-        ids = np.full(total[-1] + len(bounds) - 1, end_id, np.uint32)
-        ids[np.arange(total[-1]) + np.repeat(text, size)] = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        return np.diff(bounds) + 1, ids
+        lengths = np.diff(np.concatenate([[0], np.cumsum(size)])[first_of])
+        if end_id is not None:  # one more part behind each text
+            self.ids[0] = end_id
+            size, start = np.insert(size, first_of[1:], 1), np.insert(start, first_of[1:], 0)
+            lengths += 1
+        total = np.cumsum(size)
+        n = int(total[-1]) if len(total) else 0
+        return lengths, self.ids[np.repeat(start - total + size, size) + np.arange(n)]
 
 
 def write_token_files(
