@@ -31,8 +31,8 @@ CHUNK, STEP = 384, 360
 MAX_TRAIN = 3000
 #: Most bytes of text of all these rows together: the sample ends with the last row that stays within them.
 MAX_BYTES = 32 << 20
-#: Passes over the sample.
-EPOCHS = 12
+#: Least passes over the sample, and least steps of BATCH texts in all, which a small sample needs more passes for.
+EPOCHS, STEPS, BATCH = 12, 500, 32
 THRESHOLD = 0.7
 _SLICE = 1024  # chunks scored, or learned from, at once
 
@@ -144,10 +144,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, epochs: int = E
     params = [net.embed, net.filters, net.bias, net.out, np.zeros(1, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // -(-len(raw) // BATCH)))):
         order = rng.permutation(len(raw))
-        for a in range(0, len(order), 32):
-            docs = order[a : a + 32]
+        for a in range(0, len(order), BATCH):
+            docs = order[a : a + BATCH]
             parts, label = [raw[d] for d in docs], [labels[d] for d in docs]
             for d in docs[rng.random(len(docs)) < 0.25]:
                 begin = int(rng.integers(0, max(1, len(raw[d]) - 16)))
