@@ -116,7 +116,7 @@ def _(spark, d):
 def _(spark, d):
     o = orders(spark, d)
     made = binary.write_parts(o, new_folder(o), "big", kind="long double", rows_per_file=FILE_ROWS).collect()
-    return together([(r["file"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
+    return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
 
 
 @query("source_volume", f"WITH {ORD} SELECT __row, price FROM ord WHERE __row < (SELECT CAST(floor(cbrt(count(*) + 0.5)) AS BIGINT) ** 3 FROM ord)")
@@ -128,20 +128,20 @@ def _(spark, d):
     geometry = declared(side**3)
     made = binary.write_parts(o.where(F.col(ROW) < side**3), new_folder(o), geometry=geometry, kind="double", rows_per_file=FILE_ROWS).collect()
     plane = geometry.n[0] * geometry.n[1]
-    heads = {r["file"]: binary.read_header(r["file"] + ".head").geometry for r in made}
+    heads = {r["uri"]: binary.read_header(r["uri"] + ".head").geometry for r in made}
     if any(g.n[:2] != geometry.n[:2] or g.n[2] * plane != r["n_rows"] for g, r in zip(heads.values(), made)):
         raise ValueError("a header does not tell its volume")
-    return together([(r["file"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
+    return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
 
 
 @query("source_swap", f"WITH {ORD} SELECT __row, CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, cust FROM ord")
 def _(spark, d):
     o = orders(spark, d)
     small = binary.write_parts(o, new_folder(o), "little", rows_per_file=FILE_ROWS).collect()
-    back = together([(r["file"], r["first_row"]) for r in small], lambda f: binary.read_table(spark, f)[0])
-    order = binary.swap_order(binary.read_header(small[0]["file"] + ".head")).order
+    back = together([(r["uri"], r["first_row"]) for r in small], lambda f: binary.read_table(spark, f)[0])
+    order = binary.swap_order(binary.read_header(small[0]["uri"] + ".head")).order
     made = binary.write_parts(back, new_folder(o), order, rows_per_file=FILE_ROWS).collect()
-    return together([(r["file"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
+    return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
 
 
 @query("source_row_list", f"WITH {ORD} SELECT row_number() OVER (ORDER BY __row) - 1 AS pos, __row AS row_id FROM ord WHERE price BETWEEN 50000 AND 150000")

@@ -94,7 +94,7 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def write_parts(df: DataFrame, folder: str, order: str = "little", names: Sequence[str] | None = None, geometry: Geometry | None = None, rows_per_file: int = 1 << 20, kind: str = "float") -> DataFrame:
-    """Tables of at most ``rows_per_file`` rows, by ranges of ``__row``; returns ``file``, ``first_row`` and ``n_rows``.
+    """Tables of at most ``rows_per_file`` rows, by ranges of ``__row``; returns ``file`` (a path), ``first_row``, ``n_rows`` and ``uri``.
 
     NULL is written as the missing mark.  A volume (``geometry``) is cut between planes,
     so that each file is a volume with a header that says so; a plane that is larger than
@@ -118,10 +118,11 @@ def write_parts(df: DataFrame, folder: str, order: str = "little", names: Sequen
                 f.write(values.astype(head.dtype).tobytes())
         with fs.open_output_stream(f"{file}.head") as f:
             f.write(head.dumps().encode())
-        return pa.table({"file": [folder[: len(folder) - len(at)] + file], "first_row": pa.array([first], pa.int64()), "n_rows": pa.array([n], pa.int64())})
+        uri = folder[: len(folder) - len(at)] + file
+        return pa.table({"file": [file], "first_row": pa.array([first], pa.int64()), "n_rows": pa.array([n], pa.int64()), "uri": [uri]})
 
     dealt = df.select(F.col(ROW).cast("long").alias(ROW), *names).withColumn("__part", F.floor(F.col(ROW) / each))
-    return dealt.groupBy("__part").applyInArrow(write, "file string, first_row long, n_rows long")
+    return dealt.groupBy("__part").applyInArrow(write, "file string, first_row long, n_rows long, uri string")
 
 
 def swap_order(head: Header) -> Header:

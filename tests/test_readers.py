@@ -41,7 +41,7 @@ def test_parts_of_volumes_and_types(spark, tmp_path):
         made = binary.write_parts(df, uri(tmp_path / kind), "big", geometry=Geometry((3, 4, 5)), rows_per_file=25, kind=kind).collect()
         assert sorted(r["n_rows"] for r in made) == [12, 24, 24]
         for r in made:
-            frame, head = binary.read_table(spark, r["file"])
+            frame, head = binary.read_table(spark, r["uri"])
             assert head.geometry.n == (3, 4, r["n_rows"] // 12)
             for x in frame.collect():
                 at = x[ROW] + r["first_row"]
