@@ -48,15 +48,15 @@ class Words:
     """The words of a batch of texts: byte spans and the first word of each text.
 
     ``start``/``end`` are byte positions in ``data``; the words of text ``i`` are
-    ``first[i]:first[i + 1]``.
+    ``first[i]:first[i + 1]``.  ``gap`` marks the bytes that are in no word.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE):
         data, offsets = text_bytes(column)
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         # A gap before and after every text keeps words of neighbours apart.
-        solid = ~_SPACE[self.data]
+        solid = ~gap[self.data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         ends = solid.copy()

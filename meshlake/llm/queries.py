@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, line_dedup, lm_scoring, minhash, packing, quality_rules, sharding, substring_dedup, token_files
+from . import byte_bpe, classifier, decontamination, line_dedup, lm_scoring, minhash, packing, periodic_runs, quality_rules, sharding, source_audit, substring_dedup, token_files
 from ._shared import table
 
 #: The folder with the public tokenizers' files; None: the one of the installed module.
@@ -84,12 +84,45 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoder = byte_bpe.Encoder.load(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), encoder)
+    back = byte_bpe.decode(ids, encoder, keep=("doc_id", "ids"))
+    return back.select("doc_id", byte_bpe.n_ids("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with the words of every tenth document, by a hash of its id, repeated from a place on with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.select("*", F.when(F.size("w") > 0, F.size("w")).alias("n"))  # null where the text stays as it is
+    rows = rows.select("*", F.expr("int(g % n)").alias("a"), F.expr("int(1 + (n - g % n) div (3 + g % 8))").alias("p"))
+    repeats = "flatten(array_repeat(slice(w, a + 1, p), int((n - a) div p + 1)))"
+    changed = F.expr(f"array_join(concat(slice(w, 1, a), slice({repeats}, 1, n - a)), ' ')")
+    return rows.select("doc_id", F.when(F.col("n").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(periodic_runs.runs_text().cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_decontamination, op4_line_dedup, op5_substring_dedup, op6_lm_scoring, op7_token_files, op8_quality_rules, op9_near_dedup, op10_quality, op11_byte_bpe, op12_periodic_runs, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_near_dedup": OP9_SQL, "op13_source_audit": OP13_SQL}
 
 
 #: Words, shingles and windows by brute force; the best window of each document and item, the first of equals.
@@ -185,3 +218,32 @@ WITH RECURSIVE d AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON a = doc_id
 """
+
+
+#: Every kept term for every pair of sources, and for every group and its language.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), uses AS (SELECT lang, source, row, unnest(w) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n FROM uses GROUP BY ALL HAVING count(DISTINCT row) >= 10
+), langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), sources AS (SELECT DISTINCT lang, source FROM d
+), counts AS (SELECT lang, source, term, count(*) AS c FROM uses SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM sources LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c, 0) AS c, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 2)) // (s.n + 2 * l.v) AS HUGEINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (l.n + 2 * l.v) AS HUGEINT) AS q
+  FROM totals s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts x ON x.lang = s.lang AND x.source = s.source AND x.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE c > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 10
+"""
