@@ -6,10 +6,12 @@ needs positions.  A volume is a table whose ``__row`` is ``ix + nx * (iy + ny *
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "__row"
@@ -53,12 +55,44 @@ def declared(n_rows: int, cells: tuple[int, int, int] | None = None, sizes: tupl
     return Geometry(tuple(cells), tuple(sizes)) if n_rows and cells[0] * cells[1] * cells[2] == n_rows else None
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder of ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_top(df.sparkSession))
-    return df.checkpoint()
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; what is in it goes when the interpreter ends, if the session is still there."""
+    if not _made:
+        atexit.register(_clear)
+    _made.append(f"{shared_top(spark)}/meshlake-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _made if spark is not None else []:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a Parquet table in the shared folder, read back."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prefix_sums(df: DataFrame, key: str, n: str) -> DataFrame:
+    """``key`` and ``before``: the sum of ``n`` over all lesser ones of the distinct whole numbers ``key``.
+
+    By blocks of 4096 numbers, then over the blocks: one row for each block meets in one task.
+    """
+    rows = df.select(key, F.col(n).alias("__n"), F.floor(F.col(key) / 4096).alias("__block"))
+    blocks = rows.groupBy("__block").agg(F.sum("__n").alias("__sum"))
+    blocks = blocks.select("__block", (F.sum("__sum").over(Window.partitionBy(F.lit(0)).orderBy("__block")) - F.col("__sum")).alias("__outside"))
+    inside = F.sum("__n").over(Window.partitionBy("__block").orderBy(key)) - F.col("__n")
+    return rows.withColumn("__inside", inside).join(blocks, "__block").select(key, (F.col("__outside") + F.col("__inside")).cast("long").alias("before"))
 
 
 def shared_top(spark: SparkSession) -> str:
@@ -79,7 +113,7 @@ def with_row(df: DataFrame, *order: str) -> DataFrame:
     """
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = df.drop(ROW).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = checkpointed(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__in", inside))
+    ranged = kept(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__in", inside))
     total, before = 0, []
     for part, n in sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect()):
         before.append((part, total))

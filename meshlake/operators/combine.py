@@ -102,34 +102,52 @@ def snapshots(first: DataFrame, second: DataFrame, fields: Sequence[str], steps:
     return joined.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select("step", on, *[between(c).alias(c) for c in fields])
 
 
-def growth_unit(time1: float, time2: float, hubble: float = 0.7, omega: float = 0.3, dark: float = 0.7, length: float = 3.085678e21, speed: float = 1e5) -> tuple[float, float]:
-    """What velocities of two snapshots, at scale factors ``time1`` and ``time2`` of a flat universe, move in the time between, in lengths."""
-    megaparsec = 3.085678e24
-    age = lambda a: math.asinh(math.sqrt(dark / omega * a**3)) / 1.5 / math.sqrt(dark) / hubble / 1e7 * megaparsec
-    between = (age(time2) - age(time1)) * hubble
-    return tuple(speed / length / math.sqrt(t) * between for t in (time1, time2))
+#: The cosmology, the length (cm) and speed (cm/s) of a unit that snapshots have by default, and a megaparsec in cm.
+HUBBLE, MATTER, DARK_ENERGY = 0.7, 0.3, 0.7
+UNIT_LENGTH, UNIT_SPEED, MEGAPARSEC = 3.085678e21, 1e5, 3.085678e24
+
+
+def cosmic_time(scale: float, hubble: float = HUBBLE, matter: float = MATTER, dark: float = DARK_ENERGY) -> float:
+    """Seconds from the beginning of a flat universe until it has the scale factor.
+
+    Friedmann's equation a' = H sqrt(matter / a + dark a^2), integrated from 0, has the
+    closed form t = 2 / (3 H sqrt(dark)) asinh(sqrt(dark / matter) a^(3/2)).
+    """
+    per_second = 100.0 * hubble * 1e5 / MEGAPARSEC  # from km/s in each megaparsec
+    return 2.0 / (3.0 * per_second * math.sqrt(dark)) * math.asinh(math.sqrt(dark / matter) * scale**1.5)
+
+
+def drift(start: float, end: float, hubble: float = HUBBLE, matter: float = MATTER, dark: float = DARK_ENERGY, length: float = UNIT_LENGTH, speed: float = UNIT_SPEED) -> float:
+    """The way, in lengths, that a velocity of 1 in a snapshot at scale factor ``start`` leads to until ``end``.
+
+    Lengths are in units of 1 / hubble, and velocities are kept divided by the root of the scale factor.
+    """
+    seconds = cosmic_time(end, hubble, matter, dark) - cosmic_time(start, hubble, matter, dark)
+    return seconds * hubble * speed / (length * math.sqrt(start))
 
 
 def snapshots_by_velocity(
-    first: DataFrame, second: DataFrame, positions: Sequence[str], velocities: Sequence[str], steps: int = 10, units: tuple[float, float] = (1.0, 1.0), box: float | None = None, on: str = ROW,
+    first: DataFrame, second: DataFrame, positions: Sequence[str], velocities: Sequence[str], steps: int = 10, unit: float = 1.0, box: float | None = None, on: str = ROW,
 ) -> DataFrame:
-    """Positions between two snapshots (``step`` 1 to ``steps - 1``) on the quadratic that leaves with the first velocity.
+    """Positions between two snapshots (``step`` 1 to ``steps - 1``), by constant acceleration.
 
-    ``units`` are what a velocity of each snapshot moves in the whole time.  Its second
-    term brings half of the change of velocity and twice what the two velocities leave of
-    the way.  In a periodic ``box`` the way is the short one.
+    A parabola is given by three things: where the row is in the first snapshot, where it is
+    in the second, and the velocity with which it leaves the first.  So the second snapshot
+    needs no velocities.  ``unit`` is what a velocity of 1 leads to in the whole time; see
+    ``drift``.  In a periodic ``box`` the row goes the short way.  Rows without a partner
+    are left out; a null or missing velocity makes the position null.
     """
-    names = [*positions, *velocities]
-    sides = [df.select(on, *[F.col(c).cast("double").alias(f"{c}__{k}") for c in names]) for k, df in ((1, first), (2, second))]
-    joined = sides[0].join(sides[1], on).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))))
-    at = F.col("step") / F.lit(float(steps))
+    velocity = dict(zip(positions, velocities))
+    begin = first.select(on, *[F.col(x).cast("double").alias(f"{x}__at") for x in positions], *[(F.col(v).cast("double") * unit).alias(f"{x}__speed") for x, v in velocity.items()])
+    goal = second.select(on, *[F.col(x).cast("double").alias(f"{x}__goal") for x in positions])
+    time = F.col("step") / F.lit(float(steps))
 
-    def between(x: str, v: str) -> Column:
-        x1, x2 = F.col(f"{x}__1"), F.col(f"{x}__2")
+    def place(x: str) -> Column:
+        at, speed, way = F.col(f"{x}__at"), F.col(f"{x}__speed"), F.col(f"{x}__goal") - F.col(f"{x}__at")
         if box is not None:
-            x2 = F.when(F.abs(x2 - x1) > box / 2, x2 - F.signum(x2 - x1) * box).otherwise(x2)
-        v1, v2 = F.col(f"{v}__1") * units[0], F.col(f"{v}__2") * units[1]
-        rest = 2 * (x2 - x1) - (v1 + v2)
-        return x1 + v1 * at + 0.5 * (v2 - v1 + rest) * at * at
+            way = way - F.when(F.abs(way) > box / 2, F.signum(way) * box).otherwise(0.0)
+        # what the first velocity does not cover of the way is left to the acceleration
+        return at + time * (speed + time * (way - speed))
 
-    return joined.select("step", on, *[between(x, v).alias(x) for x, v in zip(positions, velocities)])
+    moved = begin.join(goal, on).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))))
+    return moved.select("step", on, *[place(x).alias(x) for x in positions])

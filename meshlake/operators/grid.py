@@ -18,6 +18,8 @@ from ..model import ROW, Geometry, dense
 
 #: Cells of a mesh up to which it is broadcast for a gather; larger ones go by a shuffle.
 BROADCAST_CELLS = 1 << 21
+#: Cells from the origin within which a place has one; beyond, neighbouring doubles are a cell apart.
+FARTHEST = float(1 << 52)
 
 
 def bounds_geometry(df: DataFrame, points: Sequence[str], resolution: Sequence[int]) -> Geometry:
@@ -31,8 +33,8 @@ def bounds_geometry(df: DataFrame, points: Sequence[str], resolution: Sequence[i
 
 def axis_cells(p: Column, n: int, scheme: str, periodic: bool) -> Column:
     """The (cell, weight) of one axis as an array; cells outside are left out, or wrapped."""
-    base = F.floor(p).cast("int")
-    pair = lambda i, w: F.struct(i.cast("int").alias("i"), w.cast("double").alias("w"))
+    base = F.floor(p)
+    pair = lambda i, w: F.struct(i.cast("long").alias("i"), w.cast("double").alias("w"))
     if scheme == "NGP":
         cells = [pair(F.ceil(p - 0.5), F.lit(1.0))]  # halves go down
     elif scheme == "CIC":
@@ -55,7 +57,8 @@ def touched(df: DataFrame, points: Sequence[str], geometry: Geometry, scheme: st
     """A row for each point and cell that it touches: ``__cell`` and ``__weight``; axes are expanded one after the other."""
     out = df
     for k, (c, n, o, d) in enumerate(zip(points, geometry.n, geometry.origin, geometry.size)):
-        out = out.withColumn(f"__a{k}", F.explode(axis_cells((F.col(c).cast("double") - F.lit(o)) / F.lit(d), n, scheme, periodic)))
+        p = (F.col(c).cast("double") - F.lit(o)) / F.lit(d)
+        out = out.withColumn(f"__a{k}", F.explode(axis_cells(F.when(F.abs(p) < FARTHEST, p), n, scheme, periodic)))
     cell = geometry.row(*[F.col(f"__a{k}.i") for k in range(3)])
     weight = F.col("__a0.w") * F.col("__a1.w") * F.col("__a2.w")
     return out.withColumn("__cell", cell).withColumn("__weight", weight).drop("__a0", "__a1", "__a2")
@@ -96,18 +99,25 @@ def gather(df: DataFrame, points: Sequence[str], mesh: DataFrame, field: str, ge
     BROADCAST_CELLS cells travel to the tasks as one array, and the sum of a point's cells
     is taken in its row: no row moves.  A larger mesh meets the cells of all points in a
     shuffle, and the sums come back to the points by position in another.
+
+    Both ways: rows of one cell add up; missing cells, null values and rows of no cell of
+    the mesh count nothing; a cell that is NaN counts only where its weight is not 0; points
+    without a place, or outside, get ``floor``; a column of the result's name is replaced.
     """
     by = 1.0 if density else geometry.volume
     values = mesh.select(F.col(ROW).cast("long").alias("__cell"), F.col(field).cast("double").alias("__value"))
+    values = values.where(F.col("__cell").between(0, geometry.cells - 1) & F.col("__value").isNotNull()).groupBy("__cell").agg(F.sum("__value").alias("__value"))
     if geometry.cells <= BROADCAST_CELLS:
-        return _gathered(df, points, values, geometry, scheme, periodic, floor, by, name)
-    cells = touched(df.select(ROW, *points), points, geometry, scheme, periodic)
-    sums = cells.join(values, "__cell").groupBy(ROW).agg(F.sum(F.col("__weight") * F.col("__value")).alias("__sum"))
-    return df.join(sums, ROW, "left").withColumn(name, F.lit(floor) + F.coalesce(F.col("__sum"), F.lit(0.0)) * F.lit(by)).drop("__sum")
+        found = _gathered(df, points, values, geometry, scheme, periodic)
+    else:
+        cells = touched(df.select(ROW, *points), points, geometry, scheme, periodic)
+        sums = cells.join(values, "__cell").groupBy(ROW).agg(F.sum(F.col("__weight") * F.col("__value")).alias("__sum"))
+        found = df.join(sums, ROW, "left")
+    return found.withColumn(name, F.lit(floor) + F.coalesce(F.col("__sum"), F.lit(0.0)) * F.lit(by)).drop("__sum")
 
 
-def _gathered(df: DataFrame, points: Sequence[str], values: DataFrame, geometry: Geometry, scheme: str, periodic: bool, floor: float, by: float, name: str) -> DataFrame:
-    found = values.where("__value is not null").toArrow()
+def _gathered(df: DataFrame, points: Sequence[str], values: DataFrame, geometry: Geometry, scheme: str, periodic: bool) -> DataFrame:
+    found = values.toArrow()
     whole = np.zeros(geometry.cells)
     whole[found["__cell"].to_numpy()] = found["__value"].to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(whole)
@@ -124,15 +134,16 @@ def _gathered(df: DataFrame, points: Sequence[str], values: DataFrame, geometry:
             for ix, wx in axes[0]:
                 for iy, wy in axes[1]:
                     for iz, wz in axes[2]:
-                        total += wx * wy * wz * mesh[ix + geometry.n[0] * (iy + geometry.n[1] * iz)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floor + total * by)], names=[*columns, name])
+                        weight = wx * wy * wz
+                        total += np.where(weight != 0, weight * mesh[ix + geometry.n[0] * (iy + geometry.n[1] * iz)], 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total)], names=[*columns, "__sum"])
 
-    return df.mapInArrow(summed, df.withColumn(name, F.lit(0.0)).schema)
+    return df.mapInArrow(summed, df.withColumn("__sum", F.lit(0.0)).schema)
 
 
 def weights(p: np.ndarray, n: int, scheme: str, periodic: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """``axis_cells`` for an array of places: (cell, weight) in turn; the weight is 0 where there is no such cell or no place."""
-    known = np.isfinite(p)
+    known = np.abs(p) < FARTHEST
     p = np.where(known, p, 0.0)
     base = np.floor(p).astype(np.int64)
     if scheme == "NGP":

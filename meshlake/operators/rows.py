@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import ROW, Geometry, data_columns
@@ -101,3 +101,26 @@ def halo_routes(halos: DataFrame, fields: Sequence[str], threshold: float = 1.0)
     """``route`` k for the first of the fields that reaches the threshold; halos of which none does go."""
     route = F.coalesce(*[F.when(F.col(c) >= threshold, k) for k, c in enumerate(fields, 1)])
     return halos.withColumn("route", route).where("route is not null")
+
+
+def halo_routed_lists(lists: DataFrame, halos: DataFrame, fields: Sequence[str], threshold: float = 1.0) -> DataFrame:
+    """The ids of the lists by route: ``route``, ``list_id``, ``pos`` and ``row_id``, the lists of a route numbered from 1 on.
+
+    List k belongs to the halo of row k - 1 and takes its route (see ``halo_routes``); lists
+    of halos without a route, and beyond the table, go.  ``old_id`` is a list's number before.
+    Halos of a route are numbered from counts of ranges of rows; lists meet them by a join on
+    the list's number, which a list of very many ids makes uneven: Spark's skew join splits it.
+    """
+    if not 1 <= len(fields) <= 3:
+        raise ValueError("one to three fields")
+    routed = halo_routes(halos, fields, threshold).select((F.col(ROW) + 1).alias("old_id"), "route")
+    marks = [F.sum((F.col("route") == k).cast("long")).alias(f"r{k}") for k in range(1, len(fields) + 1)]
+    blocks = routed.groupBy(F.floor(F.col("old_id") / 4096).alias("block")).agg(*marks)
+    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", *[F.coalesce(F.sum(f"r{k}").over(before), F.lit(0)).alias(f"r{k}") for k in range(1, len(fields) + 1)])
+    inside = F.row_number().over(Window.partitionBy("block", "route").orderBy("old_id"))
+    numbered = routed.withColumn("block", F.floor(F.col("old_id") / 4096)).withColumn("inside", inside).join(blocks, "block")
+    outside = F.coalesce(*[F.when(F.col("route") == k, F.col(f"r{k}")) for k in range(1, len(fields) + 1)])
+    numbered = numbered.select("old_id", "route", (outside + F.col("inside")).cast("long").alias("new_id"))
+    found = lists.withColumnRenamed("list_id", "old_id").join(numbered, "old_id")
+    return found.select("route", F.col("new_id").alias("list_id"), "old_id", "pos", "row_id")

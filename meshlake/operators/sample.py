@@ -8,11 +8,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..model import ROW, Geometry, data_columns
 
 
+#: Fixed value: rows that the background of a thinned table has by default.
+BACKGROUND_ROWS = 100_000
+
+
 def draw(seed: int) -> Column:
     """A hash of the seed and the position, as 32 hexadecimal digits."""
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(ROW).cast("string")))
@@ -58,13 +61,17 @@ def visual_sample(tables: Sequence[tuple[DataFrame, Sequence[str]]], size: int =
     return joined
 
 
-def multi_resolution(df: DataFrame, fields: Sequence[str], position: Sequence[float] | None = None, layers: Sequence[tuple[float, float]] | None = None, background: float = 1.0, seed: int = 0) -> DataFrame:
+def multi_resolution(df: DataFrame, fields: Sequence[str], position: Sequence[float] | None = None, layers: Sequence[tuple[float, float]] | None = None, background: float | None = None, seed: int = 0) -> DataFrame:
     """Thin out with the distance: in the first layer (distance, fraction) that holds a row, 1 of 1 / fraction stays.
 
     The position is the middle of the fields' ranges by default, and the layers are 1, 10
     and 100 hundredths of the widest range with the fractions 1, 0.1 and 0.01.
-    Rows beyond all layers are thinned to ``background``.  The rows of a layer go by runs of positions, one of each run stays.
+    Rows beyond all layers are thinned to ``background``, by default what leaves about
+    BACKGROUND_ROWS of the whole table, and all of a smaller one.  The rows of a layer go by
+    runs of positions; one of each run stays, the one of least hash.
     """
+    if background is None:
+        background = min(1.0, BACKGROUND_ROWS / max(1, df.count()))
     if position is None or layers is None:
         ends = df.agg(*[f(F.col(c).cast("double")) for c in fields for f in (F.min, F.max)]).first()
         ranges = [(ends[2 * k] or 0.0, ends[2 * k + 1] or 0.0) for k in range(len(fields))]
@@ -74,14 +81,13 @@ def multi_resolution(df: DataFrame, fields: Sequence[str], position: Sequence[fl
     total = reduce(lambda a, b: a + b, [(F.col(c).cast("double") - at) * (F.col(c).cast("double") - at) for c, at in zip(fields, position)])
     at = F.sqrt(total)
     layer = F.coalesce(*[F.when(at <= d, F.lit(k)) for k, (d, _) in enumerate(layers)], F.lit(len(layers)))
-    steps = [max(1, round(1 / f)) if f > 0 else 0 for _, f in layers] + [max(1, round(1 / background)) if background > 0 else 0]
+    steps = [max(1, int(1 / f + 0.5)) if f > 0 else 0 for f in (*(f for _, f in layers), background)]
     step = F.element_at(F.array(*[F.lit(s) for s in steps]), layer + 1)
-    # the least hash of each run of positions; runs are short, so no group grows with the table
+    # a run is as long as its layer is thin, so the least is taken before rows move
     run = F.floor(F.col(ROW) / step)
     kept = df.withColumn("__layer", layer).withColumn("__step", step).where("__step > 0").withColumn("__run", run)
-    first = Window.partitionBy("__layer", "__run").orderBy(draw(seed))
-    thin = kept.where("__step > 1").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-    return kept.where("__step = 1").unionByName(thin).drop("__layer", "__step", "__run")
+    thin = kept.where("__step > 1").groupBy("__layer", "__run").agg(F.min_by(F.struct(*df.columns), draw(seed)).alias("__r"))
+    return kept.where("__step = 1").select(*df.columns).unionByName(thin.select("__r.*"))
 
 
 def coarse_resolution(n: Sequence[int], percent: float) -> tuple[int, int, int]:

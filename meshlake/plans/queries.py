@@ -152,11 +152,11 @@ def _(spark, d):
 
 
 def _lists(spark, d):
-    """Lists of all orders, by customers that share a remainder."""
-    return table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("long").alias("list_id"), F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_orderkey") % 100).cast("long").alias("row_id"))
+    """Lists of all orders, by customers that share a remainder; every row is in one."""
+    return table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("long").alias("list_id"), F.col("o_orderkey").cast("long").alias("pos"), F.col("o_orderkey").cast("long").alias("row_id"))
 
 
-_LISTS = "lists AS (SELECT o_custkey % 50 AS list_id, o_orderkey AS pos, o_orderkey % 100 AS row_id FROM orders)"
+_LISTS = "lists AS (SELECT o_custkey % 50 AS list_id, o_orderkey AS pos, o_orderkey AS row_id FROM orders)"
 
 
 @query("extractlist", f"WITH {ORD}, {_LISTS} SELECT list_id, pos, row_id, price, cust FROM lists JOIN ord ON row_id = __row")

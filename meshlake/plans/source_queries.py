@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry
-from ..model import ROW, Geometry, declared, shared_top, with_row
+from ..model import ROW, Geometry, declared, dense, shared_top, with_row
 from ..operators import combine, grid, rows, stats
 from ..sources import binary, fits, raw, snapshots, text
 from .queries import ORD, PRT, PTS, XYZ, query, rounded
@@ -119,14 +119,18 @@ def _(spark, d):
     return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
 
 
-@query("source_volume", f"WITH {ORD} SELECT __row, price FROM ord WHERE __row < (SELECT CAST(floor(cbrt(count(*) + 0.5)) AS BIGINT) ** 3 FROM ord)")
+def cube_side(n: int) -> int:
+    """Of the smallest cube with ``n`` cells."""
+    return next(s for s in range(max(0, round(n ** (1 / 3)) - 1), n + 1) if s**3 >= n)
+
+
+@query("source_volume", f"WITH {ORD}, side AS (SELECT min(s) AS s FROM range(1, 1000000) t(s) WHERE s * s * s >= (SELECT count(*) FROM ord)) SELECT c AS __row, price FROM (SELECT unnest(range(s * s * s)) AS c FROM side) LEFT JOIN ord ON __row = c")
 def _(spark, d):
-    """The largest cube that the orders fill, as a volume with its header."""
+    """The smallest cube that holds all orders, as a volume with its header; cells beyond the orders are missing ones."""
     o = orders(spark, d).select(ROW, "price")
-    n = o.count()
-    side = next(s for s in range(round(n ** (1 / 3)) + 1, -1, -1) if s**3 <= n)
+    side = cube_side(o.count())
     geometry = declared(side**3)
-    made = binary.write_parts(o.where(F.col(ROW) < side**3), new_folder(o), geometry=geometry, kind="double", rows_per_file=FILE_ROWS).collect()
+    made = binary.write_parts(dense(spark, geometry).join(o, ROW, "left"), new_folder(o), geometry=geometry, kind="double", rows_per_file=FILE_ROWS).collect()
     plane = geometry.n[0] * geometry.n[1]
     heads = {r["uri"]: binary.read_header(r["uri"] + ".head").geometry for r in made}
     if any(g.n[:2] != geometry.n[:2] or g.n[2] * plane != r["n_rows"] for g, r in zip(heads.values(), made)):
@@ -329,7 +333,7 @@ def _(spark, d):
 
 @query("mres_defaults", f"""WITH {PTS}, e AS (SELECT (min(X) + max(X)) / 2 AS cx, (min(Y) + max(Y)) / 2 AS cy, (min(Z) + max(Z)) / 2 AS cz, greatest(max(X) - min(X), max(Y) - min(Y), max(Z) - min(Z)) * 0.01 AS w FROM pts),
     l AS (SELECT __row, sqrt((X - cx) * (X - cx) + (Y - cy) * (Y - cy) + (Z - cz) * (Z - cz)) / w AS q FROM pts, e),
-    r AS (SELECT __row, CASE WHEN q <= 1 THEN 0 WHEN q <= 10 THEN 1 WHEN q <= 100 THEN 2 ELSE 3 END AS l, CASE WHEN q <= 1 THEN __row WHEN q <= 10 THEN __row // 10 WHEN q <= 100 THEN __row // 100 ELSE __row END AS run FROM l)
+    r AS (SELECT __row, CASE WHEN q <= 1 THEN 0 WHEN q <= 10 THEN 1 WHEN q <= 100 THEN 2 ELSE 3 END AS l, CASE WHEN q <= 1 THEN __row WHEN q <= 10 THEN __row // 10 WHEN q <= 100 THEN __row // 100 ELSE __row // greatest(1, CAST(floor((SELECT count(*) FROM pts) / 100000.0 + 0.5) AS BIGINT)) END AS run FROM l)
     SELECT __row FROM r QUALIFY row_number() OVER (PARTITION BY l, run ORDER BY md5('0-' || __row)) = 1""")
 def _(spark, d):
     return registry.run("mres", points(spark, d), fields=list(XYZ)).select(ROW)
@@ -347,17 +351,17 @@ def _(spark, d):
     return rounded(stats.normalize(points(spark, d), ["X"], "mass", asinh=True, high=0.1).select(ROW, "X"))
 
 
-_A, _B = combine.growth_unit(0.4, 0.5)
+_DRIFT = combine.drift(0.4, 0.5)
 
 
-@query("interpolate_velocity", f"""WITH {PTS}, q AS (SELECT __row, X + 0.01 * Y AS x1, X + 0.01 * Y + 0.3 * Z AS x2, Y * {_A!r} AS v1, Z * {_B!r} AS v2 FROM pts),
+@query("interpolate_velocity", f"""WITH {PTS}, q AS (SELECT __row, X + 0.01 * Y AS x1, X + 0.01 * Y + 0.3 * Z AS x2, Y * {_DRIFT!r} AS v FROM pts),
     s AS (SELECT *, CASE WHEN abs(x2 - x1) > 0.1 THEN x2 - sign(x2 - x1) * 0.2 ELSE x2 END AS e FROM q)
-    SELECT CAST(step AS INTEGER) AS step, __row, round(x1 + v1 * step / 4.0 + 0.5 * (v2 - v1 + 2 * (e - x1) - (v1 + v2)) * (step / 4.0) * (step / 4.0), 5) + 0 AS X FROM s, range(1, 4) t(step)""")
+    SELECT CAST(step AS INTEGER) AS step, __row, round(x1 * (1 - (step / 4.0) ** 2) + v * (step / 4.0 - (step / 4.0) ** 2) + e * (step / 4.0) ** 2, 5) + 0 AS X FROM s, range(1, 4) t(step)""")
 def _(spark, d):
     p = points(spark, d)
     first = p.select(ROW, (F.col("X") + 0.01 * F.col("Y")).alias("X"), F.col("Y").alias("V"))
-    second = p.select(ROW, (F.col("X") + 0.01 * F.col("Y") + 0.3 * F.col("Z")).alias("X"), F.col("Z").alias("V"))
-    return rounded(combine.snapshots_by_velocity(first, second, ["X"], ["V"], 4, (_A, _B), 0.2), 5)
+    second = p.select(ROW, (F.col("X") + 0.01 * F.col("Y") + 0.3 * F.col("Z")).alias("X"))
+    return rounded(combine.snapshots_by_velocity(first, second, ["X"], ["V"], 4, _DRIFT, 0.2), 5)
 
 
 @query("interpolate_by_id", "SELECT p_partkey AS id, CAST(step AS INTEGER) AS step, round(p_retailprice * (1 + 0.5 * (0.2 + 0.4 * step / 3.0)), 6) + 0 AS price FROM part, range(1, 3) t(step)")
@@ -366,12 +370,12 @@ def _(spark, d):
     return rounded(combine.snapshots(p, p.withColumn("price", F.col("price") * 1.5), ["price"], 3, interval=(0.2, 0.6), on="id"))
 
 
-@query("axis_slice", f"WITH {ORD}, n AS (SELECT CAST(floor(cbrt(count(*) + 0.5)) AS BIGINT) AS s FROM ord) SELECT __row, price FROM ord, n WHERE __row < s * s * s AND __row // s % s = 2")
+@query("axis_slice", f"WITH {ORD}, side AS (SELECT min(s) AS s FROM range(1, 1000000) t(s) WHERE s * s * s >= (SELECT count(*) FROM ord)) SELECT __row, price FROM ord, side WHERE __row // s % s = 2")
 def _(spark, d):
+    """A plane of the smallest cube that holds all orders."""
     o = orders(spark, d).select(ROW, "price")
-    n = o.count()
-    side = next(s for s in range(round(n ** (1 / 3)) + 1, -1, -1) if s**3 <= n)
-    return grid.axis_slice(o.where(F.col(ROW) < side**3), Geometry((side, side, side)), 2, 2)
+    side = cube_side(o.count())
+    return grid.axis_slice(o, Geometry((side, side, side)), 2, 2)
 
 
 @query("plane_cut", f"""WITH {PTS}, m AS (SELECT i AS c, coalesce(sum(mass), 0) AS v FROM range(512) t(i) LEFT JOIN pts ON CAST(mass AS BIGINT) * 51 % 512 = i GROUP BY i),

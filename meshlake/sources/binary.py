@@ -183,26 +183,34 @@ def write_rows(rows: DataFrame, folder: str, dtype: str = "u8", column: str = RO
 
 
 def _read_ascii_rows(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path)
+    """The numbers of a text, or of a folder of texts in the order of their names; a count for each split comes to the driver."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[str]]]:
+        for batch in batches:
+            for line, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+                yield file, block, line.split()
 
-        n = sum(len(line.split()) for batch in batches for line in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["part", "n"])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], int] = {}
+        for file, block, words in tokens(batches):
+            found[file, block] = found.get((file, block), 0) + len(words)
+        yield pa.RecordBatch.from_pydict({"file": [x[0] for x in found], "block": [x[1] for x in found], "n": list(found.values())}, pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64())]))
 
     starts, total = {}, 0
-    for part, n in sorted(map(tuple, lines.mapInArrow(counted, "part long, n long").collect())):
-        starts[part] = total
+    for file, block, n in sorted(map(tuple, lines.mapInArrow(counted, "file string, block long, n long").collect())):
+        starts[file, block] = total
         total += n
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        pos = starts.get(TaskContext.get().partitionId(), 0)
+        at: dict[tuple[str, int], int] = {}
         for batch in batches:
-            ids = np.array([int(x) for line in batch.column(0).to_pylist() for x in line.split()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + len(ids))), pa.array(ids)], names=["pos", "row_id"])
-            pos += len(ids)
+            pos, ids = [], []
+            for file, block, words in tokens([batch]):
+                first = at.get((file, block), starts[file, block])
+                pos += range(first, first + len(words))
+                ids += map(int, words)
+                at[file, block] = first + len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(ids, pa.int64())], names=["pos", "row_id"])
 
     return lines.mapInArrow(placed, "pos long, row_id long")
