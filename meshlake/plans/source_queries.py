@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,28 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import registry
-from ..model import ROW, Geometry, declared, dense, shared_top, with_row
+from ..model import ROW, Geometry, declared, dense, new_folder, with_row
 from ..operators import combine, grid, rows, stats
-from ..sources import binary, fits, raw, snapshots, text
+from ..sources import binary, fits, multilist, raw, snapshots, tables, text
 from .queries import ORD, PRT, PTS, XYZ, query, rounded
-from .tables import orders, parts, points
+from .tables import orders, parts, points, table
 
-#: Rows of a file.
-FILE_ROWS = 1 << 20
+#: Rows of a file, and of one where many are wanted even of a small table.
+FILE_ROWS, PART_ROWS = 1 << 20, 1 << 16
 
 Encode = Callable[[pa.Table, str], dict[str, bytes]]
 
 
-def new_folder(df: DataFrame) -> str:
-    return f"{shared_top(df.sparkSession)}/meshlake-{uuid.uuid4().hex}"
-
-
 def files(df: DataFrame, encode: Encode) -> list[tuple[str, int]]:
     """Write ranges of positions as files, in tasks; the first file of each range, with its first position.
 
     ``encode`` gives the files of a range from its rows, in order, and the range's name.
     """
-    folder = new_folder(df)
+    folder = new_folder(df.sparkSession)
 
     def write(group: pa.Table) -> pa.Table:
         group = group.sort_by(ROW)
@@ -114,9 +109,26 @@ def _(spark, d):
 
 @query("source_binary", f"WITH {ORD} SELECT __row, price, cust FROM ord")
 def _(spark, d):
-    o = orders(spark, d)
-    made = binary.write_parts(o, new_folder(o), "big", kind="long double", rows_per_file=FILE_ROWS).collect()
-    return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
+    folder = new_folder(spark)
+    binary.write_parts(orders(spark, d), folder, "big", kind="long double", rows_per_file=PART_ROWS).collect()
+    return tables.read_tables(spark, folder)
+
+
+@query("source_table_file", f"WITH {ORD} SELECT __row, price, cust FROM ord")
+def _(spark, d):
+    """One file from all tasks."""
+    path = f"{new_folder(spark)}/orders.bin"
+    tables.write_table(orders(spark, d), path, "double")
+    return tables.read_tables(spark, path, rows_per_task=PART_ROWS)
+
+
+@query("source_table_rows", f"WITH {ORD} SELECT __row, cust FROM ord WHERE __row BETWEEN (SELECT count(*) // 3 FROM ord) AND (SELECT count(*) // 2 FROM ord)")
+def _(spark, d):
+    """A range of rows and one column of many files."""
+    o, folder = orders(spark, d), new_folder(spark)
+    n = o.count()
+    binary.write_parts(o, folder, kind="double", rows_per_file=PART_ROWS).collect()
+    return tables.read_tables(spark, folder, ["cust"], (n // 3, n // 2))
 
 
 def cube_side(n: int) -> int:
@@ -130,28 +142,28 @@ def _(spark, d):
     o = orders(spark, d).select(ROW, "price")
     side = cube_side(o.count())
     geometry = declared(side**3)
-    made = binary.write_parts(dense(spark, geometry).join(o, ROW, "left"), new_folder(o), geometry=geometry, kind="double", rows_per_file=FILE_ROWS).collect()
+    folder = new_folder(spark)
+    made = binary.write_parts(dense(spark, geometry).join(o, ROW, "left"), folder, geometry=geometry, kind="double", rows_per_file=PART_ROWS).collect()
     plane = geometry.n[0] * geometry.n[1]
     heads = {r["uri"]: binary.read_header(r["uri"] + ".head").geometry for r in made}
     if any(g.n[:2] != geometry.n[:2] or g.n[2] * plane != r["n_rows"] for g, r in zip(heads.values(), made)):
         raise ValueError("a header does not tell its volume")
-    return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
+    return tables.read_tables(spark, folder)
 
 
 @query("source_swap", f"WITH {ORD} SELECT __row, CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, cust FROM ord")
 def _(spark, d):
-    o = orders(spark, d)
-    small = binary.write_parts(o, new_folder(o), "little", rows_per_file=FILE_ROWS).collect()
-    back = together([(r["uri"], r["first_row"]) for r in small], lambda f: binary.read_table(spark, f)[0])
-    order = binary.swap_order(binary.read_header(small[0]["uri"] + ".head")).order
-    made = binary.write_parts(back, new_folder(o), order, rows_per_file=FILE_ROWS).collect()
-    return together([(r["uri"], r["first_row"]) for r in made], lambda f: binary.read_table(spark, f)[0])
+    little, big = new_folder(spark), new_folder(spark)
+    made = binary.write_parts(orders(spark, d), little, "little", rows_per_file=PART_ROWS).collect()
+    order = binary.swap_order(binary.read_header(made[0]["uri"] + ".head")).order
+    binary.write_parts(tables.read_tables(spark, little), big, order, rows_per_file=PART_ROWS).collect()
+    return tables.read_tables(spark, big)
 
 
 @query("source_row_list", f"WITH {ORD} SELECT row_number() OVER (ORDER BY __row) - 1 AS pos, __row AS row_id FROM ord WHERE price BETWEEN 50000 AND 150000")
 def _(spark, d):
     chosen = rows.row_ids(orders(spark, d), {"price": (50000.0, 150000.0)})
-    made = sorted(map(tuple, binary.write_rows(chosen, new_folder(chosen), "i4").collect()))
+    made = sorted(map(tuple, binary.write_rows(chosen, new_folder(spark), "i4").collect()))
     before, out = 0, []
     for file, n in made:
         out.append(binary.read_rows(spark, file, "i4").withColumn("pos", F.col("pos") + F.lit(before)))
@@ -159,6 +171,52 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
+# lists of all orders, one for each customer; customers without orders have empty ones
+
+_ORDER_LISTS = "SELECT o_custkey + 1 AS list_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS row_id FROM orders"
+
+
+def _order_lists(spark, d):
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_custkey") + 1).cast("long").alias("list_id"), F.col("o_orderkey").cast("long").alias("pos"), F.col("o_orderkey").cast("long").alias("row_id"))
+
+
+@query("source_multilist", f"SELECT CAST(list_id AS BIGINT) AS list_id, pos, CAST(row_id AS BIGINT) AS row_id FROM ({_ORDER_LISTS})")
+def _(spark, d):
+    path = f"{new_folder(spark)}/orders.lst"
+    multilist.write_multilist(_order_lists(spark, d), path)
+    return multilist.read_multilist(spark, path, task_words=PART_ROWS)
+
+
+@query("source_multilist_text", f"SELECT CAST(list_id AS BIGINT) AS list_id, pos, CAST(row_id AS BIGINT) AS row_id FROM ({_ORDER_LISTS})")
+def _(spark, d):
+    """As text, without the number of lists."""
+    folder = new_folder(spark)
+    n, _ = multilist.write_multilist_text(_order_lists(spark, d), folder, counted=False)
+    return multilist.read_multilist(spark, folder, "ascii", n_lists=n, task_words=PART_ROWS)
+
+
+@query("source_row_list_rows", f"WITH {ORD} SELECT CAST(1 AS BIGINT) AS list_id, CAST(n - 1 - __row AS BIGINT) AS pos, __row AS row_id, price, cust FROM ord, (SELECT count(*) AS n FROM ord)")
+def _(spark, d):
+    """All rows backwards, from one list without counts."""
+    o, path = orders(spark, d), f"{new_folder(spark)}/back.lst"
+    multilist.write_multilist(o.select(F.lit(1).alias("list_id"), (-F.col(ROW)).alias("pos"), F.col(ROW).alias("row_id")), path, "i4", counted=False, sized=False)
+    return rows.extract_list(o, multilist.read_multilist(spark, path, "i4", one=True, task_words=PART_ROWS))
+
+
+@query("ahfhalogalaxyext_lists", f"""WITH lists AS ({_ORDER_LISTS}), halos AS (SELECT c_custkey, CASE WHEN c_acctbal >= 5000 THEN 1 WHEN c_nationkey >= 12 THEN 2 WHEN c_acctbal <= 0 THEN 3 END AS route FROM customer),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY c_custkey) AS k FROM halos WHERE route IS NOT NULL)
+    SELECT CAST(route AS INTEGER) AS route, CAST(k AS BIGINT) AS list_id, CAST(list_id AS BIGINT) AS old_id, pos, CAST(row_id AS BIGINT) AS row_id FROM lists JOIN numbered ON list_id = c_custkey + 1""")
+def _(spark, d):
+    """From the file of all lists to the ids of each route."""
+    path = f"{new_folder(spark)}/halos.lst"
+    multilist.write_multilist(_order_lists(spark, d), path)
+    c = table(spark, d, "customer")
+    balance = F.col("c_acctbal").cast("double")
+    halos = c.select(F.col("c_custkey").cast("long").alias(ROW), (balance / 5000).alias("a"), (F.col("c_nationkey") / 12).alias("b"), F.when(balance <= 0, 1.0).otherwise(0.0).alias("c"))
+    return rows.halo_routed_lists(multilist.read_multilist(spark, path), halos, ["a", "b", "c"])
+
+
 # raw files
 
 
@@ -323,7 +381,7 @@ def _(spark, d):
 
     found = files(points(spark, d), encode)
     table = together(found, lambda f: text.read_ascii(spark, f)).select(F.col("row").cast("long").alias(ROW), *XYZ)
-    path = f"{new_folder(table)}/density.par"
+    path = f"{new_folder(spark)}/density.par"
     fs, at = pafs.FileSystem.from_uri(path)
     fs.create_dir(posixpath.dirname(at), recursive=True)
     with fs.open_output_stream(at) as f:

@@ -8,9 +8,9 @@ file or several small ones.  Options:
 * ``columns``: names, separated by blanks; others are not read.  A schema says the same.
 * ``rows``: ``first:last``, either end open, both included; ranges outside are not read.
 * ``rows_per_task``: 1048576.
-
-Bounds on ``__row`` in a filter do the same as ``rows``, where the session pushes filters
-to Python sources (``spark.sql.python.filterPushdown.enabled``).
+* ``pushdown``: ``true`` where the session pushes filters to Python sources
+  (``spark.sql.python.filterPushdown.enabled``); bounds on ``__row`` in a filter then do the
+  same as ``rows``.  ``read_tables`` sets it as the session has it.
 
 ``df.write.format("meshtable").option("rows", n).save(path)`` writes one file and its header
 from many tasks; see ``write_table``, which counts the rows.
@@ -63,12 +63,13 @@ class Share(InputPartition):
 
 def table_files(path: str) -> list[str]:
     """The data files that ``path`` names, in order: a file, a folder's files with headers, or a pattern in the last part of the path."""
-    fs, at = pafs.FileSystem.from_uri(path)
-    prefix = path[: len(path) - len(at)] if path.endswith(at) else path.split("://")[0] + "://"
-    info = fs.get_file_info(at)
-    if info.type == pafs.FileType.File:
+    place, _, pattern = path.rpartition("/")
+    if not any(c in pattern for c in "*?["):
+        place, pattern = path, "*"
+    fs, folder = pafs.FileSystem.from_uri(place)
+    prefix = place.removesuffix(folder)
+    if fs.get_file_info(folder).type == pafs.FileType.File:
         return [path]
-    folder, pattern = (at, "*") if info.type == pafs.FileType.Directory else posixpath.split(at)
     names = [x.path for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if x.type == pafs.FileType.File]
     found = sorted(x.removesuffix(".head") for x in names if x.endswith(".head") and fnmatch(posixpath.basename(x).removesuffix(".head"), pattern))
     if not found:
@@ -133,6 +134,15 @@ class TableReader(DataSourceReader):
         self.path, self.names = path, schema.names
         self.low, self.high, self.rows_per_task = low, high, rows_per_task
 
+    def partitions(self) -> Sequence[InputPartition]:
+        return [Share(x) for x in shares(parts_of(table_files(self.path)), self.low, self.high, self.rows_per_task)] or [Share([])]
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from read_part(part, self.names)
+
+
+class PushingReader(TableReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Bounds on the row number are taken, and need no test afterwards; all else is left to Spark."""
         for f in filters:
@@ -149,13 +159,6 @@ class TableReader(DataSourceReader):
             if not (row and whole and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))):
                 yield f
 
-    def partitions(self) -> Sequence[InputPartition]:
-        return [Share(x) for x in shares(parts_of(table_files(self.path)), self.low, self.high, self.rows_per_task)] or [Share([])]
-
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts:
-            yield from read_part(part, self.names)
-
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -229,7 +232,8 @@ class TableSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         low, _, high = self.options.get("rows", ":").partition(":")
-        return TableReader(self.options["path"], schema, int(low or 0), int(high) if high else 1 << 62, int(self.options.get("rows_per_task", ROWS_PER_TASK)))
+        kind = PushingReader if self.options.get("pushdown", "false").lower() == "true" else TableReader
+        return kind(self.options["path"], schema, int(low or 0), int(high) if high else 1 << 62, int(self.options.get("rows_per_task", ROWS_PER_TASK)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         cells, sizes = (self.options.get(k, "").split() for k in ("cells", "sizes"))
@@ -252,7 +256,8 @@ def registered(spark: SparkSession) -> SparkSession:
 
 def read_tables(spark: SparkSession, path: str, columns: Sequence[str] | None = None, rows: tuple[int | None, int | None] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``__row`` and the wanted columns of a table, or of a folder of tables as one, by one scan; ``rows``: the first and the last, None for an open end."""
-    found = registered(spark).read.format(NAME).option("rows_per_task", rows_per_task)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    found = registered(spark).read.format(NAME).option("rows_per_task", rows_per_task).option("pushdown", pushes)
     if columns is not None:
         found = found.option("columns", " ".join(columns))
     if rows is not None:
