@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ EMBED, FILTERS, WIDTH, STRIDE = 8, 16, 6, 3
 CHUNK, STEP = 384, 360
 #: Most labelled rows that training reads, taken by a hash of their id.
 MAX_TRAIN = 3000
-#: Most bytes of text of all these rows together: the sample ends with the last row that stays within them.
+#: Most bytes of text of all these rows together, half of them for each class: where they do not suffice, the longest texts go.
 MAX_BYTES = 32 << 20
 #: Least passes over the sample, and least steps of BATCH texts in all, which a small sample needs more passes for.
 EPOCHS, STEPS, BATCH = 12, 500, 32
@@ -80,7 +81,7 @@ class Net:
             for j in range(WIDTH):
                 step = table[j][part[:, j : j + (n - 1) * STRIDE + 1 : STRIDE]]
                 total = step if total is None else np.add(total, step, out=total)
-            out[a : a + 128] = total.max(axis=1)
+            out[a : a + 128] = without_padding(total, part).max(axis=1)
         return np.maximum(out + self.bias, 0)
 
     def _pairs(self) -> np.ndarray:
@@ -103,6 +104,15 @@ class Net:
         return sigmoid(np.concatenate([most, mean], 1) @ self.out + self.out_bias)
 
 
+def without_padding(outputs: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Filter outputs (chunks x windows x FILTERS), with those of windows that begin behind a chunk's last byte below all others; the first window stays."""
+    windows = np.maximum(1, -(-(chunks != 256).sum(1) // STRIDE))
+    short = np.flatnonzero(windows < outputs.shape[1])
+    beyond = np.arange(outputs.shape[1]) >= windows[short, None]
+    outputs[short] = np.where(beyond[:, :, None], np.float32(-np.inf), outputs[short])
+    return outputs
+
+
 def cut(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Chunks of CHUNK bytes from each start, padded with 256 from each stop on."""
     at = start[:, None] + np.arange(CHUNK)
@@ -177,7 +187,7 @@ def gradients(net: Net, texts: list[np.ndarray], label: np.ndarray) -> list[np.n
         chunks = cut(data, start[a : a + _SLICE], stop[a : a + _SLICE])
         n = (CHUNK - WIDTH) // STRIDE + 1
         z = sum(table[j][chunks[:, j : j + (n - 1) * STRIDE + 1 : STRIDE]] for j in range(WIDTH))
-        top = z.argmax(1)  # chunks x FILTERS
+        top = without_padding(z, chunks).argmax(1)  # chunks x FILTERS
         pooled[a : a + _SLICE] = np.take_along_axis(z, top[:, None], 1)[:, 0]
         at[a : a + _SLICE] = chunks[np.arange(len(chunks))[:, None, None], top[:, :, None] * STRIDE + np.arange(WIDTH)]
     pooled = np.maximum(pooled + net.bias, 0)
@@ -222,24 +232,34 @@ def candidates(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def sampled(docs: DataFrame, marked: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What training receives: whole texts, ``__label`` and ``__text``, in an order by a hash as far as both bounds go."""
+    """What training receives: ``max_train`` rows by a hash at most, whole texts, ``__label`` and ``__text``.
+
+    Where a class has more than half of ``max_bytes``, its longest texts are left out, so
+    that one long text never stands in the way of others; one of more than half goes itself.
+    """
     by_hash = [F.xxhash64("__id"), F.col("__id"), F.col("__label")]
     picked = [marked.where(F.col("__label") == x).orderBy(*by_hash).limit(max_train // 2) for x in (0, 1)]
     # at most max_train short rows are broadcast; the texts do not move
     picked = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null").join(picked, "__id")
     rows = rows.select("__label", "__text", F.xxhash64("__text").alias("__hash"), F.octet_length("__text").alias("__n"))
-    # the sizes of at most max_train rows come to the driver and say how far the sample goes
-    sizes = rows.select("__hash", "__label", "__n").orderBy("__hash", "__label", "__n").limit(max_train).collect()
-    total, last, n = 0, None, 0
-    for r in sizes:
-        if total + r["__n"] > max_bytes:
-            break
-        total, last, n = total + r["__n"], r, n + 1
-    if last is None:
+    # the sizes of at most max_train rows come to the driver and say which texts stay
+    order = ("__hash", "__label", "__n")
+    sizes = rows.select(*order).orderBy(*order).limit(max_train).collect()
+    classes, n = [], 0
+    for label in (0, 1):
+        total, last = 0, None
+        for r in sorted((r for r in sizes if r["__label"] == label), key=lambda r: (r["__n"], r["__hash"])):
+            total += r["__n"]
+            if total > max_bytes // 2:
+                break
+            last, n = r, n + 1
+        if last is not None:
+            classes.append((F.col("__label") == label) & (F.struct("__n", "__hash") <= F.struct(F.lit(last["__n"]), F.lit(last["__hash"]))))
+    if not classes:
         return rows.select("__label", "__text").limit(0)
-    within = F.struct("__hash", "__label", "__n") <= F.struct(*[F.lit(last[c]) for c in ("__hash", "__label", "__n")])
-    return rows.where(within).orderBy("__hash", "__label", "__n").limit(n).select("__label", "__text")
+    within = F.struct(*order) <= F.struct(*[F.lit(sizes[-1][c]) for c in order])
+    return rows.where(within & reduce(lambda a, b: a | b, classes)).orderBy(*order).limit(n).select("__label", "__text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from sqlcheck import SMALL, same
 
 from meshlake.llm import classifier, decontamination, line_dedup, lm_scoring, minhash, packing, quality_rules, sharding, substring_dedup, token_files
@@ -375,26 +376,93 @@ def test_training_is_bounded_by_rows_and_bytes(spark):
     assert classifier.sampled(docs, marked, max_train=8).count() <= 8
 
 
+@pytest.mark.parametrize("place", ["first", "middle", "last"])
+def test_one_long_text_does_not_end_the_sample(spark, place):
+    rows = [(k, ("good prose " if k % 2 else "#### junk ") * (20 + k % 7), k % 2) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    marked = classifier.candidates(docs, "doc_id", "quality")
+    hashes = sorted(r["h"] for r in docs.selectExpr("xxhash64(text) AS h").distinct().collect())
+    low, high = {"first": (-(1 << 63), hashes[0]), "middle": (hashes[3], hashes[-3]), "last": (hashes[-1], (1 << 63) - 1)}[place]
+    tried = spark.range(4000).selectExpr("concat(repeat('long text ', 20000), id) AS t").where((F.xxhash64("t") > low) & (F.xxhash64("t") < high))
+    long = tried.first()["t"]
+    more = spark.createDataFrame([(*r[:2], r[2]) for r in rows] + [(1000, long, 1)], "doc_id long, text string, quality int")
+    assert zlib.crc32(b"1000") % 4 != 2
+    everything = classifier.candidates(more, "doc_id", "quality")
+    want = {(r[1], r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    got = classifier.sampled(more, everything, max_bytes=150_000).collect()
+    assert {(r["__text"], r["__label"]) for r in got} == want and len(got) == classifier.sampled(docs, marked).count()
+    net = classifier.fit(more, more, max_bytes=150_000)
+    scores = {r["doc_id"]: r["score"] for r in classifier.score(more, net).collect()}
+    held = [(scores[k], label) for k, _, label in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert auc(np.array([x for x, _ in held]), np.array([y for _, y in held])) > 0.9
+
+
+def brute_score(net, text):
+    """The network in doubles, window by window."""
+    embed, filters, bias, out = (x.astype(np.float64) for x in (net.embed, net.filters, net.bias, net.out))
+    raw = text.encode()
+    chunks = [raw[a : a + classifier.CHUNK] for a in range(0, max(1, len(raw) - classifier.CHUNK + classifier.STEP), classifier.STEP)]
+    pooled = []
+    for chunk in chunks:
+        values = []
+        for a in range(0, max(1, len(chunk)), classifier.STRIDE):
+            if a + classifier.WIDTH > classifier.CHUNK:
+                break
+            window = [*chunk[a : a + classifier.WIDTH]]
+            window += [256] * (classifier.WIDTH - len(window))
+            values.append(np.concatenate([embed[b] for b in window]) @ filters)
+        pooled.append(np.maximum(np.max(values, 0) + bias, 0))
+    h = np.concatenate([np.max(pooled, 0), np.mean(pooled, 0)])
+    return 1 / (1 + np.exp(-(h @ out + net.out_bias)))
+
+
+def biased(seed):
+    net, rng = classifier.Net.fresh(seed), np.random.default_rng(seed)
+    net.bias[:] = rng.normal(0.3, 0.5, classifier.FILTERS)
+    net.out_bias = 0.2
+    return net
+
+
+def test_scores_by_brute_force():
+    net, rng = biased(5), np.random.default_rng(1)
+    texts = ["", "a", "abc", "abcd", "x" * 5, "é" * 200] + [bytes(rng.integers(32, 127, n).astype(np.uint8)).decode() for n in (6, 10, 383, 384, 385, 386, 387, 744, 745, 900, 5000)]
+    assert np.allclose(net.scores(pa.array(texts)), [brute_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_padding_has_no_say():
+    """A short text scores the same whatever a filter makes of padding alone."""
+    net = biased(2)
+    net.bias[:] = 3.0
+    net.filters[:] = -np.abs(net.filters)
+    net.embed[:256] = np.abs(net.embed[:256])
+    assert np.allclose(net.pooled(classifier.cut(np.frombuffer(b"abcdefghijkl", np.uint8), np.array([0]), np.array([12])))[0], [
+        max(0, max(sum(float(net.embed[b] @ net.filters.reshape(classifier.WIDTH, classifier.EMBED, -1)[j, :, f]) for j, b in enumerate(b"abcdefghijkl"[a : a + 6])) for a in (0, 3, 6, 9)) + 3.0)
+        for f in range(classifier.FILTERS)
+    ], atol=1e-4)
+
+
 def test_gradient_by_finite_differences():
-    net, rng = classifier.Net.fresh(3), np.random.default_rng(0)
+    """Against differences of the brute-force loss in doubles, away from the rectifier's corner."""
+    net, rng = biased(3), np.random.default_rng(0)
     texts = [rng.integers(32, 127, n).astype(np.uint8) for n in (10, 400, 1500, 900)]
     label = np.array([0, 1, 1, 0], np.float32)
     grads = classifier.gradients(net, texts, label)
+    net.embed, net.filters, net.bias, net.out = (x.astype(np.float64) for x in (net.embed, net.filters, net.bias, net.out))
 
     def loss():
-        got = net.scores(pa.array([x.tobytes().decode() for x in texts]))
+        got = np.array([brute_score(net, x.tobytes().decode()) for x in texts])
         return -np.mean(label * np.log(got) + (1 - label) * np.log(1 - got))
 
     for g, p in zip(grads, (net.embed, net.filters, net.bias, net.out)):
-        flat = p.reshape(-1)
+        flat, step = p.reshape(-1), 1e-6
         for i in np.argsort(-abs(g).reshape(-1))[:5]:
             old = flat[i]
-            flat[i] = old + 1e-3
+            flat[i] = old + step
             high = loss()
-            flat[i] = old - 1e-3
+            flat[i] = old - step
             low = loss()
             flat[i] = old
-            assert abs((high - low) / 2e-3 - g.reshape(-1)[i]) < 0.02 * abs(g).max()
+            assert abs((high - low) / (2 * step) - g.reshape(-1)[i]) < 1e-3 * abs(g).max()
 
 
 # pipeline
