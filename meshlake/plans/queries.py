@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sequences
-from ..model import ROW, Geometry, with_row
-from ..operators import columns, combine, grid, rows, sample, stats
+from ..model import ROW, Geometry, dense, with_row
+from ..operators import columns, combine, grid, projection, rows, sample, stats, surface
 from ..sources import halo, text
 from .tables import cloud, orders, parts, points, table
 
@@ -197,6 +197,55 @@ def _(spark, d):
     return rows.halo_routes(p, ["size0", "price"], 1500.0).select(ROW, "route")
 
 
+# smoothing and surfaces of how many line items have each whole quantity, thousand of price and hundredth of discount
+
+_BOX = """q AS (SELECT CAST(floor(l_quantity) AS BIGINT) AS x, CAST(floor(l_extendedprice / 1000.0) AS BIGINT) AS y, CAST(round(l_discount * 100) AS BIGINT) AS z, count(*) AS c FROM lineitem GROUP BY ALL),
+    n AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM q),
+    box AS (SELECT x, y, z, CAST(coalesce(c, 0) AS DOUBLE) AS v FROM (SELECT unnest(range(nx)) AS x FROM n) JOIN (SELECT unnest(range(ny)) AS y FROM n) ON true JOIN (SELECT unnest(range(nz)) AS z FROM n) ON true LEFT JOIN q USING (x, y, z))"""
+
+
+def _box(spark, d) -> tuple[DataFrame, Geometry]:
+    item = table(spark, d, "lineitem")
+    x, y, z = F.floor(F.col("l_quantity").cast("double")), F.floor(F.col("l_extendedprice").cast("double") / 1000), F.round(F.col("l_discount").cast("double") * 100)
+    counts = item.select(*[c.cast("long").alias(k) for k, c in zip("xyz", (x, y, z))]).groupBy("x", "y", "z").count()
+    most = counts.agg(*[F.max(c) for c in "xyz"]).first()
+    geometry = Geometry(tuple((m or 0) + 1 for m in most))
+    return counts.select(geometry.row(*[F.col(c) for c in "xyz"]).alias(ROW), F.col("count").cast("double").alias("v")), geometry
+
+
+@query("smooth_medium", f"""WITH {_BOX}, w AS (SELECT a.i AS i, b.i AS j, c.i AS k, exp(-0.5 * (a.i * a.i + b.i * b.i + c.i * c.i) / 2.56) AS w FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
+    pushed AS (SELECT x + i AS x, y + j AS y, z + k AS z, w, w * v AS wv FROM box, w)
+    SELECT CAST(x + nx * (y + ny * z) AS BIGINT) AS __row, round(sum(wv) / sum(w), 6) + 0 AS v FROM pushed JOIN n ON x BETWEEN 0 AND nx - 1 AND y BETWEEN 0 AND ny - 1 AND z BETWEEN 0 AND nz - 1 GROUP BY ALL""")
+def _(spark, d):
+    counts, geometry = _box(spark, d)
+    mesh = dense(spark, geometry).join(counts, ROW, "left").fillna(0.0, ["v"])
+    return rounded(surface.smooth(mesh, "v", geometry))
+
+
+def _inside(tetrahedron: list[int]) -> str:
+    return " + ".join(f"CAST(v{c} > 1.5 AS INTEGER)" for c in tetrahedron)
+
+
+@query("isosurface_cells", f"""WITH {_BOX}, cubes AS (SELECT a.x, a.y, a.z, {", ".join(f"c{k}.v AS v{k}" for k in range(8))} FROM box a
+    {" ".join(f"JOIN box c{k} ON c{k}.x = a.x + {k & 1} AND c{k}.y = a.y + {k >> 1 & 1} AND c{k}.z = a.z + {k >> 2}" for k in range(8))}),
+    counts AS (SELECT x, y, z, {" + ".join(f"CASE {_inside(t)} WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END" for t in surface.TETRAHEDRA)} AS t FROM cubes)
+    SELECT CAST(x + nx * (y + ny * z) AS BIGINT) AS __row, CAST(t AS BIGINT) AS triangles FROM counts, n WHERE t > 0""")
+def _(spark, d):
+    counts, geometry = _box(spark, d)
+    return surface.isosurface(counts, "v", geometry, 1.5, fill=0.0).groupBy(ROW).agg(F.count("*").alias("triangles"))
+
+
+@query("isosurface_points", f"""WITH {_BOX}, e AS (SELECT k & 1 AS i, (k >> 1) & 1 AS j, k >> 2 AS k FROM (SELECT CAST(k AS INTEGER) AS k FROM range(1, 8) t(k)))
+    SELECT round(a.x + i * (1.5 - a.v) / (b.v - a.v), 6) AS x, round(a.y + j * (1.5 - a.v) / (b.v - a.v), 6) AS y, round(a.z + k * (1.5 - a.v) / (b.v - a.v), 6) AS z
+    FROM box a JOIN e ON true JOIN box b ON b.x = a.x + i AND b.y = a.y + j AND b.z = a.z + k WHERE (a.v > 1.5) <> (b.v > 1.5)""")
+def _(spark, d):
+    """All points of the surface's triangles, each once."""
+    counts, geometry = _box(spark, d)
+    found = surface.isosurface(counts, "v", geometry, 1.5, fill=0.0)
+    corner = F.explode(F.array(*[F.struct(*[F.round(f"{c}{k}", 6).alias(c) for c in "xyz"]) for k in (1, 2, 3)]))
+    return found.select(corner.alias("p")).select("p.*").distinct()
+
+
 # samples
 
 
