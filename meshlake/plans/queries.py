@@ -537,19 +537,69 @@ def _(spark, d):
     return rounded(halo.scaled(points(spark, d), ["X", "Y", "Z", "mass", "mass", "X"], 2.0))
 
 
-@query("createpath", "SELECT i AS frame, round(i * 0.5, 6) AS azimuth, round(10 - i * 0.25, 6) AS elevation, 1.0 AS zoom FROM range(41) t(i)")
+# camera values and slices over the range of a table's points
+
+
+def _ends(spark, d) -> tuple[list[float], list[float]]:
+    found = points(spark, d).agg(*[f(c) for c in XYZ for f in (F.min, F.max)]).first()
+    return [x or 0.0 for x in found[::2]], [x or 0.0 for x in found[1::2]]
+
+
+_ENDS = "r AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1, min(Z) AS z0, max(Z) AS z1 FROM pts)"
+
+
+@query("createpath", f"WITH {PTS}, {_ENDS} SELECT i AS frame, round(x0 + i * (x1 - x0) / 40, 6) + 0 AS azimuth, round(y0 + i * (y1 - y0) / 40, 6) + 0 AS elevation, round(z0 + i * (z1 - z0) / 40, 6) + 0 AS zoom FROM r, range(41) t(i)")
+def _(spark, d):
+    return rounded(sequences.camera_path(spark, *_ends(spark, d), 4, 10))
+
+
+@query("orthoslices", "WITH n AS (SELECT CAST(max(l_quantity) AS INTEGER) AS n FROM lineitem) SELECT DISTINCT CAST(s AS INTEGER) AS slice FROM (SELECT unnest(range(0, n + 1, 7)) AS s FROM n UNION ALL SELECT n FROM n)")
+def _(spark, d):
+    """Every seventh plane of the whole quantities, and the last one."""
+    return sequences.ortho_slices(spark, 0, int(cloud(spark, d).agg(F.max("X")).first()[0] or 0), 7)
+
+
+@query("genericslices", f"WITH {PTS}, {_ENDS} SELECT i AS slice, round(x0 + i * (x1 - x0) * 0.125, 6) + 0 AS x, round(y0 + i * (y1 - y0) * 0.125, 6) + 0 AS y, round(z0 + i * (z1 - z0) * 0.125, 6) + 0 AS z FROM r, range(9) t(i)")
+def _(spark, d):
+    return rounded(sequences.plane_slices(spark, *_ends(spark, d), 0.125, 9))
+
+
+# points as blobs in a picture
+
+_CAMERA = projection.Camera((0.2, -1.5, 0.4), (0.0, 0.0, 0.0), pixels=(48, 36))
+
+
+def _blobs_sql() -> str:
+    right, up, into = ([repr(float(x)) for x in axis] for axis in _CAMERA.axes())
+    x, y, z = _CAMERA.position
+    nx, ny = _CAMERA.pixels
+    dot = lambda a: f"(X - {x}) * {a[0]} + (Y - {y}) * {a[1]} + (Z - {z}) * {a[2]}"
+    return f"""{PTS}, v AS (SELECT __row, mass, 0.01 + 0.002 * mass AS r, {dot(right)} AS vx, {dot(up)} AS vy, {dot(into)} AS z FROM pts),
+    s AS (SELECT *, {nx / 2} / (tan(radians(22.5)) * z) AS scale FROM v WHERE z > 0),
+    b AS (SELECT __row, z, {nx / 2} + vx * scale AS px, {ny / 2} + vy * scale AS py, sqrt(r * r * scale * scale + 1) AS pr,
+      mass * 1e-5 * {8 * projection.WIDTH / 3.141592653589793**0.5!r} / (r * r) * (r * r * scale * scale) / (r * r * scale * scale + 1) AS e FROM s),
+    hits AS (SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, __row, z, e, e * exp(-((ix - px) ** 2 + (iy - py) ** 2) / ({projection.WIDTH!r} * pr) ** 2) AS a
+      FROM b, range({nx}) g(ix), range({ny}) h(iy) WHERE iy - py > -sqrt(greatest(0, pr * pr - (ix - px) ** 2)) AND iy - py <= sqrt(greatest(0, pr * pr - (ix - px) ** 2)))"""
+
+
+def _blobs(spark, d) -> DataFrame:
+    p = points(spark, d).withColumns({"r": 0.01 + 0.002 * F.col("mass"), "light": F.col("mass") * 1e-5})
+    return projection.project(p, XYZ, "r", ["light"], _CAMERA)
+
+
+@query("project_points", f"WITH {_blobs_sql()} SELECT __row, round(px, 6) + 0 AS px, round(py, 6) + 0 AS py, round(z, 6) + 0 AS depth, round(pr, 6) + 0 AS pr, round(e, 6) + 0 AS light FROM b WHERE floor(px + pr) >= 0 AND floor(px - pr) + 1 < 48 AND floor(py + pr) >= 0 AND floor(py - pr) + 1 < 36")
 def _(spark, d):
-    return rounded(sequences.camera_path(spark, (0.0, 10.0, 1.0), (20.0, 0.0, 1.0), 4, 10)).withColumn("frame", F.col("frame"))
+    return rounded(_blobs(spark, d).select(ROW, "px", "py", "depth", "pr", "light"))
 
 
-@query("orthoslices", "SELECT unnest([0, 3, 6, 9, 10]) AS slice")
+@query("picture", f"WITH {_blobs_sql()} SELECT ix, iy, round(1 - exp(-sum(a)), 6) + 0 AS light FROM hits GROUP BY ALL")
 def _(spark, d):
-    return sequences.ortho_slices(spark, 0, 10, 3)
+    return rounded(projection.picture(_blobs(spark, d), ["light"], _CAMERA))
 
 
-@query("genericslices", "SELECT i AS slice, 1 + i * 0.5 AS x, 2 + i * 0.0 AS y, 3 - i * 0.5 AS z FROM range(6) t(i)")
+@query("picture_absorbed", f"WITH {_blobs_sql()}, f AS (SELECT *, sum(a) OVER (PARTITION BY ix, iy ORDER BY z, __row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearer FROM hits) SELECT ix, iy, round(sum(e / (e + 0.2) * (1 - exp(-a)) * exp(-coalesce(nearer, 0))), 6) + 0 AS light FROM f GROUP BY ALL")
 def _(spark, d):
-    return sequences.plane_slices(spark, (1.0, 2.0, 3.0), (2.0, 2.0, 2.0), 0.5, 6)
+    return rounded(projection.picture(_blobs(spark, d), ["light"], _CAMERA, 0.2, [ROW]))
 
 
 __all__ = ["oracle_sql", "point_property", "queries"]
