@@ -44,6 +44,13 @@ def histogram(df: DataFrame, fields: Sequence[str], bins: int | None = None, bou
     return grid.join(counted, "bin", "left").fillna(0, names)
 
 
+def write_histogram(counts: DataFrame, fields: Sequence[str], path: str) -> None:
+    """A line for each bin, its start and the counts of the fields in table order, as text in parts that are in order."""
+    names = [c for c in counts.columns if c in fields]
+    line = F.concat_ws("  ", *[F.col(f"`{c}`").cast("string") for c in ("bin_start", *names)])
+    counts.orderBy("bin").select(line.alias("value")).write.text(path)
+
+
 def normalize(df: DataFrame, fields: Sequence[str], by: str, log: bool = False, asinh: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
     """The fields scaled to 0 to 1 within each type ``by``, after log10 or asinh if asked; a constant field is 0.
 

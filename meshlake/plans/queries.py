@@ -226,8 +226,8 @@ def _inside(tetrahedron: list[int]) -> str:
     return " + ".join(f"CAST(v{c} > 1.5 AS INTEGER)" for c in tetrahedron)
 
 
-@query("isosurface_cells", f"""WITH {_BOX}, cubes AS (SELECT a.x, a.y, a.z, {", ".join(f"c{k}.v AS v{k}" for k in range(8))} FROM box a
-    {" ".join(f"JOIN box c{k} ON c{k}.x = a.x + {k & 1} AND c{k}.y = a.y + {k >> 1 & 1} AND c{k}.z = a.z + {k >> 2}" for k in range(8))}),
+@query("isosurface_cells", f"""WITH {_BOX}, cubes AS (SELECT x - (k & 1) AS x, y - ((k >> 1) & 1) AS y, z - (k >> 2) AS z, {", ".join(f"max(CASE WHEN k = {k} THEN v END) AS v{k}" for k in range(8))}
+    FROM box, (SELECT CAST(k AS INTEGER) AS k FROM range(8) t(k)) GROUP BY 1, 2, 3 HAVING count(*) = 8),
     counts AS (SELECT x, y, z, {" + ".join(f"CASE {_inside(t)} WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END" for t in surface.TETRAHEDRA)} AS t FROM cubes)
     SELECT CAST(x + nx * (y + ny * z) AS BIGINT) AS __row, CAST(t AS BIGINT) AS triangles FROM counts, n WHERE t > 0""")
 def _(spark, d):

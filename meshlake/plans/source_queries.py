@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import registry
+from .. import flows, registry
 from ..model import ROW, Geometry, declared, dense, new_folder, with_row
 from ..operators import combine, grid, rows, stats
 from ..sources import binary, fits, multilist, raw, snapshots, tables, text
@@ -389,6 +389,39 @@ def _(spark, d):
     return registry.run_file(path, table).withColumn("density", F.round("density", 3) + 0.0)
 
 
+def _flow(spark, files: dict[str, str], frames: dict[str, DataFrame]) -> DataFrame:
+    """Run ``run.par`` of the files in a new folder with the tables."""
+    folder = new_folder(spark)
+    for name, df in frames.items():
+        tables.write_table(df, f"{folder}/{name}", "double")
+    fs, at = pafs.FileSystem.from_uri(folder)
+    for name, content in files.items():
+        with fs.open_output_stream(f"{at}/{name}") as f:
+            f.write(content.encode())
+    return flows.run_flow(spark, f"{folder}/run.par")
+
+
+@query("flow_selfield", f"WITH {ORD} SELECT row_number() OVER (ORDER BY __row) - 1 AS __row, CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, cust FROM ord WHERE price BETWEEN 50000 AND 150000 AND cust <= 800")
+def _(spark, d):
+    """A limits file, and the result as a table file, of floats as all results are."""
+    files = {"limits.txt": "price 50000 150000\ncust unlimited 800\n", "run.par": "op=selfield\nlimits=limits.txt\noperator=AND\nout=selected.bin\nfile=orders.bin\n"}
+    return _flow(spark, files, {"orders.bin": orders(spark, d)})
+
+
+@query("flow_extraction", f"WITH {PTS} SELECT row_number() OVER (ORDER BY __row) - 1 AS __row, CAST(CAST(X AS FLOAT) AS DOUBLE) AS X, CAST(CAST(Y AS FLOAT) AS DOUBLE) AS Y, CAST(CAST(Z AS FLOAT) AS DOUBLE) AS Z FROM pts WHERE sqrt(X * X + Y * Y + Z * Z) <= 0.15")
+def _(spark, d):
+    """A geometry file."""
+    files = {"ball.txt": "X 0\nY 0\nZ 0\nRADIUS 0.15\n", "run.par": "op=extraction\ngeometry=ball.txt\nout=ball.bin\nfile=points.bin\n"}
+    return _flow(spark, files, {"points.bin": points(spark, d).select(ROW, *XYZ)})
+
+
+@query("flow_merge", f"WITH {ORD}, {PRT} SELECT __row, CAST(CAST(coalesce(ord.price, -1) AS FLOAT) AS DOUBLE) AS price_tab_1, CAST(CAST(coalesce(prt.price, -1) AS FLOAT) AS DOUBLE) AS price_tab_2, coalesce(size, -1) AS size_tab_2 FROM ord FULL JOIN prt USING (__row)")
+def _(spark, d):
+    """A list of tables and columns."""
+    files = {"list.txt": "orders.bin price\nparts *\n", "run.par": "op=merge\nsize=HUGE\npad=-1\nout=merged.bin\nfile=list.txt\n"}
+    return _flow(spark, files, {"orders.bin": orders(spark, d), "parts.bin": parts(spark, d).select(ROW, "price", "size")})
+
+
 @query("mres_defaults", f"""WITH {PTS}, e AS (SELECT (min(X) + max(X)) / 2 AS cx, (min(Y) + max(Y)) / 2 AS cy, (min(Z) + max(Z)) / 2 AS cz, greatest(max(X) - min(X), max(Y) - min(Y), max(Z) - min(Z)) * 0.01 AS w FROM pts),
     l AS (SELECT __row, sqrt((X - cx) * (X - cx) + (Y - cy) * (Y - cy) + (Z - cz) * (Z - cz)) / w AS q FROM pts, e),
     r AS (SELECT __row, CASE WHEN q <= 1 THEN 0 WHEN q <= 10 THEN 1 WHEN q <= 100 THEN 2 ELSE 3 END AS l, CASE WHEN q <= 1 THEN __row WHEN q <= 10 THEN __row // 10 WHEN q <= 100 THEN __row // 100 ELSE __row // greatest(1, CAST(floor((SELECT count(*) FROM pts) / 100000.0 + 0.5) AS BIGINT)) END AS run FROM l)
