@@ -6,7 +6,8 @@ counts; one scan reads all files, and a task's share is a range of rows, part of
 file or several small ones.  Options:
 
 * ``columns``: names, separated by blanks; others are not read.  A schema says the same.
-* ``rows``: ``first:last``, either end open, both included; ranges outside are not read.
+* ``rows``: ``first:last``, either end open, both included, or several such ranges with commas
+  between them; what is outside is not read.
 * ``rows_per_task``: 1048576.
 * ``pushdown``: ``true`` where the session pushes filters to Python sources
   (``spark.sql.python.filterPushdown.enabled``); bounds on ``__row`` in a filter then do the
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -90,19 +92,33 @@ def parts_of(files: Sequence[str]) -> list[Part]:
     return out
 
 
-def shares(parts: Sequence[Part], low: int, high: int, rows_per_task: int) -> list[list[Part]]:
-    """Rows ``low`` to ``high`` in shares of ``rows_per_task`` rows at most, large files cut and small ones together."""
+def shares(parts: Sequence[Part], ranges: Sequence[tuple[int, int]], rows_per_task: int) -> list[list[Part]]:
+    """The rows of ascending ranges (first, last) in shares of ``rows_per_task`` rows at most, large files cut and small ones together."""
     out: list[list[Part]] = []
-    room = 0
-    for p in parts:
-        a, b = max(low - p.row, 0), min(high - p.row + 1, p.n)
-        while a < b:
-            if not room:
-                out.append([])
-                room = rows_per_task
-            n = min(room, b - a)
-            out[-1].append(Part(p.path, p.header, a, n, p.row + a))
-            a, room = a + n, room - n
+    room, ends = 0, [p.row + p.n for p in parts]
+    for low, high in ranges:
+        for p in parts[bisect_right(ends, low) :] if low <= high else ():
+            if p.row > high:
+                break
+            a, b = max(low - p.row, 0), min(high - p.row + 1, p.n)
+            while a < b:
+                if not room:
+                    out.append([])
+                    room = rows_per_task
+                n = min(room, b - a)
+                out[-1].append(Part(p.path, p.header, a, n, p.row + a))
+                a, room = a + n, room - n
+    return out
+
+
+def ranges_of(text: str) -> list[tuple[int, int]]:
+    """Ranges as the option ``rows`` has them; those that are empty are left out."""
+    out = []
+    for word in (w for w in text.split(",") if w):
+        low, _, high = word.partition(":")
+        out.append((int(low or 0), int(high) if high else 1 << 62))
+    if any(b >= c for (_, b), (c, _) in zip(out, out[1:])):
+        raise ValueError("ranges must ascend")
     return out
 
 
@@ -130,12 +146,13 @@ def read_part(part: Part, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
 
 
 class TableReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, low: int, high: int, rows_per_task: int):
-        self.path, self.names = path, schema.names
-        self.low, self.high, self.rows_per_task = low, high, rows_per_task
+    def __init__(self, path: str, schema: StructType, ranges: Sequence[tuple[int, int]], rows_per_task: int):
+        self.path, self.names, self.ranges, self.rows_per_task = path, schema.names, ranges, rows_per_task
+        self.low, self.high = 0, 1 << 62
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Share(x) for x in shares(parts_of(table_files(self.path)), self.low, self.high, self.rows_per_task)] or [Share([])]
+        wanted = [(max(a, self.low), min(b, self.high)) for a, b in self.ranges]
+        return [Share(x) for x in shares(parts_of(table_files(self.path)), wanted, self.rows_per_task)] or [Share([])]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         for part in partition.parts:
@@ -231,9 +248,9 @@ class TableSource(DataSource):
         return StructType([StructField(ROW, LongType(), False), *[StructField(c, DoubleType()) for c in names]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        low, _, high = self.options.get("rows", ":").partition(":")
+        ranges = ranges_of(self.options.get("rows", ":"))
         kind = PushingReader if self.options.get("pushdown", "false").lower() == "true" else TableReader
-        return kind(self.options["path"], schema, int(low or 0), int(high) if high else 1 << 62, int(self.options.get("rows_per_task", ROWS_PER_TASK)))
+        return kind(self.options["path"], schema, ranges, int(self.options.get("rows_per_task", ROWS_PER_TASK)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         cells, sizes = (self.options.get(k, "").split() for k in ("cells", "sizes"))
@@ -254,14 +271,18 @@ def registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_tables(spark: SparkSession, path: str, columns: Sequence[str] | None = None, rows: tuple[int | None, int | None] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``__row`` and the wanted columns of a table, or of a folder of tables as one, by one scan; ``rows``: the first and the last, None for an open end."""
+def read_tables(spark: SparkSession, path: str, columns: Sequence[str] | None = None, rows: tuple[int | None, int | None] | Sequence[tuple[int, int]] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``__row`` and the wanted columns of a table, or of a folder of tables as one, by one scan.
+
+    ``rows``: the first and the last, None for an open end, or a list of ascending pairs.
+    """
     pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     found = registered(spark).read.format(NAME).option("rows_per_task", rows_per_task).option("pushdown", pushes)
     if columns is not None:
         found = found.option("columns", " ".join(columns))
     if rows is not None:
-        found = found.option("rows", ":".join("" if x is None else str(x) for x in rows))
+        pairs = rows if isinstance(rows, list) else [rows]
+        found = found.option("rows", ",".join(":".join("" if x is None else str(x) for x in r) for r in pairs))
     return found.load(path)
 
 

@@ -42,10 +42,14 @@ def test_many_files_are_one_scan(spark, tmp_path):
 
 def test_a_large_file_is_many_shares(tmp_path):
     files = tables.parts_of(tables.table_files(made(tmp_path, [1000, 30])))
-    found = tables.shares(files, 0, 1 << 62, 300)
+    found = tables.shares(files, [(0, 1 << 62)], 300)
     assert [[(p.first, p.n, p.row) for p in x] for x in found] == [[(0, 300, 0)], [(300, 300, 300)], [(600, 300, 600)], [(900, 100, 900), (0, 30, 1000)]]
-    assert [[(p.first, p.n, p.row) for p in x] for x in tables.shares(files, 998, 1001, 300)] == [[(998, 2, 998), (0, 2, 1000)]]
-    assert tables.shares(files, 5000, 6000, 300) == []
+    assert [[(p.first, p.n, p.row) for p in x] for x in tables.shares(files, [(998, 1001)], 300)] == [[(998, 2, 998), (0, 2, 1000)]]
+    assert tables.shares(files, [(5000, 6000)], 300) == [] and tables.shares(files, [(5, 4)], 300) == []
+    assert [[(p.row, p.n) for p in x] for x in tables.shares(files, [(0, 9), (100, 100), (995, 1010)], 20)] == [[(0, 10), (100, 1), (995, 5), (1000, 4)], [(1004, 7)]]
+    assert tables.ranges_of(":5,7:7,9:") == [(0, 5), (7, 7), (9, 1 << 62)] and tables.ranges_of("") == []
+    with pytest.raises(ValueError):
+        tables.ranges_of("5:9,9:10")
 
 
 def test_only_wanted_columns_and_rows_are_read(spark, tmp_path):
@@ -67,7 +71,7 @@ def test_only_wanted_columns_and_rows_are_read(spark, tmp_path):
 
 def test_bounds_of_rows_are_pushed_down(spark, tmp_path):
     folder = made(tmp_path, [100] * 10)
-    reader = tables.PushingReader(folder, StructType().add(ROW, LongType()), 0, 1 << 62, 50)
+    reader = tables.PushingReader(folder, StructType().add(ROW, LongType()), [(0, 1 << 62)], 50)
     other = [IsNotNull((ROW,)), EqualTo(("a",), 5), In((ROW,), [130, 700, 240])]
     assert list(reader.pushFilters([GreaterThan((ROW,), 120), LessThanOrEqual((ROW,), 333), *other])) == other
     assert [(p.row, p.n) for x in reader.partitions() for p in x.parts] == [(130, 50), (180, 20), (200, 30), (230, 50), (280, 20), (300, 30), (330, 4)]
