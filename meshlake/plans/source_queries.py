@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import flows, registry
 from ..model import ROW, Geometry, declared, dense, new_folder, with_row
 from ..operators import combine, grid, rows, stats
-from ..sources import binary, fits, multilist, raw, snapshots, tables, text
+from ..sources import binary, fits, hdf5, multilist, raw, snapshots, tables, text
 from .queries import ORD, PRT, PTS, XYZ, query, rounded
 from .tables import orders, parts, points, table
 
@@ -364,6 +364,52 @@ def _(spark, d):
     return rounded(together(files(parts(spark, d), encode), lambda f: fits.read_fits_image(spark, f, name="img")[0]), 9)
 
 
+# HDF5
+
+
+def _hdf5(arrays: dict[str, np.ndarray]) -> bytes:
+    """A file with a root group of contiguous data sets: superblock, headers, one leaf of names, the data."""
+    names, n = sorted(arrays), len(arrays)
+    number = lambda x, width=8: int(x).to_bytes(width, "little")
+    message = lambda kind, raw: number(kind, 2) + number(-(-len(raw) // 8) * 8, 2) + bytes(4) + raw.ljust(-(-len(raw) // 8) * 8, b"\0")
+    header = lambda *parts: bytes([1, 0]) + number(len(parts), 2) + number(1, 4) + number(sum(map(len, parts)), 4) + bytes(4) + b"".join(parts)
+    text, starts = b"\0" * 8, []
+    for name in names:
+        starts.append(len(text))
+        text += name.encode().ljust(-(-(len(name) + 1) // 8) * 8, b"\0")
+    group_at = 96
+    tree_at = group_at + len(header(message(0x11, bytes(16))))
+    leaf_at, heap_at = tree_at + 24 + 8 + 16, tree_at + 24 + 8 + 16 + 8 + 40 * n
+    text_at = heap_at + 32
+    at, headers, body = text_at + len(text), {}, b""
+    for name in names:
+        x = arrays[name]
+        kind = bytes([0x11, 0x20 | (x.dtype.byteorder == ">"), 63, 0]) if x.dtype.kind == "f" else bytes([0x10, 8 | (x.dtype.byteorder == ">"), 0, 0])
+        kind += number(x.dtype.itemsize, 4) + bytes(12)
+        space = bytes([1, x.ndim, 0, 0, 0, 0, 0, 0]) + b"".join(map(number, x.shape))
+        size = len(header(message(1, space), message(3, kind), message(8, bytes(18))))
+        headers[name] = at
+        body += header(message(1, space), message(3, kind), message(8, bytes([3, 1]) + number(at + size) + number(x.nbytes))) + x.tobytes()
+        at += size + x.nbytes
+    first = b"\x89HDF\r\n\x1a\n" + bytes([0, 0, 0, 0, 0, 8, 8, 0]) + number(4, 2) + number(16, 2) + bytes(4) + number(0) + b"\xff" * 8 + number(at) + b"\xff" * 8
+    group = header(message(0x11, number(tree_at) + number(heap_at)))
+    tree = b"TREE" + bytes([0, 0]) + number(1, 2) + b"\xff" * 16 + number(0) + number(leaf_at) + number(starts[-1])
+    leaf = b"SNOD" + bytes([1, 0]) + number(n, 2) + b"".join(number(s) + number(headers[x]) + bytes(24) for s, x in zip(starts, names))
+    heap = b"HEAP" + bytes(4) + number(len(text)) + number((1 << 64) - 1) + number(text_at)
+    return first + number(0) + number(group_at) + bytes(24) + group + tree + leaf + heap + text + body
+
+
+@query("source_hdf5", f'WITH {PTS} SELECT __row, mass, X AS "place_0", Y AS "place_1", Z AS "place_2" FROM pts')
+def _(spark, d):
+    """A data set of one axis and one of two."""
+
+    def encode(group: pa.Table, name: str) -> dict[str, bytes]:
+        place = np.stack([group[c].to_numpy() for c in XYZ]).astype(">f8")
+        return {name + ".h5": _hdf5({"mass": group["mass"].to_numpy().astype("<i4"), "place": place})}
+
+    return together(files(points(spark, d), encode), lambda f: hdf5.read_hdf5(spark, f, ["mass", "place"])[0])
+
+
 # what the operators have besides
 
 
