@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, sequences
 from ..model import ROW, Geometry, dense, with_row
-from ..operators import columns, combine, grid, projection, rows, sample, stats, surface
+from ..operators import columns, combine, grid, groups, projection, rows, sample, stats, surface
 from ..sources import halo, text
 from .tables import cloud, orders, parts, points, table
 
@@ -537,6 +537,22 @@ def _(spark, d):
     return rounded(halo.scaled(points(spark, d), ["X", "Y", "Z", "mass", "mass", "X"], 2.0))
 
 
+# dense groups of the line items as points, a cell being dense from a three hundredth of all on
+
+_GROUPS = f"""{CLOUD}, e AS (SELECT min(X) AS x0, (max(X) - min(X)) / 4 AS dx, min(Y) AS y0, (max(Y) - min(Y)) / 4 AS dy, min(Z) AS z0, (max(Z) - min(Z)) / 4 AS dz, count(*) // 300 AS k FROM cloud),
+    f AS (SELECT least(CAST(floor((X - x0) / (dx / 4)) AS BIGINT), 15) AS x, least(CAST(floor((Y - y0) / (dy / 4)) AS BIGINT), 15) AS y, least(CAST(floor((Z - z0) / (dz / 4)) AS BIGINT), 15) AS z, count(*) AS n FROM cloud, e GROUP BY ALL),
+    c AS (SELECT l, x >> (2 - l) AS x, y >> (2 - l) AS y, z >> (2 - l) AS z, CAST(sum(n) AS BIGINT) AS n FROM f, (SELECT CAST(l AS BIGINT) AS l FROM range(3) t(l)) GROUP BY ALL HAVING sum(n) >= (SELECT greatest(1, k) FROM e)),
+    cells AS (SELECT *, CASE l WHEN 0 THEN 0 WHEN 1 THEN 64 ELSE 576 END + x + (4 << l) * (y + (4 << l) * z) AS id FROM c),
+    reach AS (SELECT id AS a, id AS b, l, x, y, z FROM cells UNION SELECT r.a, t.id, t.l, t.x, t.y, t.z FROM reach r JOIN cells t ON t.l = r.l AND abs(t.x - r.x) + abs(t.y - r.y) + abs(t.z - r.z) = 1),
+    own AS (SELECT b AS id, min(a) AS g FROM reach GROUP BY b)"""
+
+
+@query("dense_groups", f"WITH RECURSIVE {_GROUPS}, m AS (SELECT cells.*, g FROM cells JOIN own USING (id)) SELECT CAST(m.l AS INTEGER) AS level, m.g AS \"group\", min(p.g) AS parent, count(*) AS n_cells, CAST(sum(m.n) AS BIGINT) AS n FROM m LEFT JOIN m p ON p.l = m.l - 1 AND p.x = m.x >> 1 AND p.y = m.y >> 1 AND p.z = m.z >> 1 GROUP BY m.l, m.g")
+def _(spark, d):
+    c = cloud(spark, d)
+    return groups.dense_groups(c, XYZ, (4, 4, 4), max(1, c.count() // 300), 3).select("level", "group", "parent", "n_cells", "n")
+
+
 # camera values and slices over the range of a table's points
 
 
