@@ -32,12 +32,26 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def _numbers(lines: DataFrame, parts: Column, names: Sequence[str]) -> DataFrame:
-    return lines.select(parts.alias("p")).select(*[number(F.try_element_at("p", F.lit(k))).alias(c) for k, c in enumerate(names, 1)])
+#: Behind a column's name, the name of the column that says why a value is NULL.
+REASON = "__reason"
 
 
-def read_ascii(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
-    """The first line that is no ``#`` comment has the names; short rows and text come as NULL.  Rows have no position yet (``model.with_row``)."""
+def reason(text: Column) -> Column:
+    """``missing`` where there is nothing, ``text`` where there is no number, else NULL."""
+    return F.when(text.isNull() | (F.trim(text) == ""), "missing").when(number(text).isNull(), "text")
+
+
+def told(cells: Sequence[tuple[Column, str]], reasons: bool) -> list[Column]:
+    """Numbers by name; with ``reasons``, a column of reasons beside each."""
+    return [x for c, name in cells for x in (number(c).alias(name), *([reason(c).alias(name + REASON)] if reasons else []))]
+
+
+def _numbers(lines: DataFrame, parts: Column, names: Sequence[str], reasons: bool = False) -> DataFrame:
+    return lines.select(parts.alias("p")).select(*told([(F.try_element_at("p", F.lit(k)), c) for k, c in enumerate(names, 1)], reasons))
+
+
+def read_ascii(spark: SparkSession, path: str, names: Sequence[str] | None = None, reasons: bool = False) -> DataFrame:
+    """The first line that is no ``#`` comment has the names; short rows and text come as NULL (``reasons``: see ``told``).  Rows have no position yet (``model.with_row``)."""
     # the header is told by its place, as a row may have the same text
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     lines = lines.where(~F.col("value").startswith("#") & (F.trim(F.regexp_replace("value", "\t", " ")) != ""))
@@ -46,27 +60,27 @@ def read_ascii(spark: SparkSession, path: str, names: Sequence[str] | None = Non
         first = lines.orderBy("at").first()
         names = unique_names(first["value"].replace("\t", " ").split()) if first else []
         lines = lines.where(F.col("at") != first["at"]) if first else lines
-    return _numbers(lines, parts, names)
+    return _numbers(lines, parts, names, reasons)
 
 
 def read_muons(spark: SparkSession, path: str) -> DataFrame:
     return read_ascii(spark, path, MUON_COLUMNS)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Names from the first line, trimmed and without ``#``; empty cells and text come as NULL."""
+def read_csv(spark: SparkSession, path: str, reasons: bool = False) -> DataFrame:
+    """Names from the first line, trimmed and without ``#``; empty cells and text come as NULL (``reasons``: see ``told``)."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     names = unique_names([c.strip().lstrip("#").strip() for c in raw.columns])
-    return raw.toDF(*names).select(*[number(F.col(f"`{c}`")).alias(c) for c in names])
+    return raw.toDF(*names).select(*told([(F.col(f"`{c}`"), c) for c in names], reasons))
 
 
-def read_votable(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of all TR rows, named by the FIELD elements; what is no number comes as NULL."""
+def read_votable(spark: SparkSession, path: str, reasons: bool = False) -> DataFrame:
+    """The cells of all TR rows, named by the FIELD elements; what is no number comes as NULL (``reasons``: see ``told``)."""
     lines = spark.read.option("lineSep", "</TR>").text(path)
     head = spark.read.option("lineSep", "<DATA>").text(path).first()
     names = unique_names(_attribute(head["value"] if head else "", "FIELD", "name"))
     cells = F.regexp_extract_all("value", F.lit(r"(?s)<TD[^>]*>(.*?)</TD>|<TD\s*(/)>"), 1)
-    return _numbers(lines.where(F.col("value").contains("<TD")), F.transform(cells, lambda x: F.trim(x)), names)
+    return _numbers(lines.where(F.col("value").contains("<TD")), F.transform(cells, lambda x: F.trim(x)), names, reasons)
 
 
 def _attribute(text: str, tag: str, name: str) -> list[str]:

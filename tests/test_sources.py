@@ -87,3 +87,16 @@ def test_dense_positions(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")).repartition(7)
     assert [r["k"] for r in with_row(df, "k").orderBy(ROW).collect()] == list(range(1000))
     assert with_row(df.where("k < 0"), "k").count() == 0
+
+
+def test_reasons_of_missing_values(spark, tmp_path):
+    want = [(1.0, None, 2.0, None), (None, "text", 3.5, None), (None, "missing", None, "text"), (4.0, None, None, "missing")]
+    (tmp_path / "a.csv").write_text("a,b\n1,2\nx,3.5\n,1-2\n4,\n")
+    (tmp_path / "a.txt").write_text("# no row\na b\n1 2\nx 3.5\n4\n")
+    (tmp_path / "a.xml").write_text('<VOTABLE><RESOURCE><TABLE><FIELD name="a"/><FIELD name="b"/><DATA><TABLEDATA><TR><TD>1</TD><TD>2</TD></TR><TR><TD>x</TD><TD> 3.5 </TD></TR><TR><TD></TD><TD>1-2</TD></TR><TR><TD>4</TD><TD/></TR></TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>')
+    key = lambda r: repr(tuple(r))
+    for name, read, rows in (("a.csv", text.read_csv, want), ("a.txt", text.read_ascii, [want[0], want[1], want[3]]), ("a.xml", text.read_votable, want)):
+        got = read(spark, f"file://{tmp_path}/{name}", reasons=True)
+        assert got.columns == ["a", "a__reason", "b", "b__reason"]
+        assert sorted(map(key, got.collect())) == sorted(map(key, rows))
+        assert read(spark, f"file://{tmp_path}/{name}").columns == ["a", "b"]
