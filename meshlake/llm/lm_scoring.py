@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ._shared import keep
 from ._words import Words, coded, mix64, slices
 
-#: Words in the broadcast, the most frequent ones: 24 bytes each.
-HEAD = 200_000
+#: Words in the broadcast, the most frequent ones, and bytes of the longest of them: with 24 bytes more for each, 18 MB at most.
+HEAD, HEAD_WORD = 200_000, 64
 ROUNDS = 2
 #: What the vocabulary's own scores weigh besides the expected counts, in tokens; so that no piece gets probability 0.
 PRIOR = 3200.0
@@ -300,16 +300,17 @@ def score(docs: DataFrame, pieces: Pieces, rounds: int = ROUNDS, head: int = HEA
 
 
 def _documents(rows: DataFrame, scored: DataFrame, head: int, total: int, distinct: int, n_docs: int, end_logp: float) -> DataFrame:
-    """Bring the words' scores to the documents: the head by broadcast, the rest by a join on the word."""
+    """Bring the words' scores to the documents: the head by broadcast, the rest, and all long words, by a join on the word."""
     # the least count that at most ``head`` words reach
-    sizes = scored.groupBy("n").count().where(F.col("n") > 1).orderBy(F.desc("n")).limit(head).collect()
+    short = scored.where(F.octet_length("word") <= HEAD_WORD)
+    sizes = short.groupBy("n").count().where(F.col("n") > 1).orderBy(F.desc("n")).limit(head).collect()
     least, sofar = 1 << 62, 0
     for r in sizes:
         sofar += r["count"]
         if sofar > head:
             break
         least = r["n"]
-    top = scored.where(F.col("n") >= least).select("word", "train", "logp").toArrow()
+    top = short.where(F.col("n") >= least).select("word", "train", "logp").toArrow()
     texts = top["word"].combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
     shared = rows.sparkSession.sparkContext.broadcast((texts, top["train"].to_numpy(), top["logp"].to_numpy()))
     floor = math.log10(total + 0.5 * (distinct + 1))
