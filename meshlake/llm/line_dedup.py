@@ -27,14 +27,22 @@ from ._words import mix64, signed, slices
 
 #: Most edits (of code points) between near-equal lines.
 THRESHOLD = 2
-#: The rule allows edits of a tenth of a line at most, so shorter lines, in code points, are compared for equality only.
-MIN_CHARS = 20
+#: Code points of the shorter line for each edit: edits of at most a tenth of it.  Lines of fewer are compared for equality.
+PER_EDIT = 10
 
 #: Most lines with one segment whose pairs are written out, and lines of a block for segments that more have.
 SHORT, BLOCK = 16, 256
 
 _SPACE = " \t\n\x0b\x0c\r"
 
+#: Code points of all pairs that are compared at once, but for one pair that has more; pairs of lines of LONG lose their common ends first.
+CELLS, LONG = 1 << 20, 512
+
+
+def edits(length: np.ndarray, threshold: int, per_edit: int) -> np.ndarray:
+    """Edits that lines of ``length`` code points may be apart, if none of the two is shorter."""
+    return np.minimum(threshold, length // per_edit)
+
 
 def has_word(line: F.Column) -> F.Column:
     return F.ltrim(line, F.lit(_SPACE)) != ""
@@ -111,76 +119,106 @@ class Substrings:
         return mix64((self.run[start + size] - self.run[start]) * self.inverse[start])
 
 
-def join_keys(column: pa.Array, threshold: int, role: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(line, key)`` of each line's own segments (role "index") or of its substrings (role "probe")."""
+def join_keys(column: pa.Array, threshold: int, per_edit: int, role: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, key)`` of each line's own segments (role "index") or of its substrings (role "probe").
+
+    The shorter of two lines is the one that is cut, and says how many edits there may be.
+    """
     codes, offsets = code_points(column)
     found, a = [], 0
     while a < len(column):  # as many lines at once as the kept powers serve
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + Substrings.SIZE)) - 1)
-        line, key = _keys_of(codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, role)
+        line, key = _keys_of(codes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold, per_edit, role)
         found.append((line + a, key))
         a = b
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _keys_of(codes: np.ndarray, offsets: np.ndarray, threshold: int, role: str) -> tuple[np.ndarray, np.ndarray]:
-    hashed, length, parts = Substrings(codes), np.diff(offsets), threshold + 1
+def _keys_of(codes: np.ndarray, offsets: np.ndarray, threshold: int, per_edit: int, role: str) -> tuple[np.ndarray, np.ndarray]:
+    hashed, length = Substrings(codes), np.diff(offsets)
     line, keys = [], []
 
     def add(where: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, number: int) -> None:
         line.append(where)
-        keys.append(mix64(hashed(start, size) + mix64(other.astype(np.uint64) * np.uint64(parts) + np.uint64(number))))
-
-    every = np.arange(len(length))
-    for number in range(parts):
-        if role == "index":
-            start, size = segments(length, number, parts)
-            add(every, offsets[:-1] + start, size, length, number)
-            continue
-        for delta in range(threshold + 1):
+        keys.append(mix64(hashed(start, size) + mix64(other.astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(number))))
+
+    for k in range(1, threshold + 1):  # lines that allow k edits are cut into k + 1 segments
+        for delta in range(1 if role == "index" else k + 1):
             other = length - delta
-            start, size = segments(other, number, parts)
-            left, right = substring_starts(delta, 0, number, threshold)
-            for shift in range(left, right + 1):
-                ok = (other > 0) & (start + shift >= 0) & (start + shift + size <= length)
-                where = every[ok]
-                add(where, (offsets[:-1] + start + shift)[ok], size[ok], other[ok], number)
-    return np.concatenate(line), np.concatenate(keys)
+            every = np.flatnonzero((other > 0) & (edits(other, threshold, per_edit) == k))
+            other, first = other[every], offsets[:-1][every]
+            for number in range(k + 1):
+                start, size = segments(other, number, k + 1)
+                left, right = (0, 0) if role == "index" else substring_starts(delta, 0, number, k)
+                for shift in range(left, right + 1):
+                    ok = (start + shift >= 0) & (start + shift + size <= length[every])
+                    add(every[ok], (first + start + shift)[ok], size[ok], other[ok], number)
+    return (np.concatenate(line), np.concatenate(keys)) if line else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def without_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the longest beginning and then the longest end that they share, which no distance needs."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])[:1]
+    head = int(other[0]) if len(other) else n
+    a, b, n = a[head:], b[head:], n - head
+    other = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])[-1:]
+    tail = n - 1 - int(other[0]) if len(other) else n
+    return a[: len(a) - tail], b[: len(b) - tail]
 
 
 def banded_distance(left: list[np.ndarray], right: list[np.ndarray], threshold: int) -> np.ndarray:
     """Edit distances of pairs of code arrays, or ``threshold + 1`` where they are greater.
 
-    Bit-parallel over a band of ``2 * threshold + 1`` diagonals, which is all that an
-    alignment with that few edits can touch, for all pairs at once: one step a column.
-    The band stands in the top bits of a word, so carries leave at the top.
+    Pairs of like lengths are compared together, CELLS code points at once.
     """
-    n_pairs, band = len(left), 2 * threshold + 1
-    if not n_pairs:
-        return np.zeros(0, np.int64)
-    m, n = (np.fromiter(map(len, x), np.int64, n_pairs) for x in (left, right))
+    n_pairs = len(left)
     out = np.full(n_pairs, threshold + 1, np.int64)
-    close = np.flatnonzero((abs(m - n) <= threshold) & (m > threshold))
-    for i in np.flatnonzero((abs(m - n) <= threshold) & (m <= threshold)):
+    m, n = (np.fromiter(map(len, x), np.int64, n_pairs) for x in (left, right))
+    able = abs(m - n) <= threshold
+    if (long := np.flatnonzero(able & (n > LONG))).size:
+        left, right = list(left), list(right)
+        for i in long:
+            left[i], right[i] = without_ends(left[i], right[i])
+            m[i], n[i] = len(left[i]), len(right[i])
+    for i in np.flatnonzero(able & (m <= threshold)):
         out[i] = min(threshold + 1, _plain_distance(left[i], right[i]))
-    if not len(close):
-        return out
-    m, n = m[close], n[close]
+    close = np.flatnonzero(able & (m > threshold))
+    close = close[np.argsort(n[close], kind="stable")]
+    a = 0
+    while a < len(close):
+        rows = np.arange(1, len(close) - a + 1)
+        b = a + max(1, int(np.searchsorted(rows * n[close[a:]], CELLS, side="right")))
+        at = close[a:b]
+        out[at] = _banded([left[i] for i in at], [right[i] for i in at], m[at], n[at], threshold)
+        a = b
+    return out
+
+
+def _banded(left: list[np.ndarray], right: list[np.ndarray], m: np.ndarray, n: np.ndarray, threshold: int) -> np.ndarray:
+    """Bit-parallel over a band of ``2 * threshold + 1`` diagonals, which is all that an
+    alignment with that few edits can touch, for all pairs at once: one step a column.
+    The band stands in the top bits of a word, so carries leave at the top.
+
+    From a row on the band's last diagonal, ``2 * threshold`` steps up lead to any other
+    one, so a pair whose count there is above ``3 * threshold`` is apart, and left out.
+    """
+    band = 2 * threshold + 1
     # row of pattern characters with `threshold` blanks before and after, so that every band position exists
     width = int(max(m.max(), n.max())) + 2 * threshold + 2
-    pattern = np.full((len(close), width + threshold), 0xFFFFFFFF, np.uint32)
-    text = np.full((len(close), int(n.max())), 0xFFFFFFFE, np.uint32)
-    for row, i in enumerate(close):
-        pattern[row, threshold : threshold + len(left[i])] = left[i]
-        text[row, : len(right[i])] = right[i]
+    pattern = np.full((len(left), width + threshold), 0xFFFFFFFF, np.uint32)
+    text = np.full((len(left), int(n.max())), 0xFFFFFFFE, np.uint32)
+    for row, (a, b) in enumerate(zip(left, right)):
+        pattern[row, threshold : threshold + len(a)] = a
+        text[row, : len(b)] = b
     one = np.uint64(1)
     low = 64 - band  # bit of the highest row of the band
-    vp = np.full(len(close), ((1 << (threshold + 1)) - 1) << (63 - threshold), np.uint64)
-    vn = np.zeros(len(close), np.uint64)
-    dist = np.full(len(close), threshold, np.int64)
-    result = dist.copy()
+    vp = np.full(len(left), ((1 << (threshold + 1)) - 1) << (63 - threshold), np.uint64)
+    vn = np.zeros(len(left), np.uint64)
+    dist = np.full(len(left), threshold, np.int64)
+    result, rows = np.full(len(left), threshold + 1, np.int64), np.arange(len(left))
     for j in range(1, int(n.max()) + 1):
-        pm = np.zeros(len(close), np.uint64)
+        pm = np.zeros(len(rows), np.uint64)
         for k in range(band):  # row j + k - threshold
             pm |= (pattern[:, j - 1 + k] == text[:, j - 1]).astype(np.uint64) << np.uint64(low + k)
         d0 = (((pm & vp) + vp) ^ vp) | pm | vn
@@ -193,9 +231,14 @@ def banded_distance(left: list[np.ndarray], right: list[np.ndarray], threshold:
         vp = hn | ~((d0 >> one) | hp)
         vn = (d0 >> one) & hp
         done = n == j
-        result[done] = dist[done]
-    out[close] = np.minimum(result, threshold + 1)
-    return out
+        result[rows[done]] = dist[done]
+        if j % 32 == 0:
+            live = (n > j) & ~(on_diagonal & (dist > 3 * threshold))
+            if not live.any():
+                break
+            if 2 * live.sum() <= len(rows):
+                rows, m, n, vp, vn, dist, pattern, text = (x[live] for x in (rows, m, n, vp, vn, dist, pattern, text))
+    return np.minimum(result, threshold + 1)
 
 
 def _plain_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -207,8 +250,14 @@ def _plain_distance(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
-def later_ones(order: np.ndarray, side: np.ndarray, codes: list[np.ndarray], threshold: int) -> np.ndarray:
-    """True for each line within ``threshold`` edits of one that is earlier by ``order``; with two sides, of the other side.
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: int, per_edit: int) -> np.ndarray:
+    """True for each pair of lines that is no more edits apart than the shorter one allows."""
+    shorter = np.fromiter((min(len(a), len(b)) for a, b in zip(left, right)), np.int64, len(left))
+    return banded_distance(left, right, threshold) <= edits(shorter, threshold, per_edit)
+
+
+def later_ones(order: np.ndarray, side: np.ndarray, codes: list[np.ndarray], threshold: int, per_edit: int) -> np.ndarray:
+    """True for each line as near as ``near_pairs`` asks to one that is earlier by ``order``; with two sides, of the other side.
 
     Lines so near have like lengths, and counts of characters that differ by two at most
     for each edit.  Of what is left, every line tries its earlier ones in turn until one is near.
@@ -232,7 +281,7 @@ def later_ones(order: np.ndarray, side: np.ndarray, codes: list[np.ndarray], thr
         pairs.sort(key=lambda p: n[p[1]])  # of like lengths, for little padding
         for c in range(0, len(pairs), 1024):
             part = pairs[c : c + 1024]
-            found = banded_distance([codes[a] for a, _ in part], [codes[b] for _, b in part], threshold) <= threshold
+            found = near_pairs([codes[a] for a, _ in part], [codes[b] for _, b in part], threshold, per_edit)
             near[[b for (_, b), x in zip(part, found) if x]] = True
         turn, step = turn + step, 4 * step
         live = [b for b in live if not near[b] and len(tries[b]) > turn]
@@ -259,20 +308,20 @@ def _line_ids() -> list[F.Column]:
     return [_line_id(), F.xxhash64(F.lit(1), "line").alias("id2")]
 
 
-def _keys(lines: DataFrame, role: str, threshold: int, min_chars: int) -> DataFrame:
+def _keys(lines: DataFrame, role: str, threshold: int, per_edit: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "line", 4 << 20)):
             ids = b.column("id").to_numpy()
             _, first = np.unique(ids, return_index=True)  # copies in a batch meet here
-            line, key = join_keys(b.column("line").take(pa.array(first)), threshold, role)
+            line, key = join_keys(b.column("line").take(pa.array(first)), threshold, per_edit, role)
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[first][line])], names=["key", "id"])
 
-    long_lines = lines.where(F.char_length("line") >= min_chars).select(_line_id(), "line")
+    long_lines = lines.where(F.char_length("line") >= per_edit).select(_line_id(), "line")
     return long_lines.mapInArrow(made, "key long, id long")
 
 
-def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """``(a, a2, b, b2)``: the pairs of lines within ``threshold`` edits."""
+def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int, per_edit: int) -> DataFrame:
+    """``(a, a2, b, b2)``: the pairs of lines that are near."""
     both = pairs.join(texts.toDF("a", "a2", "left"), "a").join(texts.toDF("b", "b2", "right"), "b")
     names = ("a", "a2", "b", "b2")
 
@@ -282,18 +331,13 @@ def _near_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
             for name in ("left", "right"):
                 codes, offsets = code_points(b.column(name))
                 sides.append([codes[s:e] for s, e in zip(offsets, offsets[1:])])
-            near = np.zeros(b.num_rows, bool)
-            size = np.fromiter(map(len, sides[0]), np.int64, b.num_rows)
-            order = np.argsort(size, kind="stable")
-            for a in range(0, len(order), 256):  # of like lengths, for little padding
-                at = order[a : a + 256]
-                near[at] = banded_distance([sides[0][i] for i in at], [sides[1][i] for i in at], threshold) <= threshold
+            near = near_pairs(*sides, threshold, per_edit)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in names], names=list(names))
 
     return both.mapInArrow(verified, "a long, a2 long, b long, b2 long")
 
 
-def _near_in_blocks(members: DataFrame, texts: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
+def _near_in_blocks(members: DataFrame, texts: DataFrame, firsts: DataFrame, threshold: int, per_edit: int) -> DataFrame:
     """``id`` and ``id2`` of the lines near an earlier one that has the same key, by pairs of blocks of each key's lines."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(small(keep(sizes)), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
@@ -308,45 +352,45 @@ def _near_in_blocks(members: DataFrame, texts: DataFrame, firsts: DataFrame, thr
         order = np.empty(len(rank), np.int64)
         order[rank] = np.arange(len(rank))
         codes, offsets = code_points(group["line"].chunk(0))
-        near = later_ones(order, group["side"].to_numpy(), [codes[s:e] for s, e in zip(offsets, offsets[1:])], threshold)
+        near = later_ones(order, group["side"].to_numpy(), [codes[s:e] for s, e in zip(offsets, offsets[1:])], threshold, per_edit)
         return group.select(["id", "id2"]).filter(pa.array(near))
 
     return pairs.join(lines, "id").groupBy("key", "i", "j").applyInArrow(compared, "id long, id2 long")
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id`` and ``id2`` of the lines within ``threshold`` edits of a different line whose first place is earlier.
+def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
+    """``id`` and ``id2`` of the lines near a different line whose first place is earlier.
 
     ``lines`` has a string column ``line``, ``firsts`` the first place of each line.
     """
-    index = keep(_keys(lines, "index", threshold, min_chars))
+    index = keep(_keys(lines, "index", threshold, per_edit))
     counts = index.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
     long = keep(counts.where((F.col("c") > SHORT) & (F.col("low") < F.col("high"))).select("key"))
     short = index.join(small(long), "key", "left_anti").dropDuplicates(["key", "id"])
     # a probe of a long key meets one row, which only says so
     probed = short.select("key", F.col("id").alias("a")).union(long.select("key", F.lit(None).cast("long").alias("a")))
-    met = _keys(lines, "probe", threshold, min_chars).withColumnRenamed("id", "b").join(probed, "key")
+    met = _keys(lines, "probe", threshold, per_edit).withColumnRenamed("id", "b").join(probed, "key")
     met = keep(met.where("a is null or a <> b").select(F.when(F.col("a").isNull(), F.col("key")).alias("key"), F.least("a", "b").alias("a"), F.when(F.col("a").isNull(), F.col("b")).otherwise(F.greatest("a", "b")).alias("b")).distinct())
     pairs = met.where("key is null").select("a", "b")
     members = keep(met.where("key is not null").select("key", F.col("b").alias("id")).union(index.join(small(long), "key", "left_semi").select("key", "id")).distinct())
 
     wanted = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
     texts = keep(lines.select(*_line_ids(), "line").join(small(wanted), "id", "left_semi").groupBy("id", "id2").agg(F.min("line").alias("line")))
-    near = _near_pairs(pairs, texts, threshold)
+    near = _near_pairs(pairs, texts, threshold, per_edit)
     side = lambda x: firsts.select(F.col("id").alias(x), F.col("id2").alias(f"{x}2"), F.col("first").alias(f"f{x}"))
     ends = near.join(side("a"), ["a", "a2"]).join(side("b"), ["b", "b2"])
     of = lambda suffix: F.when(F.col("fa") < F.col("fb"), F.col(f"b{suffix}")).otherwise(F.col(f"a{suffix}"))
     later = ends.select(of("").alias("id"), of("2").alias("id2"))
-    return later.union(_near_in_blocks(members, texts, firsts, threshold)).distinct()
+    return later.union(_near_in_blocks(members, texts, firsts, threshold, per_edit)).distinct()
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that are left in ``text_col``, and ``n_lines`` and ``n_removed`` of lines that have a word.
 
-    A line goes if an equal line, or one within ``threshold`` edits (of both at least
-    ``min_chars`` code points), stands earlier: in a document of smaller id (null first),
-    or further up in the same one.  ``min_chars`` of 1 compares all lines by edits.  Lines
-    are judged as they came in, not by what is left.
+    A line goes if an equal line, or one within ``threshold`` edits and no more than one
+    for each ``per_edit`` code points of the shorter line, stands earlier: in a document of
+    smaller id (null first), or further up in the same one.  Lines are judged as they came
+    in, not by what is left.
     Lines without a word stay and are not counted.  Rows equal in id and text are at one
     place, so their lines stay or go together; of rows with one id, the order is by a hash
     of the text.  Null texts stay null and empty ones empty, with no lines.  No row goes.
@@ -357,7 +401,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     lines = _lines(docs, id_col, text_col)
     place = F.struct("doc", "row", "row2", "no")
     firsts = keep(lines.select(*_line_ids(), place.alias("at")).groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last")))
-    killed = near_lines(lines, firsts, threshold, min_chars).withColumn("killed", F.lit(True))
+    killed = near_lines(lines, firsts, threshold, per_edit).withColumn("killed", F.lit(True))
     # lines with anything to remove: killed ones wholly, others but for their first place
     gone = firsts.join(killed, ["id", "id2"], "left").where("killed or first < last")
     gone = keep(gone.select("id", "id2", "first", F.coalesce("killed", F.lit(False)).alias("killed")))

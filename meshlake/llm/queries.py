@@ -155,7 +155,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DES
 """
 
 
-#: All pairs of long lines of like length; one of the three segments stands in the other line, or they differ by more than two edits.
+#: All pairs of lines of like length, of 10 code points or more.  Of 20 or more, one of the line's three segments stands in the other one,
+#: or they differ by more than two edits; where the shorter has fewer, one of its two halves does, or they differ by more than one.
 OP4_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents
 ), lines AS (
@@ -164,7 +165,14 @@ WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FRO
   SELECT line, min(struct_pack(d := doc_id, i := i)) AS spot, length(line) AS n FROM lines GROUP BY line
 ), long AS (
   SELECT *, line[: n // 3] AS s1, line[n // 3 + 1 : 2 * n // 3] AS s2, line[2 * n // 3 + 1 :] AS s3 FROM firsts WHERE n >= 20
+), brief AS (
+  SELECT *, line[: n // 2] AS s1, line[n // 2 + 1 :] AS s2 FROM firsts WHERE n BETWEEN 10 AND 19
+), one AS (
+  SELECT a.line AS x, a.spot AS xs, b.line AS y, b.spot AS ys FROM brief a JOIN firsts b ON b.n BETWEEN a.n AND a.n + 1
+  WHERE a.line <> b.line AND (contains(b.line, a.s1) OR contains(b.line, a.s2)) AND levenshtein(a.line, b.line) <= 1
 ), near AS (
+  SELECT CASE WHEN xs < ys THEN y ELSE x END AS line FROM one
+  UNION
   SELECT DISTINCT b.line FROM long a JOIN long b ON a.n BETWEEN b.n - 2 AND b.n + 2
   WHERE a.spot < b.spot AND (contains(a.line, b.s1) OR contains(a.line, b.s2) OR contains(a.line, b.s3)) AND levenshtein(a.line, b.line) <= 2
 ), gone AS (

@@ -319,6 +319,49 @@ def test_short_lines_by_edits_where_asked(spark):
         assert got[k] == "\n".join(left)
 
 
+def test_lines_on_both_sides_of_the_borders(spark):
+    rng = np.random.default_rng(3)
+    lines = ["abcdef ghijklmn", "abcdef ghijklmX", "123456789", "12345678x", "1234567890", "123456789x", "1234567890x"]
+    for n in (9, 10, 11, 18, 19, 20, 21, 22):
+        for _ in range(4):
+            base = "".join(rng.choice(list("abcd"), n))
+            lines.append(base)
+            for k in (1, 2, 3):
+                x = list(base)
+                for _ in range(k):
+                    at, kind = int(rng.integers(len(x))), int(rng.integers(3))
+                    x[at : at + (kind > 0)] = ["Z"] * (kind < 2)
+                lines.append("".join(x))
+    lines = [lines[k] for k in rng.permutation(len(lines))]
+    rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3 + 1)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    near = lambda x, y: x == y or line_dedup._plain_distance(x, y) <= min(2, min(len(x), len(y)) // 10)
+    left = [[x for j, x in enumerate(lines) if j // 3 == k and not any(near(x, y) for y in lines[:j])] for k in range(len(rows))]
+    assert got == {k: "\n".join(x) for k, x in enumerate(left)}
+    assert sum(map(len, left)) < len(lines) - 20
+
+
+def test_distances_of_very_long_lines_are_bounded(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 123, 400_000).astype(np.uint32)
+    pairs, want = [], []
+    for k in range(4):
+        other = base.copy()
+        at = rng.choice(np.arange(1000, 6000), k, replace=False)
+        other[at] = 1
+        pairs.append((base, other))
+        want.append(min(k, 3))
+    pairs += [(base, base[1:]), (base, np.append(base, 7)), (base, base[::-1].copy()), (base, base[3:])]
+    want += [1, 1, 3, 3]
+    short = rng.integers(97, 99, (300, 40)).astype(np.uint32)
+    pairs += [(x, y) for x, y in zip(short, short[1:])]
+    want += [min(3, line_dedup._plain_distance(x, y)) for x, y in zip(short, short[1:])]
+    sizes, inner = [], line_dedup._banded
+    monkeypatch.setattr(line_dedup, "_banded", lambda a, b, m, n, t: (sizes.append(len(a) * int(n.max())), inner(a, b, m, n, t))[1])
+    assert line_dedup.banded_distance([a for a, _ in pairs], [b for _, b in pairs], 2).tolist() == want
+    assert sizes and max(sizes) <= line_dedup.CELLS
+
+
 # packing
 
 
