@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm import classifier, decontamination, line_dedup, minhash, packing
-from meshlake.llm._shared import settled, table
+from meshlake.llm._shared import fresh, quoted, settled, table
 
 #: Per cent of shared shingles from which documents are near copies.
 NEAR = 80
@@ -22,10 +22,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand earlier; ``n_chars`` follows the text."""
-    left = line_dedup.dedup_lines(docs)
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", changed).select(*docs.columns)
+    """All documents, without lines that stand earlier; ``n_chars``, where there is one, follows the text.
+
+    Null and empty texts, and documents of which no line is left, stay.  Of rows equal in id
+    and text all keep the same lines.  Other columns come through, whatever their names.
+    """
+    own = {c: fresh(docs, f"__{c}") for c in ("n_lines", "n_removed") if c in docs.columns}
+    left = line_dedup.dedup_lines(docs.withColumnsRenamed(own))
+    out = dict(zip(docs.columns, quoted([own.get(c, c) for c in docs.columns])))
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.select(*[x.alias(c) for c, x in out.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
