@@ -535,3 +535,17 @@ def test_ends_of_the_pipeline(spark):
     assert auc(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])) > 0.9
     packed = p.packing_stage(spark, docs, SMALL).toPandas()
     assert packed.groupby("doc_id")["piece_length"].sum().to_dict() == {r["doc_id"]: len(WORD.findall(r["text"] or "")) + 1 for r in rows}
+
+
+def test_line_stage_of_odd_tables(spark):
+    import corpus_pipeline as p
+
+    line = "a line that is long enough to be told by edits"
+    rows = [(1, line, 7, "a", 5), (2, None, 8, "b", None), (3, "", 9, None, 0), (4, f"{line}!\nother", 1, "c", 99), (4, f"{line}!\nother", 1, "c", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, `a.b` string, n_chars long")
+    out = p.line_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [*rows[:3], (4, "other", 1, "c", 5), (4, "other", 1, "c", 5)]))
+    bare = docs.select("doc_id", "text")
+    assert p.line_dedup_stage(spark, bare, "").columns == ["doc_id", "text"]
+    assert p.line_dedup_stage(spark, bare.limit(0), "").count() == 0
