@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .operators import columns, combine, grid, groups, projection, rows, sample, stats, surface
+from .operators import columns, combine, grid, groups, halos, projection, rows, sample, stats, surface
 from .sources import halo, text
 from .sources.fields import opened
 
@@ -20,7 +20,7 @@ OPERATORS: dict[str, Callable] = {
     "ahfhalogalaxyext": rows.halo_routes, "splittable": combine.split_rows, "wrvotable": text.write_votable, "cut": columns.cut, "showvol": rows.show_volume, "include": columns.include,
     "mres": sample.multi_resolution, "histogram": stats.histogram, "normalise": stats.normalize, "selvol": rows.select_volume,
     "splittable_value": combine.split_by_value, "splittable_volume": combine.split_volume, "poca": grid.closest_approach, "voxels": grid.voxel_statistics,
-    "smooth": surface.smooth, "isosurface": surface.isosurface, "project": projection.project, "picture": projection.picture, "groups": groups.dense_groups,
+    "smooth": surface.smooth, "isosurface": surface.isosurface, "project": projection.project, "picture": projection.picture, "groups": groups.dense_groups, "halos": halos.halos,
 }
 
 
